@@ -177,3 +177,11 @@ def tokenizer_path(name: str) -> str:
 
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` keys, spread evenly by hash and the same in every run; the only use of a part of a table is to fit models."""
+    from pyspark.sql import functions as F
+
+    ids = rows.select(key).where(F.col(key).isNotNull()).distinct()
+    return ids.orderBy(F.xxhash64(key), key).limit(most)
