@@ -48,14 +48,14 @@ def template_pairs(spark: SparkSession) -> DataFrame:
     rows = []
     for k, (text, label) in enumerate((*BASE, *TEMPLATES)):
         words = text.split()
-        rows += [(k, label, k < len(BASE), len(words) - 1, at, a, b) for at, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    table = spark.createDataFrame(rows, "template int, label string, base boolean, pairs int, at int, t_word string, t_next string")
+        rows += [(k, label, k < len(BASE), len(words) - 1, at, 1 << at, a, b) for at, (a, b) in enumerate(zip(words, words[1:], strict=False))]
+    table = spark.createDataFrame(rows, "template int, label string, base boolean, pairs int, at int, bit long, t_word string, t_next string")
     return table.withColumn("t_hash", F.xxhash64("t_word", "t_next"))
 
 
 def folded(text):
     """ASCII capitals to small letters. Only two other letters have ASCII small forms; texts with these are folded letter by letter."""
-    other = text.contains("K") | text.contains("İ")
+    other = text.contains("\u212a") | text.contains("\u0130")
     return F.when(other, F.translate(text, UPPER, FOLDED)).otherwise(F.lower(text))
 
 
@@ -70,9 +70,8 @@ def scan(docs: DataFrame) -> DataFrame:
     hits = pairs.join(F.broadcast(found), (F.col("hash") == F.col("t_hash")) & (F.col("word") == F.col("t_word")) & (F.col("next") == F.col("t_next")), "left")
     # besides hits, the last word's row of each text is kept: it tells how many words there are
     hits = hits.where(F.col("template").isNotNull() | F.col("next").isNull())
-    one = F.lit(1).cast("long")
     votes = hits.groupBy("doc_id", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.bit_or(F.shiftleft(one, F.col("at"))).alias("bits"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("pairs").alias("pairs"), F.max(F.coalesce(F.col("pos") + 1, F.lit(0))).alias("reach")
+        F.bit_or("bit").alias("bits"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("pairs").alias("pairs"), F.max(F.coalesce(F.col("pos") + 1, F.lit(0))).alias("reach")
     )
     votes = votes.repartition("doc_id")
     order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
