@@ -176,10 +176,10 @@ add("D4", lambda s, d: policy.normalised_scores(_sql(s, d, _BODY)).select("claim
 add("J12", lambda s, d: views.flat_claims(s, d).join(views.lines(s, d), "claim_key").groupBy("batch_id").agg(F.count("*").alias("n_lines")), cte("select batch_id, count(*) as n_lines from v_claim join v_lines using (claim_key) group by 1", *_vs))
 add("O2", lambda s, d: views.flat_claims(s, d).where("batch_id = 5").orderBy("order_day", "claim_key").select("claim_key", _day("order_day")), cte("select claim_key, cast(order_day as string) as order_day from v_claim where batch_id = 5 order by 2, 1", *_vs))
 add("W5", lambda s, d: views.flat_claims(s, d).orderBy(F.desc("order_day"), F.desc("claim_key")).offset(20).limit(20).select("claim_key"), cte("select claim_key from v_claim order by order_day desc, claim_key desc limit 20 offset 20", *_vs))
-_w = Window.partitionBy("claim_key").orderBy("line_number", "l_partkey", "l_suppkey", "date_of_service", "l_quantity", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
+_w = lambda: Window.partitionBy("claim_key").orderBy("line_number", "l_partkey", "l_suppkey", "date_of_service", "l_quantity", "l_extendedprice").rowsBetween(Window.unboundedPreceding, 0)
 _wd = "over (partition by claim_key order by line_number, l_partkey, l_suppkey, date_of_service, l_quantity, l_extendedprice rows unbounded preceding)"
-add("W3", lambda s, d: views.lines(s, d).withColumn("g", F.sum(F.when(F.col("place_of_service") == "11", 1).otherwise(0)).over(_w)).groupBy("claim_key", "g").agg(F.count("*").alias("n")), cte(f"with x as (select claim_key, sum(case when place_of_service = '11' then 1 else 0 end) {_wd} as g from v_lines) select claim_key, cast(g as bigint) as g, count(*) as n from x group by 1, 2", "v_lines"))
-add("W4", lambda s, d: views.lines(s, d).withColumn("h", F.last(F.when(F.col("place_of_service") == "11", F.col("line_number")), True).over(_w)).groupBy("claim_key", "h").agg(F.count("*").alias("n")), cte(f"with x as (select claim_key, last_value(case when place_of_service = '11' then line_number end ignore nulls) {_wd} as h from v_lines) select claim_key, h, count(*) as n from x group by 1, 2", "v_lines"))
+add("W3", lambda s, d: views.lines(s, d).withColumn("g", F.sum(F.when(F.col("place_of_service") == "11", 1).otherwise(0)).over(_w())).groupBy("claim_key", "g").agg(F.count("*").alias("n")), cte(f"with x as (select claim_key, sum(case when place_of_service = '11' then 1 else 0 end) {_wd} as g from v_lines) select claim_key, cast(g as bigint) as g, count(*) as n from x group by 1, 2", "v_lines"))
+add("W4", lambda s, d: views.lines(s, d).withColumn("h", F.last(F.when(F.col("place_of_service") == "11", F.col("line_number")), True).over(_w())).groupBy("claim_key", "h").agg(F.count("*").alias("n")), cte(f"with x as (select claim_key, last_value(case when place_of_service = '11' then line_number end ignore nulls) {_wd} as h from v_lines) select claim_key, h, count(*) as n from x group by 1, 2", "v_lines"))
 add("O5", lambda s, d: views.flat_claims(s, d).groupBy("batch_id").agg(F.max_by("claim_key", F.struct("order_day", "claim_key")).alias("newest")), cte("select batch_id, arg_max(claim_key, (order_day, claim_key)) as newest from v_claim group by 1", *_vs))
 _gold = "select claim_key, procedure_code as rule from v_lines"
 add("T5", lambda s, d: files.golden_diff(_sql(s, d, _gold + " where l_partkey % 3 <> 0"), _sql(s, d, _gold + " where l_partkey % 4 <> 0")), cte(f"with e as (select distinct * from ({_gold} where l_partkey % 3 <> 0)), a as (select distinct * from ({_gold} where l_partkey % 4 <> 0)) select claim_key, rule, 'missing' as side from (select * from e except select * from a) union all select claim_key, rule, 'extra' from (select * from a except select * from e)", "v_lines"))
@@ -188,26 +188,26 @@ add("T5", lambda s, d: files.golden_diff(_sql(s, d, _gold + " where l_partkey %
 _L, _C = "v_lines", "v_claim"
 _dt = lambda c: tx.to_day(F.col(c))
 for _n, _t, _k, _e, _s in (
-    ("S1", _L, "l_partkey", tx.is_weekend(_dt("date_of_service")).cast("int"), f"cast(isodow({_sd}) >= 6 as int)"),
-    ("S2", _C, "claim_key", (tx.to_number(F.col("claim_amount")) > 50000).cast("int"), f"cast({rq.num('claim_amount')} > 50000 as int)"),
-    ("S3", _C, "claim_key", F.col("taxonomy").startswith("207R").cast("int"), "cast(starts_with(taxonomy, '207R') as int)"),
-    ("S4", _L, "l_partkey", F.col("procedure_code").isin("97110", "99285").cast("int"), "cast(procedure_code in ('97110', '99285') as int)"),
-    ("S5", _L, "l_partkey", (_dt("date_of_service") > F.lit(R.AS_OF).cast("date")).cast("int"), f"cast({_sd} > {rq.AS_OF} as int)"),
-    ("S6", _C, "claim_key", (_dt("statement_to_date") < _dt("statement_from_date")).cast("int"), f"cast({rq.day('statement_to_date')} < {rq.day('statement_from_date')} as int)"),
-    ("S7", _C, "claim_key", tx.is_npi_format(F.col("npi")).cast("int"), "cast(regexp_full_match(npi, '[0-9]{10}') as int)"),
-    ("S8", _C, "claim_key", tx.is_valid_npi(F.col("npi")).cast("int"), f"cast({rq.NPI_OK} as int)"),
-    ("S9", _C, "claim_key", tx.age_on(_dt("date_of_birth"), F.lit(R.AS_OF).cast("date")), rq._AGE),
-    ("S11", _L, "l_partkey", _dt("date_of_service").cast("string"), f"cast({_sd} as string)"),
-    ("S12", _L, "l_partkey", tx.to_service_day(F.col("date_of_service")).cast("string"), f"cast({_sd} as string)"),
-    ("S13", _C, "claim_key", tx.to_registry_day(F.date_format("order_day", "MM/dd/yyyy")).cast("string"), "cast(order_day as string)"),
-    ("S14", _C, "claim_key", tx.provider_name(F.lit(1), F.lit(""), F.col("place_of_service"), F.coalesce("facility_type_code", F.lit(""))), "case when facility_type_code is null then place_of_service else concat(place_of_service, ', ', facility_type_code) end"),
-    ("S15", _C, "claim_key", tx.entity_type(F.substring("place_of_service", 1, 1)), "case when place_of_service like '2%' then 2 else 1 end"),
-    ("S16", _C, "claim_key", tx.to_number(F.col("claim_amount")), rq.num("claim_amount")),
-    ("S17", _L, "l_partkey", tx.number_text(F.col("l_quantity") / 4), "case when l_quantity % 4 = 0 then cast(cast(l_quantity / 4 as bigint) as string) else rtrim(rtrim(cast(cast(l_quantity / 4 as decimal(20,4)) as string), '0'), '.') end"),
-    ("S19", _C, "claim_key", tx.blank_to_null(F.concat(F.lit(" "), F.coalesce("facility_type_code", F.lit("")))), "facility_type_code"),
-    ("S20", _C, "claim_key", tx.threshold_label(F.col("risk_score")), "case risk_score when 0.35 then '0_35' when 0.8 then '0_80' when 0.93 then '0_93' else 'custom' end"),
+    ("S1", _L, "l_partkey", lambda: tx.is_weekend(_dt("date_of_service")).cast("int"), f"cast(isodow({_sd}) >= 6 as int)"),
+    ("S2", _C, "claim_key", lambda: (tx.to_number(F.col("claim_amount")) > 50000).cast("int"), f"cast({rq.num('claim_amount')} > 50000 as int)"),
+    ("S3", _C, "claim_key", lambda: F.col("taxonomy").startswith("207R").cast("int"), "cast(starts_with(taxonomy, '207R') as int)"),
+    ("S4", _L, "l_partkey", lambda: F.col("procedure_code").isin("97110", "99285").cast("int"), "cast(procedure_code in ('97110', '99285') as int)"),
+    ("S5", _L, "l_partkey", lambda: (_dt("date_of_service") > F.lit(R.AS_OF).cast("date")).cast("int"), f"cast({_sd} > {rq.AS_OF} as int)"),
+    ("S6", _C, "claim_key", lambda: (_dt("statement_to_date") < _dt("statement_from_date")).cast("int"), f"cast({rq.day('statement_to_date')} < {rq.day('statement_from_date')} as int)"),
+    ("S7", _C, "claim_key", lambda: tx.is_npi_format(F.col("npi")).cast("int"), "cast(regexp_full_match(npi, '[0-9]{10}') as int)"),
+    ("S8", _C, "claim_key", lambda: tx.is_valid_npi(F.col("npi")).cast("int"), f"cast({rq.NPI_OK} as int)"),
+    ("S9", _C, "claim_key", lambda: tx.age_on(_dt("date_of_birth"), F.lit(R.AS_OF).cast("date")), rq._AGE),
+    ("S11", _L, "l_partkey", lambda: _dt("date_of_service").cast("string"), f"cast({_sd} as string)"),
+    ("S12", _L, "l_partkey", lambda: tx.to_service_day(F.col("date_of_service")).cast("string"), f"cast({_sd} as string)"),
+    ("S13", _C, "claim_key", lambda: tx.to_registry_day(F.date_format("order_day", "MM/dd/yyyy")).cast("string"), "cast(order_day as string)"),
+    ("S14", _C, "claim_key", lambda: tx.provider_name(F.lit(1), F.lit(""), F.col("place_of_service"), F.coalesce("facility_type_code", F.lit(""))), "case when facility_type_code is null then place_of_service else concat(place_of_service, ', ', facility_type_code) end"),
+    ("S15", _C, "claim_key", lambda: tx.entity_type(F.substring("place_of_service", 1, 1)), "case when place_of_service like '2%' then 2 else 1 end"),
+    ("S16", _C, "claim_key", lambda: tx.to_number(F.col("claim_amount")), rq.num("claim_amount")),
+    ("S17", _L, "l_partkey", lambda: tx.number_text(F.col("l_quantity") / 4), "case when l_quantity % 4 = 0 then cast(cast(l_quantity / 4 as bigint) as string) else rtrim(rtrim(cast(cast(l_quantity / 4 as decimal(20,4)) as string), '0'), '.') end"),
+    ("S19", _C, "claim_key", lambda: tx.blank_to_null(F.concat(F.lit(" "), F.coalesce("facility_type_code", F.lit("")))), "facility_type_code"),
+    ("S20", _C, "claim_key", lambda: tx.threshold_label(F.col("risk_score")), "case risk_score when 0.35 then '0_35' when 0.8 then '0_80' when 0.93 then '0_93' else 'custom' end"),
 ):
-    add(_n, (lambda t, k, e: lambda s, d: table(t, lambda x: x.select(k, e.alias("value")))(s, d))(_t, _k, _e), cte(f"select {_k}, {_s} as value from {_t}", _t, "v_provider"))
+    add(_n, (lambda t, k, e: lambda s, d: table(t, lambda x: x.select(k, e().alias("value")))(s, d))(_t, _k, _e), cte(f"select {_k}, {_s} as value from {_t}", _t, "v_provider"))
 add("S18", table("documents", lambda t: t.select("doc_id", F.sha2("text", 256).alias("digest"))), "select doc_id, sha256(text) as digest from documents")
 add("S24", table("events", lambda t: t.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k"))), "select event_id, json_extract_string(props, '$.k') as k from events")
 

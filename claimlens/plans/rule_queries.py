@@ -139,12 +139,12 @@ _unpivot = f"u as ({_long})"
 _with_long = lambda body: views.sql_with_views(f"with {FACTS}, {truths_sql(R.DEFAULT_RULES)}, {_unpivot} {body}", "v_claim", "v_lines", "v_dx")
 add("A10", lambda s, d: QUERIES["P20"](s, d).groupBy("rule_name").agg(F.min("undecided").alias("never_checked")), _with_long("select rule_name, min(undecided) as never_checked from u group by 1"))
 add("A12", lambda s, d: QUERIES["P20"](s, d).groupBy("rule_name").agg(F.sum("matched").alias("n_matched"), F.sum("undecided").alias("n_undecided")), _with_long("select rule_name, cast(sum(matched) as bigint) as n_matched, cast(sum(undecided) as bigint) as n_undecided from u group by 1"))
-add("P22", lambda s, d: reports(s, d).where("matched_rules = 0 and undecided_rules = 0").select("claim_key", "overall_risk"), report_sql(R.DEFAULT_RULES, "select claim_key, overall_risk from r where matched_rules = 0 and undecided_rules = 0"))
+add("P22", lambda s, d: reports(s, d, LIGHT).where("matched_rules = 0 and undecided_rules = 0").select("claim_key", "overall_risk"), report_sql(LIGHT, "select claim_key, overall_risk from r where matched_rules = 0 and undecided_rules = 0"))
 add("P23", lambda s, d: reports(s, d).where(F.col("overall_risk").isin("HighRisk", "CriticalRisk")).select("claim_key", "overall_risk"), report_sql(R.DEFAULT_RULES, "select claim_key, overall_risk from r where overall_risk in ('HighRisk', 'CriticalRisk')"))
-_flag = F.col("overall_risk").isin("HighRisk", "CriticalRisk")
-add("A1", lambda s, d: reports(s, d).groupBy("batch_id").agg(F.count("*").alias("n_total"), F.count_if(_flag).alias("n_flagged"), F.count_if(~_flag).alias("n_clean")), report_sql(R.DEFAULT_RULES, "select batch_id, count(*) as n_total, count(*) filter (overall_risk in ('HighRisk', 'CriticalRisk')) as n_flagged, count(*) filter (overall_risk not in ('HighRisk', 'CriticalRisk')) as n_clean from r group by 1"))
-_rank = F.when(F.col("overall_risk") == "CriticalRisk", 0).when(F.col("overall_risk") == "HighRisk", 1).when(F.col("overall_risk") == "MediumRisk", 2).otherwise(3)
-add("O1", lambda s, d: reports(s, d).select(_rank.alias("severity"), "claim_key").orderBy("severity", "claim_key").limit(500), report_sql(R.DEFAULT_RULES, "select case overall_risk when 'CriticalRisk' then 0 when 'HighRisk' then 1 when 'MediumRisk' then 2 else 3 end as severity, claim_key from r order by 1, 2 limit 500"))
+_flag = lambda: F.col("overall_risk").isin("HighRisk", "CriticalRisk")
+add("A1", lambda s, d: reports(s, d).groupBy("batch_id").agg(F.count("*").alias("n_total"), F.count_if(_flag()).alias("n_flagged"), F.count_if(~_flag()).alias("n_clean")), report_sql(R.DEFAULT_RULES, "select batch_id, count(*) as n_total, count(*) filter (overall_risk in ('HighRisk', 'CriticalRisk')) as n_flagged, count(*) filter (overall_risk not in ('HighRisk', 'CriticalRisk')) as n_clean from r group by 1"))
+_rank = lambda: F.when(F.col("overall_risk") == "CriticalRisk", 0).when(F.col("overall_risk") == "HighRisk", 1).when(F.col("overall_risk") == "MediumRisk", 2).otherwise(3)
+add("O1", lambda s, d: reports(s, d).select(_rank().alias("severity"), "claim_key").orderBy("severity", "claim_key").limit(500), report_sql(R.DEFAULT_RULES, "select case overall_risk when 'CriticalRisk' then 0 when 'HighRisk' then 1 when 'MediumRisk' then 2 else 3 end as severity, claim_key from r order by 1, 2 limit 500"))
 add("SNK6", lambda s, d: reports(s, d).select("claim_key", F.lit("evaluated").alias("status"), "overall_risk", "weighted_score"), report_sql(R.DEFAULT_RULES, "select claim_key, 'evaluated' as status, overall_risk, weighted_score from r"))
 add("ST5", lambda s, d: reports(s, d).groupBy("batch_id", "overall_risk").agg(F.count("*").alias("n"), F.sum("weighted_score").alias("score")), report_sql(R.DEFAULT_RULES, "select batch_id, overall_risk, count(*) as n, cast(sum(weighted_score) as bigint) as score from r group by 1, 2"))
 add("PRJ4", lambda s, d: reports(s, d).select("claim_key", F.coalesce("overall_risk", F.lit("N/A")).alias("risk"), F.coalesce(F.get("actions", F.lit(0))["tag"], F.lit("none")).alias("first_action")),
