@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import blocks, documents, id_and_text, tokenizer_path
 
 OVER = 512
-CACHED = 250_000
+CACHED = 400_000
 PAIRS = 600_000
 NODES = 400_000
+NEVER = 1 << 60
 #: The byte-level pre-tokenizer's pattern and Unicode's white space.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, prefix_changes binary"
 
@@ -62,6 +63,10 @@ class PrefixCounts:
         self.vocab = frozenset(spec["model"]["vocab"])
         merges = spec["model"]["merges"]
         self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(merges)}
+        #: Of each token that a merge makes: the merge's rank, and its parts.
+        self.made: dict[str, tuple[int, str, str]] = {}
+        for (x, y), k in self.rank.items():
+            self.made.setdefault(x + y, (k, x, y))
         self.tails = frozenset(t[k:] for t in self.vocab for k in range(len(t)))
         self.trie: dict = {}
         self.nodes = 0
@@ -98,13 +103,28 @@ class PrefixCounts:
         return parts
 
     def compatible(self, a: str, b: str) -> bool:
+        """Whether the tokens stay two when their bytes are encoded together; a = "": whether b is its own encoding."""
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            known = self.pairs[(a, b)] = self.split(a + b) == ([a, b] if a else [b])
+            known = self.pairs[(a, b)] = self.stay(a, b) if a else self.split(b) == [b]
         return known
 
+    def stay(self, a: str, b: str) -> bool:
+        """Undo the merges of both tokens, the latest first: they join if what then meets merges before the merge undone."""
+        rank, made = self.rank, self.made
+        before = NEVER
+        while (a, b) not in rank or rank[a, b] >= before:
+            of_a, of_b = made.get(a), made.get(b)
+            if of_a is None and of_b is None:
+                return True
+            if of_b is None or (of_a is not None and of_a[0] > of_b[0]):
+                before, a = of_a[0], of_a[2]
+            else:  # of equal merges the left one comes first
+                before, b = of_b[0] + 1, of_b[1]
+        return False
+
     def token_counts(self, pre_token: str) -> list[int]:
         """Tokens of each prefix of a pre-token, by code point. Known prefixes are followed in a trie."""
         raw = pre_token.encode()
