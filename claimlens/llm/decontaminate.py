@@ -48,7 +48,7 @@ def myers(pattern: list[int], text: list[int], most: int) -> tuple[int, int]:
     for k, c in enumerate(pattern):
         where[c] |= 1 << k
     top, full = 1 << (m - 1), (1 << m) - 1
-    plus, minus, distance, best = full, 0, m, (most + 1, 0)
+    plus, minus, distance, best = full, 0, m, (min(m, most + 1), 0)
     for at, c in enumerate(text, 1):
         eq = where.get(c, 0)
         zero = ((((eq & plus) + plus) ^ plus) | eq | minus) & full

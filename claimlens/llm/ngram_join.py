@@ -69,6 +69,8 @@ class Sizes:
 
     def entered(self, n: int) -> list[int]:
         """Classes that a set of n shingles enters: its own, and the one below if its larger partners reach n."""
+        if not n:
+            return []
         k = self.of(n)
         out = [k] if self.differ(k) else []
         if k and self.differ(k - 1) and n * self.percent <= self.high[k - 1] * 100:

@@ -130,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> np.ndarra
 
     # at most ``most`` rows reach the one task that learns
     rows = id_and_text(docs).join(F.broadcast(known.limit(most)), "doc_id").dropDuplicates(["doc_id"])
-    return np.frombuffer(rows.repartition(1).mapInArrow(task, "weights binary").first()[0], "<f4")
+    learnt = rows.repartition(1).mapInArrow(task, "weights binary").first()  # no row at all where no labelled row is there
+    return np.frombuffer(learnt[0], "<f4") if learnt else np.zeros((1 << BITS) + 1, "<f4")
 
 
 def probabilities(text: pa.Array, weights: np.ndarray) -> np.ndarray:

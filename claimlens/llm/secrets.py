@@ -33,6 +33,8 @@ from .common import LOWER, Words, blocks, bounded_sample, documents, id_and_text
 TRAIN_ROWS = 4000
 REACH = 8
 STEPS = 120
+#: Windows that the field is fitted on at most; those about base matches come first.
+WINDOWS = 6000
 NEVER = -1e4
 KINDS = ("assign", "access", "hex", "crf")
 OUT, BEGIN, INSIDE = 0, 1, 2
@@ -221,14 +223,19 @@ def fit(docs: DataFrame, most: int = TRAIN_ROWS) -> Field:
                 if a + width <= len(tag) and tokens.of[a] == tokens.of[a + width - 1]:
                     codes.append(tokens.codes[:, a : a + width])
                     tags.append(tag[a : a + width])
+        told = sorted(range(len(tags)), key=lambda k: not tags[k].any())
+        codes, tags = [codes[k] for k in told], [tags[k] for k in told]
         field = Field()
-        order = np.argsort([hash(t.tobytes()) & 0xFFFF for t in codes], kind="stable") if codes else []
-        order = list(order)[:6000]
+        order = range(min(len(codes), WINDOWS))
         field.fit(np.stack([codes[k] for k in order], 1) if len(order) else np.zeros((4, 0, width), int), np.stack([tags[k] for k in order]) if len(order) else np.zeros((0, width), int))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((field.tables, field.pairs))], pa.binary())], names=["field"])
 
     field = Field()
-    field.tables, field.pairs = pickle.loads(rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(task, "field binary").first()[0])
+    learnt = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(task, "field binary").first()
+    if learnt:
+        field.tables, field.pairs = pickle.loads(learnt[0])
+    else:  # no text to learn from
+        field.tables[0][:, OUT] = 50.0
     return field
 
 
