@@ -38,7 +38,7 @@ from .components import components
 
 GROUPS = 64
 WEAK = 3
-BLOCK = 384
+BLOCK = 256
 BOUND_GROUPS = 256
 _POINT = mix(np.arange(1, GROUPS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
@@ -158,7 +158,7 @@ def candidates(reps: DataFrame) -> DataFrame:
             size = np.array([len(x) // 8 for x in batch.column("leaves").to_pylist()])
             at, ends = 0, np.cumsum(size)
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 400_000, "right")))
                 part_rows = batch.slice(at, to - at)
                 keys = np.frombuffer(b"".join(part_rows.column("leaves").to_pylist()), np.uint64)
                 ids = np.repeat(np.asarray(part_rows.column("doc_id")), size[at:to])
