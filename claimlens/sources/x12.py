@@ -38,7 +38,7 @@ def segments(files: DataFrame) -> DataFrame:
     """file_id, seg_no (from 1), seg_id, elements, sub, of readable files."""
     rows = delimited(files).where("wrong is null")
     quoted = lambda c: F.concat(F.lit("\\Q"), F.col(c), F.lit("\\E"))
-    parts = rows.select("file_id", "element", "sub", F.filter(F.transform(F.split("text", quoted("term")), F.trim), lambda s: F.regexp_replace(s, r"\s", "") != "").alias("parts"))
+    parts = rows.select("file_id", "element", "sub", F.filter(F.transform(F.split("text", quoted("term")), lambda s: F.trim(s)), lambda s: F.regexp_replace(s, r"\s", "") != "").alias("parts"))
     each = parts.select("file_id", "element", "sub", F.posexplode("parts").alias("at", "raw"))
     each = each.select("file_id", (F.col("at") + 1).alias("seg_no"), F.split(F.regexp_replace("raw", r"\A\s+", ""), quoted("element")).alias("elements"), "sub")
     return each.select("file_id", "seg_no", F.get("elements", F.lit(0)).alias("seg_id"), "elements", "sub")
