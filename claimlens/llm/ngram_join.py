@@ -6,16 +6,20 @@ hashed into blocks and, in a block, into GROUPS groups; the group counts of a bl
 point. The tree's first level is the set's size, its second the block, its leaves the
 points. Sets a and b that link differ in at most T = (|a| + |b|) // 19 shingles, so of
 T + 1 + s blocks at least 1 + s points are equal: the query box of such a block is a
-single leaf, found by an equi-join on the leaf's key, exactly and without a cap. Blocks of
-few shingles tell little; a set has s of them to spare, and enters all its blocks where it
-has more.
-
-Sets that meet in a leaf are joined by a star to its least representative (first within a
-task's block of sets, then among blocks, so a leaf that a third of all rows share gets a
-row a block); stars that touch are a candidate cluster. Within clusters, in blocks of
-BLOCK sets and pairs of blocks, the overlap is bounded by the summed minima of the counts,
-and pairs that pass are verified on whole sets. Only a spanning forest of the links found
-leaves a task; links of different clusters cannot exist.
+single leaf, found by an equi-join on the leaf's key, exactly and without a cap. A set has
+s leaves to spare and leaves out the s that most sets enter, so leaves that hold next to
+nothing, or a common passage alone, join nobody. As all sets rank leaves alike (by sets
+that enter, then key), the least shared of a link's 1 + s equal leaves is kept by both.
+Counts go to leaves and back by blocks of sets, a leaf counted once a block.
+
+Of sets that meet in a leaf, pairs pass whose overlap, bounded by the summed minima of the
+count vectors of the whole sets, can be enough. In a leaf of more than CROWD sets all pass
+unseen: they are joined by a star to their least (first within a block of sets, then among
+blocks, so a leaf that a third of all rows share gets a row a block). Pairs that touch are
+a candidate cluster. Within clusters, in blocks of BLOCK sets and pairs of blocks, finer
+count vectors bound the overlap again, and pairs that pass are verified on whole sets.
+Only a spanning forest of the links found leaves a task; links of different clusters
+cannot exist.
 
 Defined results: nulls and texts without words have an empty set and link with nothing;
 texts of one or two words have their whole sequence as one shingle; repeated rows are
@@ -26,6 +30,8 @@ read.
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +43,10 @@ from .common import BLANKS, LOWER, Words, blocks, documents, grams, id_and_text,
 from .components import components
 
 GROUPS = 64
-WEAK = 3
+#: Leaves that a block of sets holds.
+LEAVES = 400_000
+#: Sets in a leaf that are compared pair by pair.
+CROWD = 128
 BLOCK = 256
 BOUND_GROUPS = 256
 _POINT = mix(np.arange(1, GROUPS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
@@ -62,9 +71,9 @@ class Sizes:
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
     def blocks(self, k: int) -> tuple[int, int]:
-        """Blocks of class k, and how many of them may be weak."""
+        """Blocks of class k, and how many of them may be left out."""
         t = self.differ(k)
-        spare = 1 + t // 5
+        spare = 1 + t // 3
         return t + 1 + spare, spare
 
     def entered(self, n: int) -> list[int]:
@@ -95,10 +104,10 @@ def shingles(text: pa.Array, n: int, separators: np.ndarray = BLANKS) -> list[np
 
 
 def leaves(own: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Keys of the leaves that a set enters."""
+    """Keys of a set's leaves: all blocks of each class that it enters."""
     out = []
     for k in sizes.entered(len(own)):
-        count, spare = sizes.blocks(k)
+        count, _ = sizes.blocks(k)
         spread = mix(own ^ np.uint64(0xA24BAED4963EE407 + k))
         block = (spread >> np.uint64(32)).astype(np.int64) % count
         point = _POINT[(spread & np.uint64(GROUPS - 1)).astype(np.int64)]
@@ -109,13 +118,17 @@ def leaves(own: np.ndarray, sizes: Sizes) -> np.ndarray:
         end = np.cumsum(size)
         key = total[end] - total[end - size]  # a linear hash of the block's group counts
         key = mix(mix(key + size.astype(np.uint64)) + np.arange(count, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(k + 1 << 40))
-        strong = size >= WEAK
-        out.append(key[strong] if count - strong.sum() <= spare else key)
+        out.append(key)
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def point(own: np.ndarray) -> bytes:
+    """Counts of a whole set's groups, one byte each; cut at 255, which only brings points closer."""
+    return np.minimum(np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
+
+
 def signed(docs: DataFrame, n: int, percent: int, separators: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), leaf keys."""
+    """doc_id, n_shingles, digest of the set (null if empty), leaf keys, point of the whole set."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -126,10 +139,11 @@ def signed(docs: DataFrame, n: int, percent: int, separators: np.ndarray) -> Dat
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                 pa.array([leaves(s, sizes).tobytes() for s in sets], pa.binary()),
+                pa.array([point(s) for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "digest", "leaves"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "digest", "leaves", "point"])
 
-    return id_and_text(docs).mapInArrow(task, "doc_id long, n_shingles long, digest binary, leaves binary")
+    return id_and_text(docs).mapInArrow(task, "doc_id long, n_shingles long, digest binary, leaves binary, point binary")
 
 
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,54 +161,200 @@ def _edge_batch(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) of stars over the leaves that more than one representative enters."""
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = 4 * parts
-    schema = "part int, a binary, b binary"
+def dealt(keys: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """The keys, and columns beside them, cut by the part that each key is dealt to."""
+    part = (keys >> np.uint64(20)).astype(np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    for g in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
+        yield int(part[g[0]]), keys[g].astype("<u8").tobytes(), *(c[g].tobytes() for c in columns)
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Each part, in order, and its rows."""
+    part, held = None, []
+    for batch in batches:
+        for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != part:
+                if held:
+                    yield part, held
+                part, held = own, []
+            held.append(row)
+    if held:
+        yield part, held
+
+
+def leaf_blocks(classes: DataFrame) -> DataFrame:
+    """Sets and their leaf keys in blocks of about LEAVES leaves: block, ids, sizes, leaves, points."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, points = batch.column("leaves").to_pylist(), batch.column("point").to_pylist()
+            ids, sizes = np.asarray(batch.column("doc_id")), np.asarray(batch.column("n_shingles"))
+            ends = np.cumsum([len(x) // 8 for x in data])
+            at = 0
+            while at < len(data):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LEAVES, "right")))
+                row = (uuid.uuid4().int >> 65, ids[at:to].astype("<i8").tobytes(), sizes[at:to].astype("<i8").tobytes(), b"".join(data[at:to]), b"".join(points[at:to]))
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["block", "ids", "sizes", "leaves", "points"])
+                at = to
+
+    rows = classes.where(F.length("leaves") > 0).select("doc_id", "n_shingles", "leaves", "point")
+    return written(classes.sparkSession, rows.mapInArrow(task, "block long, ids binary, sizes binary, leaves binary, points binary"), "leaf-blocks")
+
+
+def shared_leaves(held: DataFrame) -> DataFrame:
+    """For each block of sets: the leaves that more than one set enters, and how many do (block, leaves, counts)."""
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("leaves").to_pylist(), strict=True):
+                keys, counts = np.unique(np.frombuffer(data, "<u8"), return_counts=True)
+                rows = list(dealt(keys, 4 * parts, counts.astype("<i8")))
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([columns[0], pa.array([block] * len(rows), pa.int64()), *columns[1:]], names=["part", "block", "leaves", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_part(batches):
+            keys = np.frombuffer(b"".join(r[1] for r in rows), "<u8")
+            counts = np.frombuffer(b"".join(r[2] for r in rows), "<i8")
+            _, at = np.unique(keys, return_inverse=True)
+            total = np.bincount(at, counts).astype("<i8")[at]
+            first = 0
+            for block, data, _ in rows:
+                own = slice(first, first + len(data) // 8)
+                first = own.stop
+                more = total[own] > 1
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([keys[own][more].tobytes()], pa.binary()), pa.array([total[own][more].tobytes()], pa.binary())], names=["block", "leaves", "counts"])
+
+    packed = held.select("block", "leaves").mapInArrow(count, "part int, block long, leaves binary, counts binary")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(add, "block long, leaves binary, counts binary")
+
+
+def entered(held: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, point, and the shared leaves that a set enters, without those it leaves out; crowded ones apart."""
+    told = shared_leaves(held).where(F.length("leaves") > 0).groupBy("block").agg(F.collect_list("leaves").alias("shared"), F.collect_list("counts").alias("counts"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, size, own, points, shared, counts in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "leaves", "points", "shared", "counts")), strict=True):
+                ids, size, own = np.frombuffer(ids, "<i8"), np.frombuffer(size, "<i8"), np.frombuffer(own, "<u8")
+                shared, counts = np.frombuffer(b"".join(shared), "<u8"), np.frombuffer(b"".join(counts), "<i8")
+                order = np.argsort(shared)
+                shared, counts = shared[order], counts[order]
+                at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
+                many = np.where(shared[at] == own, counts[at], 1)
+                sizes = Sizes(percent, int(size.max()) + 1)
+                runs = {n: [sizes.blocks(k) for k in sizes.entered(n)] for n in set(size.tolist())}
+                runs = [(doc, *run) for doc, n in enumerate(size.tolist()) for run in runs[n]]
+                doc, length, spare = np.array(runs).T
+                run = np.repeat(np.arange(len(length)), length)
+                order = np.lexsort((own, many, run))  # runs stay in place, the most shared leaves last in each
+                keep = np.arange(len(own)) < (np.cumsum(length) - spare)[run]
+                order = order[keep & (many[order] > 1)]
+                few = many[order] <= CROWD
+                columns = []
+                for left in (order[few], order[~few]):
+                    cuts = np.searchsorted(doc[run[left]], np.arange(len(ids) + 1)).tolist()
+                    columns.append(pa.array([own[left[i:j]].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+                points = pa.array([points[k : k + GROUPS] for k in range(0, len(points), GROUPS)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), points, *columns], names=["doc_id", "n_shingles", "point", "leaves", "crowded"])
+
+    return held.join(told, "block").mapInArrow(task, "doc_id long, n_shingles long, point binary, leaves binary, crowded binary")
+
+
+def close(keys: np.ndarray, ids: np.ndarray, size: np.ndarray, points: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars over the sets that meet under one key in pairs whose summed minima allow a link."""
+    order = np.lexsort((ids, keys))
+    keys, size, points = keys[order], size[order], points[order].astype(np.int16)
+    node, at = np.unique(ids[order], return_inverse=True)
+    label = np.arange(len(node))
+    left, right = [], []
+    for step in range(1, len(keys)):
+        first = np.flatnonzero(keys[step:] == keys[:-step])
+        if not len(first):
+            break
+        for few in np.array_split(first, 1 + len(first) // 20_000):
+            total = size[few] + size[few + step]
+            bound = (total - np.abs(points[few] - points[few + step]).sum(1)) // 2
+            few = few[(100 + percent) * bound >= percent * total]
+            left.append(at[few])
+            right.append(at[few + step])
+    if left:
+        left, right = np.concatenate(left), np.concatenate(right)
+        while True:
+            least = np.minimum(label[left], label[right])
+            if np.array_equal(least, label[left]) and np.array_equal(least, label[right]):
+                break
+            np.minimum.at(label, left, least)
+            np.minimum.at(label, right, least)
+    return _edge_batch(node, node[label])
+
+
+def candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of stars over the pairs that pass in leaves, and over crowded leaves."""
+    return near(sets, percent).unionByName(crowds(sets.where(F.length("crowded") > 0).select("doc_id", F.col("crowded").alias("leaves"))))
+
+
+def near(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges of the leaves that few enter: their sets meet with their points."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.array([len(x) // 8 for x in batch.column("leaves").to_pylist()])
-            at, ends = 0, np.cumsum(size)
+            ends = np.cumsum([len(x) // 8 for x in batch.column("leaves").to_pylist()])
+            at = 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 400_000, "right")))
-                part_rows = batch.slice(at, to - at)
-                keys = np.frombuffer(b"".join(part_rows.column("leaves").to_pylist()), np.uint64)
-                ids = np.repeat(np.asarray(part_rows.column("doc_id")), size[at:to])
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LEAVES // 4, "right")))
+                rows = batch.slice(at, to - at)
                 at = to
-                order, least, new = _stars(keys, ids)
-                a, b = _edge_batch(ids[order], least)
-                rows = [[-1], [a.astype("<i8").tobytes()], [b.astype("<i8").tobytes()]] if len(a) else [[], [], []]
-                keys, ids = keys[order[new]], ids[order[new]]
-                part = (keys >> np.uint64(20)).astype(np.int64) % dealt
-                order = np.argsort(part, kind="stable")
-                for g in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
-                    for column, x in zip(rows, (int(part[g[0]]), keys[g].astype("<u8").tobytes(), ids[g].astype("<i8").tobytes()), strict=True):
-                        column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "a", "b"])
+                data = rows.column("leaves").to_pylist()
+                of = np.repeat(np.arange(len(data)), [len(x) // 8 for x in data])
+                ids, size = np.asarray(rows.column("doc_id")).astype("<i8"), np.asarray(rows.column("n_shingles")).astype("<i8")
+                points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
+                out = list(dealt(np.frombuffer(b"".join(data), "<u8"), 4 * parts, ids[of], size[of], points[of]))
+                out = [(part, keys, a, b, zlib.compress(c, 1)) for part, keys, a, b, c in out]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary() if k else pa.int32()) for k in range(5)], names=["part", "keys", "ids", "sizes", "points"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(blobs: list) -> pa.RecordBatch:
-            keys = np.frombuffer(b"".join(x for x, _ in blobs), np.uint64)
-            ids = np.frombuffer(b"".join(y for _, y in blobs), np.int64)
-            order, least, _ = _stars(keys, ids)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _edge_batch(ids[order], least)], names=["a", "b"])
+        for _, rows in by_part(batches):
+            keys, ids, size = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(("<u8", "<i8", "<i8")))
+            points = np.frombuffer(b"".join(zlib.decompress(r[3]) for r in rows), np.uint8).reshape(-1, GROUPS)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in close(keys, ids, size, points, percent)], names=["a", "b"])
+
+    packed = sets.where(F.length("leaves") > 0).select("doc_id", "n_shingles", "point", "leaves").mapInArrow(enter, "part int, keys binary, ids binary, sizes binary, points binary")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long")
 
-        part, blobs = None, []
+
+def crowds(reps: DataFrame) -> DataFrame:
+    """Edges of the leaves that many enter: stars, merged within batches first."""
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names, kinds = ["part", "a", "b"], [pa.int32(), pa.binary(), pa.binary()]
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if p < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (a, b)], names=["a", "b"])
-                    continue
-                if p != part:
-                    yield edges(blobs)
-                    part, blobs = p, []
-                blobs.append((a, b))
-        yield edges(blobs)
+            data = batch.column("leaves").to_pylist()
+            keys = np.frombuffer(b"".join(data), "<u8")
+            ids = np.repeat(np.asarray(batch.column("doc_id")), [len(x) // 8 for x in data])
+            order, least, new = _stars(keys, ids)
+            a, b = _edge_batch(ids[order], least)
+            rows = [(-1, a.astype("<i8").tobytes(), b.astype("<i8").tobytes())] if len(a) else []
+            rows += dealt(keys[order[new]], 4 * parts, ids[order[new]].astype("<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in by_part(batches):
+            for a, b in rows if part < 0 else [(b"".join(r[0] for r in rows), b"".join(r[1] for r in rows))]:
+                if part < 0:
+                    a, b = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")
+                else:
+                    ids = np.frombuffer(b, "<i8")
+                    order, least, _ = _stars(np.frombuffer(a, "<u8"), ids)
+                    a, b = _edge_batch(ids[order], least)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     key = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.xxhash64("a"))
-    packed = reps.select("doc_id", "leaves").mapInArrow(enter, schema)
+    packed = reps.mapInArrow(enter, "part int, a binary, b binary")
     return packed.repartition(parts, key).sortWithinPartitions("part").mapInArrow(meet, "a long, b long")
 
 
@@ -305,9 +465,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, separators:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) for every row."""
     spark = docs.sparkSession
     rows = written(spark, signed(docs, n, percent, separators), "shingle-sets")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "leaves")).alias("first")).select("digest", "first.*")
-    classes = written(spark, classes, "shingle-classes")
-    stars = components(candidates(classes.where(F.length("leaves") > 0)))
+    full = rows.where("digest is not null").groupBy("digest")
+    classes = full.agg(F.min("doc_id").alias("doc_id"))
+    held = leaf_blocks(full.agg(F.min(F.struct("doc_id", "n_shingles", "leaves", "point")).alias("first")).select("first.*"))
+    stars = components(candidates(written(spark, entered(held, percent), "leaves-entered"), percent))
     found = components(links(docs, stars, n, percent, separators))
     named = classes.select("digest", F.col("doc_id").alias("node")).join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
     return rows.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
