@@ -127,23 +127,21 @@ def point(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
 
 
-def signed(docs: DataFrame, n: int, percent: int, separators: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), leaf keys, point of the whole set."""
+def signed(docs: DataFrame, n: int, percent: int, separators: np.ndarray, indexed: bool) -> DataFrame:
+    """doc_id, n_shingles, digest of the set (null if empty); for the index also its leaf keys and its point."""
+    schema = "doc_id long, n_shingles long, digest binary" + ", leaves binary, point binary" * indexed
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             sets = shingles(block.column("text"), n, separators)
-            sizes = Sizes(percent, max(map(len, sets)) + 1)
-            arrays = [
-                block.column("doc_id"),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array([leaves(s, sizes).tobytes() for s in sets], pa.binary()),
-                pa.array([point(s) for s in sets], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "digest", "leaves", "point"])
+            columns = [block.column("doc_id"), pa.array([len(s) for s in sets], pa.int64())]
+            columns.append(pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()))
+            if indexed:
+                sizes = Sizes(percent, max(map(len, sets)) + 1)
+                columns += [pa.array([leaves(s, sizes).tobytes() for s in sets], pa.binary()), pa.array([point(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
-    return id_and_text(docs).mapInArrow(task, "doc_id long, n_shingles long, digest binary, leaves binary, point binary")
+    return id_and_text(docs).mapInArrow(task, schema)
 
 
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,12 +159,16 @@ def _edge_batch(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
 def dealt(keys: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple]:
-    """The keys, and columns beside them, cut by the part that each key is dealt to."""
-    part = (keys >> np.uint64(20)).astype(np.int64) % parts
+    """Columns cut by the part that the key beside them is dealt to."""
+    part = part_of(keys, parts)
     order = np.argsort(part, kind="stable")
     for g in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
-        yield int(part[g[0]]), keys[g].astype("<u8").tobytes(), *(c[g].tobytes() for c in columns)
+        yield int(part[g[0]]), *(c[g].tobytes() for c in columns)
 
 
 def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -198,52 +200,57 @@ def leaf_blocks(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["block", "ids", "sizes", "leaves", "points"])
                 at = to
 
-    rows = classes.where(F.length("leaves") > 0).select("doc_id", "n_shingles", "leaves", "point")
-    return written(classes.sparkSession, rows.mapInArrow(task, "block long, ids binary, sizes binary, leaves binary, points binary"), "leaf-blocks")
+    return written(classes.sparkSession, classes.mapInArrow(task, "block long, ids binary, sizes binary, leaves binary, points binary"), "leaf-blocks")
+
 
+def shared_leaves(held: DataFrame, parts: int) -> DataFrame:
+    """For each block of sets and part: the leaves that more than one set enters, and how many do (block, part, leaves, counts).
 
-def shared_leaves(held: DataFrame) -> DataFrame:
-    """For each block of sets: the leaves that more than one set enters, and how many do (block, leaves, counts)."""
-    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    Leaves are told apart by part and 32 bits more here; where two are taken for one, both rank by their sum.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("leaves").to_pylist(), strict=True):
                 keys, counts = np.unique(np.frombuffer(data, "<u8"), return_counts=True)
-                rows = list(dealt(keys, 4 * parts, counts.astype("<i8")))
-                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([columns[0], pa.array([block] * len(rows), pa.int64()), *columns[1:]], names=["part", "block", "leaves", "counts"])
+                rows = [(part, block, low, zlib.compress(n, 1)) for part, low, n in dealt(keys, parts, keys.astype("<u4"), counts.astype("<u4"))]
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["part", "block", "leaves", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_part(batches):
-            keys = np.frombuffer(b"".join(r[1] for r in rows), "<u8")
-            counts = np.frombuffer(b"".join(r[2] for r in rows), "<i8")
-            _, at = np.unique(keys, return_inverse=True)
-            total = np.bincount(at, counts).astype("<i8")[at]
-            first = 0
+        for part, rows in by_part(batches):
+            _, at = np.unique(np.frombuffer(b"".join(r[1] for r in rows), "<u4"), return_inverse=True)
+            total = np.bincount(at, np.frombuffer(b"".join(zlib.decompress(r[2]) for r in rows), "<u4")).astype("<i8")[at]
+            first, out = 0, []
             for block, data, _ in rows:
-                own = slice(first, first + len(data) // 8)
-                first = own.stop
-                more = total[own] > 1
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([keys[own][more].tobytes()], pa.binary()), pa.array([total[own][more].tobytes()], pa.binary())], names=["block", "leaves", "counts"])
+                own = total[first : first + len(data) // 4]
+                first += len(own)
+                if (own > 1).any():
+                    out.append((block, part, np.frombuffer(data, "<u4")[own > 1].tobytes(), own[own > 1].tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["block", "part", "leaves", "counts"])
 
     packed = held.select("block", "leaves").mapInArrow(count, "part int, block long, leaves binary, counts binary")
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(add, "block long, leaves binary, counts binary")
+    spread = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartition(spread, "part").sortWithinPartitions("part").mapInArrow(add, "block long, part int, leaves binary, counts binary")
 
 
 def entered(held: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, point, and the shared leaves that a set enters, without those it leaves out; crowded ones apart."""
-    told = shared_leaves(held).where(F.length("leaves") > 0).groupBy("block").agg(F.collect_list("leaves").alias("shared"), F.collect_list("counts").alias("counts"))
+    parts = 4 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = shared_leaves(held, parts).groupBy("block").agg(F.collect_list(F.struct("part", F.col("leaves").alias("shared"), "counts")).alias("told"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, size, own, points, shared, counts in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "leaves", "points", "shared", "counts")), strict=True):
+            for ids, size, own, points, told in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "leaves", "points", "told")), strict=True):
                 ids, size, own = np.frombuffer(ids, "<i8"), np.frombuffer(size, "<i8"), np.frombuffer(own, "<u8")
-                shared, counts = np.frombuffer(b"".join(shared), "<u8"), np.frombuffer(b"".join(counts), "<i8")
+                shared = np.concatenate([np.frombuffer(t["shared"], "<u4").astype(np.int64) | t["part"] << 32 for t in told])
+                counts = np.frombuffer(b"".join(t["counts"] for t in told), "<i8")
                 order = np.argsort(shared)
                 shared, counts = shared[order], counts[order]
-                at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
-                many = np.where(shared[at] == own, counts[at], 1)
+                short = own.astype(np.uint32).astype(np.int64) | part_of(own, parts) << 32
+                at = np.minimum(np.searchsorted(shared, short), len(shared) - 1)
+                many = np.where(shared[at] == short, counts[at], 1)
                 sizes = Sizes(percent, int(size.max()) + 1)
                 runs = {n: [sizes.blocks(k) for k in sizes.entered(n)] for n in set(size.tolist())}
                 runs = [(doc, *run) for doc, n in enumerate(size.tolist()) for run in runs[n]]
@@ -312,7 +319,8 @@ def near(sets: DataFrame, percent: int) -> DataFrame:
                 of = np.repeat(np.arange(len(data)), [len(x) // 8 for x in data])
                 ids, size = np.asarray(rows.column("doc_id")).astype("<i8"), np.asarray(rows.column("n_shingles")).astype("<i8")
                 points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
-                out = list(dealt(np.frombuffer(b"".join(data), "<u8"), 4 * parts, ids[of], size[of], points[of]))
+                keys = np.frombuffer(b"".join(data), "<u8")
+                out = list(dealt(keys, 4 * parts, keys, ids[of], size[of], points[of]))
                 out = [(part, keys, a, b, zlib.compress(c, 1)) for part, keys, a, b, c in out]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary() if k else pa.int32()) for k in range(5)], names=["part", "keys", "ids", "sizes", "points"])
 
@@ -339,7 +347,7 @@ def crowds(reps: DataFrame) -> DataFrame:
             order, least, new = _stars(keys, ids)
             a, b = _edge_batch(ids[order], least)
             rows = [(-1, a.astype("<i8").tobytes(), b.astype("<i8").tobytes())] if len(a) else []
-            rows += dealt(keys[order[new]], 4 * parts, ids[order[new]].astype("<i8"))
+            rows += dealt(keys[order[new]], 4 * parts, keys[order[new]], ids[order[new]].astype("<i8"))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,10 +472,11 @@ def links(docs: DataFrame, clusters: DataFrame, n: int, percent: int, separators
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, separators: np.ndarray = BLANKS) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) for every row."""
     spark = docs.sparkSession
-    rows = written(spark, signed(docs, n, percent, separators), "shingle-sets")
-    full = rows.where("digest is not null").groupBy("digest")
-    classes = full.agg(F.min("doc_id").alias("doc_id"))
-    held = leaf_blocks(full.agg(F.min(F.struct("doc_id", "n_shingles", "leaves", "point")).alias("first")).select("first.*"))
+    rows = written(spark, signed(docs, n, percent, separators, False), "shingle-sets")
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    # leaves are made anew rather than stored for every row: they take more room than texts
+    first = signed(docs, n, percent, separators, True).where(F.length("leaves") > 0).groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "leaves", "point")).alias("first"))
+    held = leaf_blocks(first.select("first.*"))
     stars = components(candidates(written(spark, entered(held, percent), "leaves-entered"), percent))
     found = components(links(docs, stars, n, percent, separators))
     named = classes.select("digest", F.col("doc_id").alias("node")).join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
