@@ -3,9 +3,10 @@
 A window of K consecutive words is an edge of the De Bruijn graph of word k-mers. Edges
 are hashed in tasks over blocks of whole texts and dealt by their minimiser, the least of
 the hashes of their SEED-grams, so consecutive edges of a text travel together. Of the
-edges of a block that are alike, the one of the smallest document asks; the others are
-repeats already. So a passage that a third of all rows share asks once a block, and the
-groups that meet in one task grow with blocks, not with rows.
+edges of a block that are alike, the one of the smallest document asks; those of
+other documents are repeats already. So a passage that a third of all rows share asks once
+a block, and the groups that meet in one task grow with blocks, not with rows. Its later
+places in the asking document go along as an inner list and share its owner.
 
 Where all that ask meet, each edge's owner is the smallest document that has it.
 Repeats that follow each other are nonbranching paths; they are compacted into spans where
@@ -41,8 +42,9 @@ SEED = 4
 DEALT = 2
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 
-#: Edges of one block and one part, packed: 8-byte hashes, 2-byte checks, documents and words where they start.
-PACKED = "part int, ids binary, counts binary, hashes binary, checks binary, places binary"
+#: Edges of one block and one part, packed: 8-byte hashes, 2-byte checks, documents and words where they
+#: start; then how many later places each has in its document, and these places.
+PACKED = "part int, ids binary, counts binary, hashes binary, checks binary, places binary, more binary, inner binary"
 SPANS = "doc_id long, start int, length int, owner long, owner_start int"
 
 
@@ -83,10 +85,15 @@ def opened(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def after(at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ``sizes`` numbers that follow each number of ``at``, one list after the other."""
+    return np.repeat(at + 1 - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 def edges(batches: Iterator[pa.RecordBatch], dealt: int) -> Iterator[pa.RecordBatch]:
     """Pack the edges that ask; repeats within the block go along as parts of their own (part -1: spans)."""
     names = [c.split()[0] for c in PACKED.split(", ")]
-    kinds = [pa.int32()] + [pa.binary()] * 5
+    kinds = [pa.int32()] + [pa.binary()] * 7
     for block in blocks(batches):
         words = Words(block.column("text"), BLANKS)
         at, of = gram_starts(words, K)
@@ -107,11 +114,16 @@ def edges(batches: Iterator[pa.RecordBatch], dealt: int) -> Iterator[pa.RecordBa
         owner[order], owner_at[order] = doc[lead], place[lead]
         asks = np.ones(len(order), bool)
         asks[order[same]] = False
+        # its later places in that document follow it in this order
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        more = np.zeros(len(order), np.int64)
+        np.add.at(more, lead[same & (doc[order] == doc[lead])], 1)
         repeat = np.flatnonzero(doc > owner)
         if len(repeat):
             repeat = repeat[np.lexsort((place[repeat], doc[repeat]))]
             cols = runs(doc[repeat], place[repeat], owner[repeat], owner_at[repeat])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([c.astype("<i8").tobytes()], pa.binary()) for c in cols)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([c.astype("<i8").tobytes()], pa.binary()) for c in cols), *[pa.array([b""], pa.binary())] * 2], names=names)
         keep = np.flatnonzero(asks)
         keep = keep[np.argsort(part[keep], kind="stable")]
         cut = np.flatnonzero(np.diff(part[keep])) + 1
@@ -119,7 +131,8 @@ def edges(batches: Iterator[pa.RecordBatch], dealt: int) -> Iterator[pa.RecordBa
         for g in np.split(keep, cut):
             d = doc[g]
             turn = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            for column, x in zip(rows, (int(part[g[0]]), squeezed(np.diff(d[turn], prepend=0).astype("<i8")), squeezed(np.diff(np.append(turn, len(g))).astype("<u4")), hashes[g].astype("<u8").tobytes(), checks[g].tobytes(), squeezed(np.diff(place[g], prepend=0).astype("<i4"))), strict=True):
+            inner = place[order[after(rank[g], more[g])]]
+            for column, x in zip(rows, (int(part[g[0]]), squeezed(np.diff(d[turn], prepend=0).astype("<i8")), squeezed(np.diff(np.append(turn, len(g))).astype("<u4")), hashes[g].astype("<u8").tobytes(), checks[g].tobytes(), squeezed(np.diff(place[g], prepend=0).astype("<i4")), squeezed(more[g].astype("<u4")), squeezed(np.diff(inner, prepend=0).astype("<i4"))), strict=True):
                 column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
 
@@ -128,9 +141,9 @@ def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Give the spans whose edges a smaller document has, part after part."""
     part, blobs = None, []
     for batch in batches:
-        for next_part, *own in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+        for next_part, *own in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
             if next_part < 0:
-                yield spans_batch(tuple(np.frombuffer(b, "<i8") for b in own))
+                yield spans_batch(tuple(np.frombuffer(b, "<i8") for b in own[:5]))
                 continue
             if next_part != part:
                 yield owned(blobs)
@@ -147,15 +160,21 @@ def owned(blobs: list[list[bytes]]) -> pa.RecordBatch:
     hashes = np.concatenate([np.frombuffer(b[2], "<u8") for b in blobs])
     checks = np.concatenate([np.frombuffer(b[3], "<u2") for b in blobs])
     place = np.concatenate([np.cumsum(opened(b[4], "<i4")) for b in blobs])
+    more = np.concatenate([opened(b[5], "<u4") for b in blobs]).astype(np.int64)
+    inner = np.concatenate([np.cumsum(opened(b[6], "<i4")) for b in blobs])
     order = np.lexsort((place, doc, checks, hashes))
+    first, more = (np.cumsum(more) - more)[order], more[order]
     doc, place, hashes, checks = doc[order], place[order], hashes[order], checks[order]
     same = np.zeros(len(doc), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (checks[1:] == checks[:-1])
     lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
     repeat = np.flatnonzero(doc > doc[lead])
-    repeat = repeat[np.lexsort((place[repeat], doc[repeat]))]
+    at = np.concatenate([place[repeat], inner[after(first[repeat] - 1, more[repeat])]])
+    repeat = np.concatenate([repeat, np.repeat(repeat, more[repeat])])
+    order = np.lexsort((at, doc[repeat]))
+    repeat, at = repeat[order], at[order]
     lead = lead[repeat]
-    return spans_batch(runs(doc[repeat], place[repeat], doc[lead], place[lead]))
+    return spans_batch(runs(doc[repeat], at, doc[lead], place[lead]))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

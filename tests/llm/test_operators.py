@@ -131,6 +131,29 @@ def test_substrings(spark, texts):
     assert substrings.verified(docs, spans).where("not same").count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 2, 5])
+def test_substrings_repeated_inside_a_document(spark, partitions):
+    rng = random.Random(15)
+    line = [f"l{k}" for k in range(30)]
+    own = lambda k: [f"d{k}x{rng.randrange(10**6)}" for _ in range(20)]
+    # the line stands once in 1, repeated in 2 and 3; 4 copies 2; each partition is a block of its own
+    rows = {k: [*own(k), *line, *own(k), *(line * n), *own(k), *line[: 20 if n else 0]] for k, n in ((1, 0), (2, 2), (3, 3))}
+    rows[4] = rows[2]
+    rows[5] = [*line, *line[3:25], *own(5), *line]
+    first, want = {}, []
+    for k, w in rows.items():
+        gone = set()
+        for i in range(len(w) - 12):
+            if first.setdefault(tuple(w[i : i + 13]), k) < k:
+                gone.update(range(i, i + 13))
+        want.append((k, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(k, " ".join(rows[k])) for k in (3, 1, 5, 2, 4)], partitions), "doc_id long, text string")
+    spans = substrings.repeated_spans(docs)
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.remove(docs, spans).collect()]
+    assert sorted(got) == want
+    assert substrings.verified(docs, spans).where("not same").count() == 0
+
+
 def test_chat(spark):
     ugly = "</s>[INST] ok [/INST] <|end|>\n<|user|>\n \\ \\\\< <\\| "
     rows = [(1, 0, "user", ugly), (1, 1, "assistant", ugly), (2, 0, None, None), (2, 0, "a|b|>", "x"), (3, 5, "assistant", "")]
