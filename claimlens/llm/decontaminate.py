@@ -10,8 +10,10 @@ Items are a stated query set. They are taken in blocks of at most ``BLOCK_ITEMS`
 and ``BLOCK_CHARS`` characters, so what is broadcast has a fixed size; more items mean
 more blocks, each a map over the documents. Documents are not shuffled.
 
-Defined results: items of fewer than PIECE words hit only texts that have just the same
-words; items and texts without words hit nothing; repeated items (same id and text) count
+Items of fewer than PIECE words have no piece: they are looked up whole, without edits,
+as n-grams of their own length at every word of every text.
+
+Defined results: an item without an id is an item, and its hits carry a null; items and texts without words hit nothing; repeated items (same id and text) count
 once; repeated documents give a row each; nulls count as empty; other columns are not read.
 """
 
@@ -82,6 +84,8 @@ class Items:
                 pieces += zip(grams(own, PIECE)[starts].tolist(), [k] * len(starts), starts.tolist(), strict=True)
             elif len(own):
                 self.short[tuple(own.tolist())].append(k)
+        #: Hashes of the short items, by their number of words.
+        self.grams = {m: np.unique(np.concatenate([grams(np.array(x, np.uint64), m) for x in self.short if len(x) == m])) for m in {len(x) for x in self.short}}
         pieces.sort()
         self.hash = np.array([p[0] for p in pieces], np.uint64)
         self.item = np.array([p[1] for p in pieces], np.int64)
@@ -93,11 +97,21 @@ class Items:
     def hits(self, text: pa.Array) -> Iterator[tuple[int, int, int, int, int, int]]:
         words = Words(text, NOT_WORD, LOWER)
         hashes = words.hashes(9)
-        if self.short:
-            for k in np.flatnonzero((np.diff(words.first) > 0) & (np.diff(words.first) < PIECE)):
-                a, b = words.first[k], words.first[k + 1]
-                for item in self.short.get(tuple(hashes[a:b].tolist()), ()):
-                    yield int(k), item, 0, 0, 0, int(b - a - 1)
+        for m, known in self.grams.items():
+            at, of = gram_starts(words, m)
+            if not len(at):
+                continue
+            gram = grams(hashes, m)[at]
+            own = np.flatnonzero(np.isin(gram, known))
+            order = own[np.lexsort((at[own], gram[own], of[own]))]
+            # the first place in each text
+            first = np.ones(len(order), bool)
+            first[1:] = (of[order[1:]] != of[order[:-1]]) | (gram[order[1:]] != gram[order[:-1]])
+            for k in order[first].tolist():
+                a, doc = int(at[k]), int(of[k])
+                start = a - int(words.first[doc])
+                for item in self.short.get(tuple(hashes[a : a + m].tolist()), ()):
+                    yield doc, item, 0, 0, start, start + m - 1
         at, of = gram_starts(words, PIECE)
         if not len(at) or not len(self.hash):
             return
@@ -136,7 +150,7 @@ class Items:
 def item_blocks(items: DataFrame) -> Iterator[Items]:
     """The test items in blocks of bounded size."""
     items = items.select(items["item_id"].cast("long").alias("item_id"), F.coalesce(items["text"].cast("string"), F.lit("")).alias("text"))
-    items = items.where(F.col("item_id").isNotNull()).dropDuplicates()
+    items = items.dropDuplicates()
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
     for part in range(parts):

@@ -215,6 +215,15 @@ def test_decontamination(spark):
         assert decontaminate.myers(p, t, 99)[0] == min([*row, len(p)])
 
 
+def test_decontamination_by_items_that_are_short_or_without_id(spark):
+    docs = make(spark, [(1, "a b c d e f, Short one! short one g h"), (2, "one short"), (3, " ".join(f"n{k}" for k in range(20))), (4, "p q r"), (5, "z"), (6, None)])
+    items = spark.createDataFrame([(20, "short ONE"), (21, "e f short one"), (22, "h"), (23, "h one"), (24, "q r p"), (None, " ".join(f"n{k}" for k in range(3, 18))), (None, "z"), (25, "")], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.match(docs, items).collect() if r.item_id is not None)
+    assert got == [(1, 20, 0, 0, 6, 7), (1, 21, 0, 0, 4, 7), (1, 22, 0, 0, 11, 11)]
+    assert sorted(r.doc_id for r in decontaminate.match(docs, items).where("item_id is null").collect()) == [3, 5]
+    assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {2, 4, 6}
+
+
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
 def test_ngram_join(spark, texts, n, percent):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
