@@ -8,9 +8,11 @@ adds spans of kind ``crf`` that touch none of them.
 The field is fitted by gradient steps on the conditional likelihood, in one task, on
 windows of tokens from at most ``TRAIN_ROWS`` texts (a documented bound), tagged by the
 base patterns. Its weight tables (a fixed size) are broadcast. In decoding, a token whose
-outside score exceeds its other scores by more than any two transitions can give back
-must be outside on the best path, so the path splits there without change; only the
-stretches between such tokens run Viterbi step by step.
+outside score exceeds its other scores by more than its change to outside can cost must
+be outside on the best path, so the path splits there without change; only the stretches
+between such tokens run Viterbi step by step. The cost counts the transitions about the
+token, and what follows it: inside can't follow outside, so an inside tail must then begin
+a span of its own or go outside as well.
 
 Defined results: null or empty texts have no span; repeated rows give one row each; an
 empty table gives none; other columns are not read.
@@ -36,6 +38,8 @@ STEPS = 120
 #: Windows that the field is fitted on at most; those about base matches come first.
 WINDOWS = 6000
 NEVER = -1e4
+#: Tokens after an outside one that decoding looks at to bound the cost of the change.
+LOOK = 3
 KINDS = ("assign", "access", "hex", "crf")
 OUT, BEGIN, INSIDE = 0, 1, 2
 
@@ -153,8 +157,15 @@ class Field:
             return []
         score = self.emissions(tokens.codes)
         allowed = self.pairs[self.pairs > NEVER / 2]
-        give = 2 * float(allowed.max() - allowed.min()) + 1e-9
-        open_ = score[:, OUT] - np.maximum(score[:, BEGIN], score[:, INSIDE]) <= give
+        step = float(allowed.max() - allowed.min())
+        # the most it can cost, with its transitions, to take an inside token whose predecessor has gone outside into
+        # another tag: begin, or outside and so on with the next token (LOOK steps of that; begin always does)
+        follows = np.append(tokens.of[1:] == tokens.of[:-1], False)
+        begin = score[:, INSIDE] - score[:, BEGIN] + 2 * step
+        cost = begin
+        for _ in range(LOOK):
+            cost = np.minimum(begin, score[:, INSIDE] - score[:, OUT] + step + self.tail(cost, follows, step))
+        open_ = score[:, OUT] - np.maximum(score[:, BEGIN], score[:, INSIDE]) <= step + self.tail(cost, follows, step) + 1e-9
         at = np.flatnonzero(open_)
         if not len(at):
             return []
@@ -167,6 +178,11 @@ class Field:
             out += [(a + i, a + j) for i, j in self.best(score[a:b], left, right)]
         return out
 
+    @staticmethod
+    def tail(cost: np.ndarray, follows: np.ndarray, step: float) -> np.ndarray:
+        """The most that the next token of the same text costs where this one goes outside: the transition, or its change."""
+        return np.where(follows, np.maximum(step, np.append(cost[1:], 0)), step)
+
     def best(self, score: np.ndarray, left: bool, right: bool) -> list[tuple[int, int]]:
         total = score[0] + (self.pairs[OUT] if left else np.array([0, 0, NEVER]))
         back = []

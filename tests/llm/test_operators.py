@@ -193,6 +193,22 @@ def test_secrets(spark):
     assert whole == field.decode(tokens)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_decoding_skips_nothing_of_the_best_path(seed):
+    rng, words = np.random.default_rng(seed), random.Random(seed)
+    field = secrets.Field()
+    field.tables = [rng.normal(0, 3, t.shape) for t in field.tables]
+    field.tables[0][:, secrets.OUT] += rng.uniform(0, 12)
+    own = rng.normal(0, 1, (3, 3))
+    own[secrets.OUT, secrets.INSIDE] = secrets.NEVER
+    field.pairs = own
+    texts = [" ".join("".join(words.choice("ab1.") for _ in range(words.randint(1, 9))) for _ in range(words.randint(0, 60))) for _ in range(60)]
+    tokens = secrets.Tokens(__import__("pyarrow").array(texts))
+    score = field.emissions(tokens.codes)
+    whole = [(int(a) + i, int(a) + j) for a, b in zip(tokens.words.first[:-1], tokens.words.first[1:], strict=True) if b > a for i, j in field.best(score[a:b], False, False)]
+    assert field.decode(tokens) == whole
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
