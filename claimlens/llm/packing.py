@@ -12,7 +12,9 @@ texts; nothing is shuffled, and a lost task is packed again from its input. A te
 longer than a sequence first gives whole sequences of its own.
 
 Defined results: a null or empty text is one end token; repeated rows are packed once
-each; an empty table gives no row; other columns are not read.
+each; an empty table gives no row; all tokens bear loss, or the last ones of a text, as
+many as the column that is named for it says (null: all; its end token counts as one of them);
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import blocks, documents, id_and_text, tokenizer_path
+from .common import blocks, documents, tokenizer_path
 
 #: Tokens, segments and loss-bearing tokens that a sequence may hold.
 LIMITS = (4096, 512, 4096)
@@ -166,7 +169,7 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer: str, limits: tuple[int, int, int] = LIMITS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, limits: tuple[int, int, int] = LIMITS, loss: str | None = None) -> DataFrame:
     """One row per piece of a document; see SCHEMA. Sequences keep the three limits."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,17 +193,20 @@ def pack(docs: DataFrame, tokenizer: str, limits: tuple[int, int, int] = LIMITS)
         for block in blocks(batches):
             texts = block.column("text").to_pylist()
             ids.prepare(texts)
-            for doc_id, text in zip(block.column("doc_id").to_pylist(), texts, strict=True):
+            for doc_id, text, bearing in zip(block.column("doc_id").to_pylist(), texts, block.column("loss").to_pylist(), strict=True):
                 data = ids.encode(text) + end
                 held[n] = [doc_id, data, len(data) // 4]
-                packer.add(n, len(data) // 4, len(data) // 4)
+                tokens = len(data) // 4
+                packer.add(n, tokens, tokens if bearing is None else min(max(bearing, 0), tokens))
                 n += 1
             yield rows()
         packer.place(0)
         packer.close()
         yield rows()
 
-    return id_and_text(docs).mapInArrow(task, SCHEMA)
+    bears = docs[loss].cast("long") if loss else F.lit(None).cast("long")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), bears.alias("loss"))
+    return rows.mapInArrow(task, SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

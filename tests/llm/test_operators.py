@@ -59,6 +59,24 @@ def test_packing(spark, texts):
     assert packing.pack(make(spark, []), tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_by_loss_bearing_tokens(spark):
+    rng = random.Random(12)
+    rows = [(k, " ".join("word" for _ in range(rng.randint(0, 90))), rng.choice([None, 0, 3, 10, 10**6])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bears long").coalesce(1)
+    limits = (64, 5, 20)
+    out = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), limits, "bears").collect()
+    tokens = {r.doc_id: r.doc_tokens for r in out}
+    for k, _, bears in rows:
+        own = sorted((r.start, r.length, r.loss_tokens) for r in out if r.doc_id == k)
+        want = tokens[k] if bears is None else min(bears, tokens[k])
+        assert sum(n for _, n, _ in own) == tokens[k]
+        assert all(got == max(0, a + n - max(a, tokens[k] - want)) for a, n, got in own)
+    for s in {r.sequence_id for r in out}:
+        held = [r for r in out if r.sequence_id == s]
+        assert all(x <= y for x, y in zip((sum(r.length for r in held), len(held), sum(r.loss_tokens for r in held)), limits, strict=True))
+    assert {r.loss_tokens == r.length for r in packing.pack(docs, tokenizer_path("word_bpe_49k.json")).collect()} == {True}
+
+
 def test_packer_keeps_all_limits():
     packer, rng = packing.Packer((100, 5, 40), 16), random.Random(1)
     sizes = [(n := rng.randint(1, 180), rng.randint(0, n)) for _ in range(300)]
