@@ -20,7 +20,9 @@ other columns are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,72 +30,85 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import Merges, byte_letters
 from .common import blocks, documents, tokenizer_path
 
 #: Tokens, segments and loss-bearing tokens that a sequence may hold.
 LIMITS = (4096, 512, 4096)
 WAITING = 256
 END_ID = 2
-#: Words whose ids a worker keeps, in each of two generations.
-CACHED = 400_000
+#: Chunks whose ids a worker keeps, and how long they may be.
+CACHED = 800_000
+LONG = 64
+#: Fixed value: what marks a token that ends a word.
+WORD_END = "</w>"
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-class WordIds:
-    """Ids of texts for a tokenizer that drops white space, looked up by blank-separated chunk."""
+class WordIds(dict):
+    """Ids of texts for a tokenizer that drops white space: a memory of blank-separated chunks, each learnt when first asked.
+
+    A chunk's words are merged by the public byte-pair encoder, whose ranks are the
+    tokenizer's merges and whose byte 255 stands for a word's end. As every token is its
+    own encoding (``Merges.own``), both merge alike: parts that join to a token can only
+    be the two that its merge names. Chunks with rare characters, where NFC, lower case or
+    white space need more than a look at Latin letters, go through the tokenizer itself.
+    """
 
     def __init__(self, path: str):
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
+        super().__init__()
+        self[""] = b""
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.young) + len(chunks) > CACHED:
-            self.old, self.young = self.young, {"": b""}
-        new = []
-        for c in chunks:
-            if c in self.young:
-                continue
-            if (held := self.old.get(c)) is not None:
-                self.young[c] = held
+        merges = Merges(path)
+        byte = {letter: b for b, letter in byte_letters().items()}
+        ranks = {}
+        for token, k in merges.vocab.items():
+            if merges.own[k]:
+                word = token.removesuffix(WORD_END)
+                ranks[bytes(map(byte.__getitem__, word)) + b"\xff" * (word != token)] = k
+        # ids serve as ranks: a last byte must take the end in before merges, and these must be in the order of their ids
+        made = np.array([merges.vocab[t] for t in merges.vocab if merges.rank[merges.vocab[t]] >= 0])
+        made = made[np.argsort(merges.rank[made])]
+        ends = [k for t, k in ranks.items() if len(t) == 2 and t[1] == 255]
+        if (np.diff(made) <= 0).any() or max(ends) >= made[0]:
+            raise ValueError("the tokenizer's ids aren't in the order of its merges")
+        ranks[b"\xff"] = max(ranks.values()) + 1
+        self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        #: The words of the tokenizer.
+        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.latin = regex.compile("[!-~\xa1-\u024f]+").fullmatch
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > CACHED:
+            self.clear()
+        plain = chunk.isascii() and chunk.isprintable()
+        if (plain or self.latin(chunk)) and "<|" not in chunk:
+            low = chunk.lower() if plain else "".join(map(str.lower, chunk))
+            if low.isalpha():
+                ids = self.piece(low.encode() + b"\xff")
             else:
-                new.append(c)
-        for at in range(0, len(new), 20_000):
-            self.encode_chunks(new[at : at + 20_000])
-
-    def encode_chunks(self, chunks: list[str]) -> None:
-        """Encode new chunks as one text, as that is faster than one by one, and cut the ids where chunks begin."""
-        e = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        ids = np.array(e.ids, "<u4")
-        starts = np.cumsum([0, *(len(c) + 1 for c in chunks)])
-        cuts = 4 * np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts)
-        raw = ids.tobytes()
-        for c, i, j in zip(chunks, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            self.young[c] = raw[i:j]
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learn the chunks of many texts at once."""
-        chunks: set[str] = set()
-        for t in texts:
-            chunks.update(t.replace("\n", " ").split(" "))
-        if len(chunks) < CACHED:
-            self.learn(chunks)
+                ids = [i for word in self.words(low) for i in self.piece(word.encode() + b"\xff")]
+            held = array("I", ids).tobytes()
+        else:
+            held = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(chunk) <= LONG:
+            self[chunk] = held
+        return held
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids. No token spans a blank or a line end."""
-        chunks = text.replace("\n", " ").split(" ")
-        out = []
-        for at in range(0, len(chunks), CACHED // 4):
-            part = chunks[at : at + CACHED // 4]
-            try:
-                out.append(b"".join(map(self.young.__getitem__, part)))
-            except KeyError:
-                self.learn(set(part))
-                out.append(b"".join(map(self.young.__getitem__, part)))
-        return b"".join(out)
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One per worker, so what a task has learnt serves the next."""
+    return WordIds(path)
 
 
 class Packer:
@@ -102,7 +117,7 @@ class Packer:
     def __init__(self, limits: tuple[int, int, int] = LIMITS, waiting: int = WAITING):
         self.limits, self.most = np.array(limits, float), waiting
         self.items: list = []
-        self.size = np.zeros((0, 3))
+        self.size = np.zeros((waiting, 3))  # of the waiting items, as shares of the limits, in their order
         self.pieces: list = []  # of the open sequence
         self.rest = self.limits.copy()
         self.sequence = 0
@@ -116,32 +131,31 @@ class Packer:
             self.done.append((item, at, whole, bearing, self.sequence, 0))
             self.sequence += 1
             at += whole
-        self.items.append((item, at, tokens))
-        self.size = np.vstack([self.size, (tokens - at, 1, min(loss, tokens - at))])
+        self.size[len(self.items)] = (tokens - at, 1, min(loss, tokens - at)) / self.limits
+        self.items.append((item, at, tokens, min(loss, tokens - at)))
         if len(self.items) >= self.most:
             self.place(self.most // 2)
 
     def place(self, down_to: int) -> None:
-        while len(self.items) > down_to:
-            k = int(np.argmax((self.size / self.limits) @ (self.rest / self.limits)))
-            item, at, end = self.items[k]
-            tokens, _, loss = self.size[k]
+        while (n := len(self.items)) > down_to:
+            k = int(np.argmax(self.size[:n] @ (self.rest / self.limits)))
+            item, at, end, loss = self.items[k]
+            tokens = end - at
             take = int(min(tokens, self.rest[0]))
             # loss-bearing tokens are the last ones: cut where the sequence can bear no more of them
             if tokens - take < loss and loss - (tokens - take) > self.rest[2]:
                 take = int(tokens - loss + self.rest[2])
-            bearing = int(max(0, take - (tokens - loss)))
+            bearing = max(0, take - (tokens - loss))
             if take:
                 self.pieces.append((item, at, take, bearing))
                 self.rest -= (take, 1, bearing)
             if take == tokens:
                 self.items[k] = self.items[-1]
                 self.items.pop()
-                self.size[k] = self.size[-1]
-                self.size = self.size[:-1]
+                self.size[k] = self.size[n - 1]
             else:
-                self.items[k] = (item, at + take, end)
-                self.size[k] = (tokens - take, 1, loss - bearing)
+                self.items[k] = (item, at + take, end, loss - bearing)
+                self.size[k] = (tokens - take, 1, loss - bearing) / self.limits
             if self.rest[0] <= 0 or self.rest[1] < 1 or self.rest[2] <= 0 or not take:
                 self.close()
 
@@ -173,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: tuple[int, int, int] = LIMITS,
     """One row per piece of a document; see SCHEMA. Sequences keep the three limits."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, packer = WordIds(tokenizer), Packer(limits)
+        ids, packer = word_ids(tokenizer), Packer(limits)
         first = TaskContext.get().partitionId() << 40
         end = np.array([END_ID], "<u4").tobytes()
         held: dict[int, list] = {}
@@ -192,7 +206,6 @@ def pack(docs: DataFrame, tokenizer: str, limits: tuple[int, int, int] = LIMITS,
 
         for block in blocks(batches):
             texts = block.column("text").to_pylist()
-            ids.prepare(texts)
             for doc_id, text, bearing in zip(block.column("doc_id").to_pylist(), texts, block.column("loss").to_pylist(), strict=True):
                 data = ids.encode(text) + end
                 held[n] = [doc_id, data, len(data) // 4]
