@@ -8,6 +8,8 @@ whole block, so no Python loop runs per word.
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -43,13 +45,15 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared spark.checkpoint.dir; set to a local one only where unset."""
+    """A new folder below the shared spark.checkpoint.dir. Where it is unset, a local one on a local master, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
-        base = f"file:///tmp/claimlens-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/claimlens-{uuid.uuid4().hex}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -62,6 +66,17 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The most bytes that Spark gathers in one Arrow batch for a task; its own default is 64 MB, kept outside the heap and doubled as it grows.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small in this session, unless it says how large they may be."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the column ``text`` of each holds about ``most`` bytes; null texts become empty."""
     for batch in batches:

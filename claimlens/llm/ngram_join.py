@@ -12,19 +12,28 @@ nothing, or a common passage alone, join nobody. As all sets rank leaves alike (
 that enter, then key), the least shared of a link's 1 + s equal leaves is kept by both.
 Counts go to leaves and back by blocks of sets, a leaf counted once a block.
 
+This first level is no box but one key, as boxes over points of unrelated texts meet every
+query and would prune nothing; boxes come where points lie close, within a cluster.
+
 Of sets that meet in a leaf, pairs pass whose overlap, bounded by the summed minima of the
 count vectors of the whole sets, can be enough. In a leaf of more than CROWD sets all pass
 unseen: they are joined by a star to their least (first within a block of sets, then among
 blocks, so a leaf that a third of all rows share gets a row a block). Pairs that touch are
 a candidate cluster. Within clusters, in blocks of BLOCK sets and pairs of blocks, finer
-count vectors bound the overlap again, and pairs that pass are verified on whole sets.
-Only a spanning forest of the links found leaves a task; links of different clusters
-cannot exist.
+count vectors are indexed: sets of like size make nodes of NODE points under a box of the
+largest counts; a search descends from boxes whose summed minima can be enough to points,
+and pairs of points that pass are verified on whole sets. Only a spanning forest of the
+links found leaves a task; links of different clusters cannot exist.
+
+Classes are numbered by a 64-bit hash of their digest, not by doc_id; a class that many
+rows share is counted and named by itself, so no task gets all its rows.
 
 Defined results: nulls and texts without words have an empty set and link with nothing;
 texts of one or two words have their whole sequence as one shingle; repeated rows are
-texts of one class and give a row each; an empty table gives none; other columns are not
-read.
+texts of one class and give a row each; rows that share a doc_id with different texts are
+documents of their own in links, under one id; a row without doc_id takes part, and a
+group of such rows alone has a null component_id; an empty table gives none; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -39,16 +48,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, Words, blocks, documents, grams, id_and_text, mix, written
+from .common import BLANKS, LOWER, Words, blocks, bounded_batches, documents, grams, mix, written
 from .components import components
 
 GROUPS = 64
 #: Leaves that a block of sets holds.
-LEAVES = 400_000
+LEAVES = 200_000
 #: Sets in a leaf that are compared pair by pair.
 CROWD = 128
 BLOCK = 256
+#: Shingles that a block of a cluster holds on average, where its sets are large.
+BLOCK_SHINGLES = 1 << 20
 BOUND_GROUPS = 256
+#: Points under one box.
+NODE = 16
+#: A class is named by a broadcast where it holds more than this share of all rows; so there are no more than so many.
+SHARE = 1000
 _POINT = mix(np.arange(1, GROUPS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
@@ -127,21 +142,32 @@ def point(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
 
 
+def row_and_text(docs: DataFrame) -> DataFrame:
+    """row (doc_id; for rows without one a hash of the text), doc_id, text_hash, text."""
+    ids, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    return docs.select(F.coalesce(ids, F.xxhash64(text)).alias("row"), ids.alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def digest_of(own: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+
+
 def signed(docs: DataFrame, n: int, percent: int, separators: np.ndarray, indexed: bool) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty); for the index also its leaf keys and its point."""
-    schema = "doc_id long, n_shingles long, digest binary" + ", leaves binary, point binary" * indexed
+    """Of each row the size and the digest of its set (null if empty); for the index leaf keys and a point instead of what names the row."""
+    schema = "row long, " + ("" if indexed else "doc_id long, text_hash long, ") + "n_shingles long, digest binary" + ", leaves binary, point binary" * indexed
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             sets = shingles(block.column("text"), n, separators)
-            columns = [block.column("doc_id"), pa.array([len(s) for s in sets], pa.int64())]
-            columns.append(pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()))
+            columns = [block.column(c) for c in names[: names.index("n_shingles")]]
+            columns += [pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) for s in sets], pa.binary())]
             if indexed:
                 sizes = Sizes(percent, max(map(len, sets)) + 1)
                 columns += [pa.array([leaves(s, sizes).tobytes() for s in sets], pa.binary()), pa.array([point(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return id_and_text(docs).mapInArrow(task, schema)
+    return row_and_text(docs).mapInArrow(task, schema)
 
 
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +217,7 @@ def leaf_blocks(classes: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, points = batch.column("leaves").to_pylist(), batch.column("point").to_pylist()
-            ids, sizes = np.asarray(batch.column("doc_id")), np.asarray(batch.column("n_shingles"))
+            ids, sizes = np.asarray(batch.column("node")), np.asarray(batch.column("n_shingles"))
             ends = np.cumsum([len(x) // 8 for x in data])
             at = 0
             while at < len(data):
@@ -236,7 +262,7 @@ def shared_leaves(held: DataFrame, parts: int) -> DataFrame:
 
 
 def entered(held: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n_shingles, point, and the shared leaves that a set enters, without those it leaves out; crowded ones apart."""
+    """node, n_shingles, point, and the shared leaves that a set enters, without those it leaves out; crowded ones apart."""
     parts = 4 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     told = shared_leaves(held, parts).groupBy("block").agg(F.collect_list(F.struct("part", F.col("leaves").alias("shared"), "counts")).alias("told"))
 
@@ -265,9 +291,9 @@ def entered(held: DataFrame, percent: int) -> DataFrame:
                     cuts = np.searchsorted(doc[run[left]], np.arange(len(ids) + 1)).tolist()
                     columns.append(pa.array([own[left[i:j]].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
                 points = pa.array([points[k : k + GROUPS] for k in range(0, len(points), GROUPS)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), points, *columns], names=["doc_id", "n_shingles", "point", "leaves", "crowded"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), points, *columns], names=["node", "n_shingles", "point", "leaves", "crowded"])
 
-    return held.join(told, "block").mapInArrow(task, "doc_id long, n_shingles long, point binary, leaves binary, crowded binary")
+    return held.join(told, "block").mapInArrow(task, "node long, n_shingles long, point binary, leaves binary, crowded binary")
 
 
 def close(keys: np.ndarray, ids: np.ndarray, size: np.ndarray, points: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +326,7 @@ def close(keys: np.ndarray, ids: np.ndarray, size: np.ndarray, points: np.ndarra
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) of stars over the pairs that pass in leaves, and over crowded leaves."""
-    return near(sets, percent).unionByName(crowds(sets.where(F.length("crowded") > 0).select("doc_id", F.col("crowded").alias("leaves"))))
+    return near(sets, percent).unionByName(crowds(sets.where(F.length("crowded") > 0).select("node", F.col("crowded").alias("leaves"))))
 
 
 def near(sets: DataFrame, percent: int) -> DataFrame:
@@ -317,7 +343,7 @@ def near(sets: DataFrame, percent: int) -> DataFrame:
                 at = to
                 data = rows.column("leaves").to_pylist()
                 of = np.repeat(np.arange(len(data)), [len(x) // 8 for x in data])
-                ids, size = np.asarray(rows.column("doc_id")).astype("<i8"), np.asarray(rows.column("n_shingles")).astype("<i8")
+                ids, size = np.asarray(rows.column("node")).astype("<i8"), np.asarray(rows.column("n_shingles")).astype("<i8")
                 points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
                 keys = np.frombuffer(b"".join(data), "<u8")
                 out = list(dealt(keys, 4 * parts, keys, ids[of], size[of], points[of]))
@@ -330,7 +356,7 @@ def near(sets: DataFrame, percent: int) -> DataFrame:
             points = np.frombuffer(b"".join(zlib.decompress(r[3]) for r in rows), np.uint8).reshape(-1, GROUPS)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in close(keys, ids, size, points, percent)], names=["a", "b"])
 
-    packed = sets.where(F.length("leaves") > 0).select("doc_id", "n_shingles", "point", "leaves").mapInArrow(enter, "part int, keys binary, ids binary, sizes binary, points binary")
+    packed = sets.where(F.length("leaves") > 0).select("node", "n_shingles", "point", "leaves").mapInArrow(enter, "part int, keys binary, ids binary, sizes binary, points binary")
     return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long")
 
 
@@ -343,7 +369,7 @@ def crowds(reps: DataFrame) -> DataFrame:
         for batch in batches:
             data = batch.column("leaves").to_pylist()
             keys = np.frombuffer(b"".join(data), "<u8")
-            ids = np.repeat(np.asarray(batch.column("doc_id")), [len(x) // 8 for x in data])
+            ids = np.repeat(np.asarray(batch.column("node")), [len(x) // 8 for x in data])
             order, least, new = _stars(keys, ids)
             a, b = _edge_batch(ids[order], least)
             rows = [(-1, a.astype("<i8").tobytes(), b.astype("<i8").tobytes())] if len(a) else []
@@ -388,23 +414,40 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def boxes(counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points in the order of their sizes, NODE under one box: that order, the largest counts and the least size of each."""
+    order = np.argsort(sizes, kind="stable")
+    first = np.arange(0, len(order), NODE)
+    return order, np.maximum.reduceat(counts[order], first), sizes[order][first]
+
+
+def enough(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs whose summed coordinate minima allow a link."""
+    out = np.empty((len(a), len(b)), bool)
+    for k, row in enumerate(a):
+        out[k] = (100 + percent) * np.minimum(row, b).sum(1, dtype=np.int64) >= percent * (size_a[k] + size_b)
+    return out
+
+
 def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int, same: bool) -> np.ndarray:
-    """Which pairs link: bounded by summed minima of group counts first, then verified on the sets."""
-    a, b = np.array([len(s) for s in left]), np.array([len(s) for s in right])
-    total = a[:, None] + b[None, :]
+    """Which pairs link: boxes, then points are met by their summed minima, and what is left is verified on the sets."""
+    sizes = [np.array([len(s) for s in x]) for x in (left, right)]
     counts = [np.stack([np.bincount((s & np.uint64(BOUND_GROUPS - 1)).astype(np.int64), minlength=BOUND_GROUPS) for s in x]).astype(np.uint16) for x in (left, right)]
-    maybe = np.zeros(total.shape, bool)
-    for k, row in enumerate(counts[0]):
-        bound = np.minimum(row, counts[1]).sum(1)
-        maybe[k] = (100 + percent) * bound >= percent * total[k]
+    (order_a, box_a, least_a), (order_b, box_b, least_b) = (boxes(c, n) for c, n in zip(counts, sizes, strict=True))
+    maybe = np.zeros((len(left), len(right)), bool)
+    meets = enough(box_a, least_a, box_b, least_b, percent)
+    for node in np.flatnonzero(meets.any(1)):
+        x = order_a[node * NODE : (node + 1) * NODE]
+        y = order_b[np.flatnonzero(np.repeat(meets[node], NODE)[: len(order_b)])]
+        maybe[np.ix_(x, y)] = enough(counts[0][x], sizes[0][x], counts[1][y], sizes[1][y], percent)
     if same:
         maybe &= np.tri(len(left), k=-1, dtype=bool)
     rows, cols = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
     if not len(rows):
         return maybe
     exact = overlaps([left[k] for k in rows], [right[k] for k in cols]).astype(np.int64)
-    ok = (100 + percent) * exact >= percent * total[np.ix_(rows, cols)]
-    maybe[np.ix_(rows, cols)] &= ok
+    total = sizes[0][rows][:, None] + sizes[1][cols][None, :]
+    maybe[np.ix_(rows, cols)] &= (100 + percent) * exact >= percent * total
     return maybe
 
 
@@ -428,29 +471,31 @@ def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 
 def links(docs: DataFrame, clusters: DataFrame, n: int, percent: int, separators: np.ndarray) -> DataFrame:
-    """A spanning forest (a, b) of the verified links within each block pair of a cluster's sets."""
+    """A spanning forest (a, b) of the verified links within each block pair of a cluster's sets.
+
+    clusters: node, component, and of each node n_shingles, its digest and a row that has it.
+    """
     spark = docs.sparkSession
-    count = clusters.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
-    placed = clusters.join(count, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    count = clusters.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1")
     # members are dealt to a cluster's blocks by hash; a block has BLOCK sets on average
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.select(F.col("node").alias("doc_id"), "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("doc_id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    meets = placed.groupBy("doc_id").agg(F.collect_list(F.struct("component", "i", "j", "own")).alias("meets"))
+    placed = clusters.join(count, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.select("row", "node", "digest", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select("row", "node", "digest", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    meets = placed.groupBy("row").agg(F.collect_list(F.struct("node", "digest", "component", "i", "j", "own")).alias("meets"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             rows = []
-            for doc_id, meet, own in zip(block.column("doc_id").to_pylist(), block.column("meets").to_pylist(), shingles(block.column("text"), n, separators), strict=True):
-                data = own.tobytes()
-                rows += [(m["component"], m["i"], m["j"], m["own"], doc_id, data) for m in meet]
-            names, kinds = ["component", "i", "j", "own", "doc_id", "data"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            for meet, own in zip(block.column("meets").to_pylist(), shingles(block.column("text"), n, separators), strict=True):
+                data, digest = own.tobytes(), digest_of(own)
+                rows += [(m["component"], m["i"], m["j"], m["own"], m["node"], data) for m in meet if m["digest"] == digest]
+            names, kinds = ["component", "i", "j", "own", "node", "data"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
 
     def verify(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
-        ids, own = np.asarray(table["doc_id"]), np.asarray(table["own"])
-        data = [np.frombuffer(x, np.uint64) for x in table["data"].to_pylist()]
+        ids, first = np.unique(np.asarray(table["node"]), return_index=True)  # rows may repeat
+        own, data = np.asarray(table["own"])[first], table["data"].combine_chunks()
+        data = [np.frombuffer(data[k].as_buffer(), np.uint64) for k in first.tolist()]
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         found = []
@@ -464,29 +509,50 @@ def links(docs: DataFrame, clusters: DataFrame, n: int, percent: int, separators
         edges = forest(np.concatenate(found), len(ids)) if found else []
         return pa.table({"a": pa.array([ids[x] for x, _ in edges], pa.int64()), "b": pa.array([ids[y] for _, y in edges], pa.int64())})
 
-    rows = id_and_text(docs).join(meets, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "meets")
-    rows = rows.mapInArrow(sets, "component long, i int, j int, own int, doc_id long, data binary")
+    rows = row_and_text(docs).select("row", "text").join(meets, "row").select("text", "meets")
+    rows = rows.mapInArrow(sets, "component long, i int, j int, own int, node long, data binary")
     return written(spark, rows.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, separators: np.ndarray = BLANKS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links) for every row."""
+def grouped(docs: DataFrame, n: int, percent: int, separators: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The rows (row, doc_id, text_hash, n_shingles, digest), and the classes: digest, copies, the first of their rows, and a component's number."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = written(spark, signed(docs, n, percent, separators, False), "shingle-sets")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    first = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash", "row")
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
+    classes = written(spark, classes.withColumn("node", F.xxhash64("digest")), "classes")
     # leaves are made anew rather than stored for every row: they take more room than texts
-    first = signed(docs, n, percent, separators, True).where(F.length("leaves") > 0).groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "leaves", "point")).alias("first"))
-    held = leaf_blocks(first.select("first.*"))
+    sets = signed(docs, n, percent, separators, True).where(F.length("leaves") > 0).groupBy("digest").agg(F.min(F.struct("n_shingles", "leaves", "point")).alias("own"))
+    held = leaf_blocks(sets.select(F.xxhash64("digest").alias("node"), "own.*"))
     stars = components(candidates(written(spark, entered(held, percent), "leaves-entered"), percent))
-    found = components(links(docs, stars, n, percent, separators))
-    named = classes.select("digest", F.col("doc_id").alias("node")).join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
-    return rows.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
+    clusters = stars.join(classes.select("node", "n_shingles", "digest", F.col("first.row").alias("row")), "node")
+    found = components(links(docs, clusters, n, percent, separators))
+    return rows, classes.join(found, "node", "left").select("digest", "copies", "first", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, separators: np.ndarray = BLANKS) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links) for every row."""
+    spark = docs.sparkSession
+    rows, classes = grouped(docs, n, percent, separators)
+    least = classes.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+    named = written(spark, classes.select("digest", "copies", "component").join(least, "component").select("digest", "copies", "component_id"), "classes-named")
+    hot = named.where(F.col("copies") * SHARE > rows.count()).select("digest", F.col("component_id").alias("of_hot"), F.lit(True).alias("hot"))
+    told = rows.where("digest is not null").select("doc_id", "n_shingles", "digest").join(F.broadcast(hot), "digest", "left")
+    rest = told.where("hot is null").select("doc_id", "n_shingles", "digest").join(named.select("digest", "component_id"), "digest").drop("digest")
+    alone = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return told.where("hot").select("doc_id", "n_shingles", F.col("of_hot").alias("component_id")).unionByName(rest).unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose document is its group's first; of rows with one doc_id, one."""
-    first = near_duplicates(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, docs["doc_id"] == first["first_id"], "left_semi").dropDuplicates(["doc_id"])
+    """The first row of each group, by doc_id; of rows with one id and one text, one. Rows without words all stay, so do rows without id that nothing resembles."""
+    rows, classes = grouped(docs, n, percent, BLANKS)
+    first = classes.groupBy("component").agg(F.min("first").alias("first")).select("first.row", "first.text_hash")
+    stays = first.unionByName(rows.where("digest is null").select("row", "text_hash"))
+    own = F.struct(*(docs[c] for c in docs.columns)).alias("own")
+    ids, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    named = docs.select(F.coalesce(ids, F.xxhash64(text)).alias("row"), F.xxhash64(text).alias("text_hash"), own)
+    return named.join(stays, ["row", "text_hash"], "left_semi").dropDuplicates(["row", "text_hash"]).select("own.*")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
