@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 LIMIT = 15_000
+#: Parts of a claim that change when it is sent again.
+ENVELOPE = ("interchange", "functional_group", "submitter", "receiver")
 
 
 def previous_files(submitted: DataFrame, batches: DataFrame) -> DataFrame:
@@ -55,3 +58,57 @@ def new_only(incoming: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFra
 def oversize(claims: DataFrame, limit: int = LIMIT) -> DataFrame:
     """batch_id, n, status: batches over the limit fail and nothing of them is evaluated."""
     return claims.groupBy("batch_id").agg(F.count("*").alias("n")).withColumn("status", F.when(F.col("n") > limit, "failed").otherwise("processing"))
+
+
+def _by_name(column: Column, kind: DataType) -> Column:
+    """The same value with the fields of all structs in the order of their names."""
+    if isinstance(kind, StructType):
+        return F.struct(*(_by_name(column[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)))
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType | ArrayType):
+        return F.transform(column, lambda x: _by_name(x, kind.elementType))
+    return column
+
+
+def with_fingerprint(claims: DataFrame, keys: list[str]) -> DataFrame:
+    """Claims with ``fingerprint``: SHA-256 of a claim as JSON, but for its keys here and its envelope, whatever the order of fields."""
+    fields = [f for f in sorted(claims.schema, key=lambda f: f.name) if f.name not in {*keys, *ENVELOPE}]
+    whole = F.struct(*(_by_name(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields))
+    return claims.withColumn("fingerprint", F.sha2(F.to_json(whole), 256))
+
+
+def _islands(events: DataFrame, keys: list[str], ts: str, order: str, seconds: int) -> DataFrame:
+    """Events with a column ``_island``: a new one begins where nothing of the key came in the seconds before."""
+    own = Window.partitionBy(*keys).orderBy(ts, order)
+    gap = F.col(ts) - F.lag(ts).over(own) > F.make_dt_interval(secs=F.lit(seconds))
+    return events.withColumn("_new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(own)).drop("_new")
+
+
+def at_most_once(events: DataFrame, keys: list[str], ts: str, order: str, seconds: int = 60) -> DataFrame:
+    """Events that are accepted: of each key none within so many seconds of the last one accepted.
+
+    After a pause of that length the next event is accepted whatever came before, so a
+    key's events are judged in islands between pauses.
+    """
+    span = F.make_dt_interval(secs=F.lit(seconds))
+    rows = _islands(events.select(*keys, F.col(ts).alias("_ts"), F.col(order).alias("_order")), keys, "_ts", "_order", seconds)
+    held = rows.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(F.struct("_ts", "_order"))).alias("_list"))
+    last = lambda out: F.element_at(out, -1)["_ts"]
+    taken = F.aggregate("_list", F.slice("_list", 1, 1), lambda out, x: F.when(x["_ts"] - last(out) > span, F.array_append(out, x)).otherwise(out))
+    return held.select(*keys, F.explode(taken).alias("_x")).select(*keys, F.col("_x._ts").alias(ts), F.col("_x._order").alias(order))
+
+
+def rate_limited(events: DataFrame, keys: list[str], ts: str, order: str, most: int = 1000, seconds: int = 60) -> DataFrame:
+    """Every event with ``allowed``: whether fewer than ``most`` events of its key were allowed in the seconds up to it. Refused ones don't count."""
+    span = F.make_dt_interval(secs=F.lit(seconds))
+    rows = _islands(events.select(*keys, F.col(ts).alias("_ts"), F.col(order).alias("_order")), keys, "_ts", "_order", seconds)
+    held = rows.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(F.struct("_ts", "_order"))).alias("_list"))
+    none = F.slice(F.transform("_list", lambda x: x["_ts"]), 1, 0)
+    start = F.struct(none.alias("recent"), F.slice(F.transform("_list", lambda x: F.lit(True)), 1, 0).alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        recent = F.filter(state["recent"], lambda t: t > x["_ts"] - span)
+        ok = F.size(recent) < most
+        return F.struct(F.when(ok, F.array_append(recent, x["_ts"])).otherwise(recent).alias("recent"), F.array_append(state["out"], ok).alias("out"))
+
+    judged = held.select(*keys, F.arrays_zip("_list", F.aggregate("_list", start, step)["out"].alias("ok")).alias("_z"))
+    return judged.select(*keys, F.explode("_z").alias("_x")).select(*keys, F.col("_x._list._ts").alias(ts), F.col("_x._list._order").alias(order), F.col("_x.ok").alias("allowed"))

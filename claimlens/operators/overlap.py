@@ -7,7 +7,7 @@ rules: rule, condition (canonical text), outcome (canonical text).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TIERS = {"ExactDuplicate": "redundant", "Shadowed": "conflict", "Subsumption": "redundant", "ConditionOverlap": "overlap"}
@@ -49,9 +49,11 @@ def _contained(p: str, q: str) -> Column:
 def implied(conjuncts: DataFrame) -> DataFrame:
     """Pairs (p, q): every conjunct of q is implied by one of p. Relational division by counting."""
     p, q = conjuncts.alias("p"), conjuncts.alias("q")
-    same = F.col("p.leaf") == F.col("q.leaf")
-    within = (F.col("p.scope") == F.col("q.scope")) & (F.col("p.field") == F.col("q.field")) & _contained("p", "q")
-    covered = p.join(q, (F.col("p.rule") != F.col("q.rule")) & (same | F.coalesce(within, F.lit(False)))).select(F.col("p.rule").alias("p"), F.col("q.rule").alias("q"), F.col("q.conjunct").alias("conjunct")).distinct()
+    other = F.col("p.rule") != F.col("q.rule")
+    met = F.col("p.rule").alias("p"), F.col("q.rule").alias("q"), F.col("q.conjunct").alias("conjunct")
+    same = p.join(q, (F.col("p.leaf") == F.col("q.leaf")) & other).select(*met)
+    within = p.join(q, (F.col("p.scope") == F.col("q.scope")) & (F.col("p.field") == F.col("q.field")) & other & _contained("p", "q")).select(*met)
+    covered = same.unionByName(within).distinct()
     need = conjuncts.groupBy(F.col("rule").alias("q")).agg(F.count_distinct("conjunct").alias("n"))
     return covered.groupBy("p", "q").agg(F.count("*").alias("met")).join(need, "q").where("met = n").select("p", "q")
 
@@ -72,15 +74,15 @@ def levels(rules: DataFrame, conjuncts: DataFrame, constraints: DataFrame) -> Da
     return pairs.withColumn("level", level).select("a", "b", "level", F.element_at(tier, F.col("level")).alias("tier"))
 
 
-def cofiring(fired: DataFrame) -> DataFrame:
-    """For rule pairs over fired(claim_key, rule): claims matched by both and by each, and their Jaccard similarity.
+def cofiring(matched: DataFrame) -> DataFrame:
+    """For rule pairs over matched(claim_key, rules): claims matched by both and by each, and their Jaccard similarity.
 
-    Rules are a small fixed set, so a claim's matched rules are gathered in one array (at most
-    one entry a rule) and pairs are made within it: one shuffle on the claim, one small one.
+    ``rules`` are the distinct names of a claim's matched rules, sorted; a claim has at most one
+    entry a rule, so pairs are made within its row and only their counts are shuffled.
     """
-    per = fired.groupBy("claim_key").agg(F.array_sort(F.collect_set("rule")).alias("r"))
-    pairs = per.select(F.explode("r").alias("a"), "r").select("a", F.explode("r").alias("b")).where("a < b")
-    n = fired.distinct().groupBy("rule").agg(F.count("*").alias("n"))
+    pairs = matched.select(F.explode("rules").alias("a"), "rules").select("a", F.explode("rules").alias("b")).where("a <= b")
     both = pairs.groupBy("a", "b").agg(F.count("*").alias("n_both"))
-    out = both.join(n.select(F.col("rule").alias("a"), F.col("n").alias("n_a")), "a").join(n.select(F.col("rule").alias("b"), F.col("n").alias("n_b")), "b")
-    return out.select("a", "b", "n_both", "n_a", "n_b", F.round(F.col("n_both") / (F.col("n_a") + F.col("n_b") - F.col("n_both")), 4).alias("jaccard"))
+    # a rule with itself counts its claims: one row a pair of rules is left here
+    alone = F.when(F.col("a") == F.col("b"), F.col("n_both"))
+    counted = both.withColumns({"n_a": F.max(alone).over(Window.partitionBy("a")), "n_b": F.max(alone).over(Window.partitionBy("b"))}).where("a < b")
+    return counted.select("a", "b", "n_both", "n_a", "n_b", F.round(F.col("n_both") / (F.col("n_a") + F.col("n_b") - F.col("n_both")), 4).alias("jaccard"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Thresholds, queues and reason codes.
 LOW, HIGH, SIU = 0.35, 0.80, 0.93
@@ -44,3 +45,29 @@ def normalised_scores(responses: DataFrame) -> DataFrame:
     score = F.coalesce(get("risk_score").try_cast("double"), get("ml_probability").try_cast("double"))
     ok = (get("contract_version") == "1.0") & score.isNotNull()
     return responses.select("claim_id", F.when(ok, F.coalesce(get("status"), F.lit("ok"))).otherwise("error").alias("ml_status"), F.when(ok, score).alias("risk_score"), F.coalesce(get("model_id"), F.lit("unknown")).alias("model_id"))
+
+
+#: Sections that name a person, sections of providers, and what names a provider in them.
+PERSON = ("subscriber", "patient", "member", "insured", "guarantor")
+PROVIDER = ("provider", "billing_provider", "rendering_provider", "referring_provider", "attending_provider")
+NAMING = ("name", "address", "city", "state", "zip", "phone")
+#: Fixed value: the score of a claim without one.
+NO_SCORE = 0.42
+
+
+def scorer_view(claims: DataFrame) -> DataFrame:
+    """What a scorer may see: no section of a person; providers without their names and addresses."""
+    kept = []
+    for field in claims.schema:
+        if field.name in PERSON:
+            continue
+        column = F.col(f"`{field.name}`")
+        if field.name in PROVIDER and isinstance(field.dataType, StructType):
+            column = F.struct(*(column[c].alias(c) for c in field.dataType.names if c not in NAMING))
+        kept.append(column.alias(field.name))
+    return claims.select(*kept)
+
+
+def with_scores(claims: DataFrame, scores: DataFrame) -> DataFrame:
+    """Each claim with its score (claim_key, risk_score; one row a claim), or the score that stands for none."""
+    return claims.join(scores.select("claim_key", F.col("risk_score").alias("_score")), "claim_key", "left").withColumn("score", F.coalesce("_score", F.lit(NO_SCORE))).drop("_score")

@@ -138,8 +138,8 @@ def date_before(a: Field, b: str | Field) -> Pred:
     return _leaf(a.day() < F.lit(b).cast("date"), (a.value, a.day(), a.path, wrong))
 
 
-def future_date(a: Field, as_of: str) -> Pred:
-    return _leaf(a.day() > F.lit(as_of).cast("date"), (a.value, a.day(), a.path, "is not a valid date"))
+def future_date(a: Field, as_of: Column) -> Pred:
+    return _leaf(a.day() > as_of, (a.value, a.day(), a.path, "is not a valid date"))
 
 
 def weekend(a: Field) -> Pred:
@@ -154,8 +154,8 @@ def npi_valid(a: Field) -> Pred:
     return _leaf(tx.is_valid_npi(a.value), (a.value, a.value, a.path, ""))
 
 
-def age_between(birth: Field, low: int, high: int, as_of: str) -> Pred:
-    return _leaf(tx.age_on(birth.day(), F.lit(as_of).cast("date")).between(low, high), (birth.value, birth.day(), birth.path, "is not a valid date"))
+def age_between(birth: Field, low: int, high: int, as_of: Column) -> Pred:
+    return _leaf(tx.age_on(birth.day(), as_of).between(low, high), (birth.value, birth.day(), birth.path, "is not a valid date"))
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from . import predicates as p
 
-AS_OF = "2000-01-01"
 ACTION = "array<struct<tag:string,message:string,score:int>>"
 
 
@@ -25,8 +24,10 @@ class Rule:
 class Claim:
     """Fields and collections of a claim row, by path."""
 
-    def __init__(self, row: Callable[[str], Column] = F.col):
-        self.row = row
+    def __init__(self, row: Callable[[str], Column] = F.col, as_of: str | None = None, limits: dict[str, float] | None = None):
+        """as_of: the day that counts as today (default: the session's own); limits: other amounts for rules, by name."""
+        self.row, self.limits = row, limits or {}
+        self.as_of = F.current_date() if as_of is None else F.lit(as_of).cast("date")
         self.lines = p.Items("service_lines", row("service_lines"))
         self.codes = p.Items("diagnosis_codes", row("diagnosis_codes"))
 
@@ -37,6 +38,9 @@ class Claim:
             value = value[part]
         return p.Field(path, value)
 
+    def limit(self, rule: str, own: float) -> float:
+        return self.limits.get(rule, own)
+
     @property
     def amount(self) -> p.Field:
         return self("financial.claim_amount")
@@ -67,35 +71,35 @@ def _any(*parts: p.Pred) -> p.Pred:
     return out
 
 
-#: Names, thresholds, codes and texts of the rules, in the order of the catalogue. Excess charges use 250,000 where named so.
+#: Names, thresholds, codes and texts of the rules, in the order of the catalogue.
 RULES: dict[str, Rule] = {
     "R1": Rule("ImpossibleDates", "Rejects claims where any service line is dated before 1900 (future dates are FutureServiceDate)", lambda c: c.any_line(lambda f: p.date_before(f("date_of_service"), "1900-01-01")), _reject("Impossible service date detected")),
-    "R2": Rule("MissingRequiredFields", "Required fields are missing", lambda c: _any(*(p.is_null(c(x)) for x in ("claim_id", "provider.npi", "patient.date_of_birth", "financial.claim_amount"))), _reject("Missing required fields")),
-    "R3": Rule("InvalidProviderNPI", "Provider NPI fails its check digit", lambda c: ~p.is_null(c("provider.npi")) & ~p.npi_valid(c("provider.npi")), _reject("Provider NPI is not valid")),
-    "R4": Rule("FutureServiceDate", "A service line is dated in the future", lambda c: c.any_line(lambda f: p.future_date(f("date_of_service"), AS_OF)), _reject("Service date is in the future")),
-    "R5": Rule("InvalidNPIFormat", "Provider NPI is not ten digits", lambda c: ~p.is_null(c("provider.npi")) & ~p.npi_format(c("provider.npi")), _reject("Provider NPI is not ten digits")),
-    "R6": Rule("MissingDiagnosisCodes", "No diagnosis code on the claim", lambda c: p.count(c.codes, lambda a, b: a == b, 0), _reject("No diagnosis codes")),
-    "R7": Rule("ExcessiveTotalCharges", "Total charges exceed the limit", lambda c: p.greater(c("claim_totals.total_charges"), 250000), _fraud("Total charges are excessive")),
-    "R8": Rule("PatientAgeOutOfRange", "Patient age is outside 0 to 130", lambda c: ~p.is_null(c("patient.date_of_birth")) & ~p.age_between(c("patient.date_of_birth"), 0, 130, AS_OF), _reject("Patient age is out of range")),
+    "R2": Rule("MissingRequiredFields", "Ensures all mandatory fields are present in the claim payload", lambda c: _any(*(p.is_null(c(x)) for x in ("claim_id", "provider.npi", "patient.date_of_birth", "financial.claim_amount"))), _reject("Missing required claim field")),
+    "R3": Rule("InvalidProviderNPI", "Validates that the billing provider NPI passes Luhn-10 checksum", lambda c: ~p.is_null(c("provider.npi")) & ~p.npi_valid(c("provider.npi")), _reject("Provider NPI fails Luhn-10 validation")),
+    "R4": Rule("FutureServiceDate", "Rejects claims where any service line's date of service has not yet occurred", lambda c: c.any_line(lambda f: p.future_date(f("date_of_service"), c.as_of)), _reject("Service date is in the future")),
+    "R5": Rule("InvalidNPIFormat", "Rejects claims where the billing provider NPI is not exactly 10 digits", lambda c: ~p.is_null(c("provider.npi")) & ~p.npi_format(c("provider.npi")), _reject("Provider NPI is not a valid 10-digit number")),
+    "R6": Rule("MissingDiagnosisCodes", "Rejects claims that contain no diagnosis codes", lambda c: p.count(c.codes, lambda a, b: a == b, 0), _reject("No diagnosis codes present on claim")),
+    "R7": Rule("ExcessiveTotalCharges", "Flags claims with total charges exceeding $750,000 as potential fraud", lambda c: p.greater(c("claim_totals.total_charges"), c.limit("ExcessiveTotalCharges", 750000)), _fraud("Total charges exceed $750K threshold")),
+    "R8": Rule("PatientAgeOutOfRange", "Rejects claims where the patient age is negative or exceeds 130 years", lambda c: ~p.is_null(c("patient.date_of_birth")) & ~p.age_between(c("patient.date_of_birth"), 0, 130, c.as_of), _reject("Patient age is out of valid range (0-130)")),
     "R9": Rule("InvalidServiceLine", "Service line with a negative charge or no positive units", lambda c: c.any_line(lambda f: p.less(f("charge_amount"), 0) | (~p.is_null(f("units")) & p.at_most(f("units"), 0))), _review("Service line charge or units are invalid")),
     "R10": Rule("ServiceEndBeforeStart", "Service line ends before it starts", lambda c: c.any_line(lambda f: ~p.is_null(f("date_of_service_end")) & p.date_before(f("date_of_service_end"), f("date_of_service"))), _reject("Service line end date is before its start date")),
     "R11": Rule("StatementEndBeforeStart", "Statement period ends before it starts (837I)", lambda c: ~p.is_null(c("claim_details.statement_to_date")) & p.date_before(c("claim_details.statement_to_date"), c("claim_details.statement_from_date")), _reject("Statement end date is before the start date")),
     "R12": Rule("ClaimTotalMismatch", "Claim total does not equal the sum of its line charges", lambda c: p.greater(c.amount, c("claim_totals.service_line_total")) | p.less(c.amount, c("claim_totals.service_line_total")), _reject("Claim total does not equal the sum of its service line charges")),
     "R13": Rule("WeekendOfficeVisit", "Office visit on weekend with elevated amount", lambda c: p.greater(c.amount, 500) & p.is_null(c("claim_details.facility_type_code")) & c.any_line(lambda f: p.weekend(f("date_of_service")) & p.equal_text(f("place_of_service"), "11")), _review("Weekend office visit requires verification")),
-    "R14": Rule("HighValueClaim", "Claim amount over 50,000", lambda c: p.greater(c.amount, 50000), _review("High value claim")),
-    "R15": Rule("UnauthorizedProcedure", "No authorization on a claim over 5,000", lambda c: p.is_null(c("authorization.authorization_number")) & p.greater(c.amount, 5000), _reject("Authorization is missing")),
-    "R16": Rule("NewProviderLargeSubmission", "New provider with a large claim", lambda c: p.less(c("provider.tenure_days"), 90) & p.greater(c.amount, 10000), _review("New provider with a large claim")),
-    "R17": Rule("SuspiciouslyLowCharge", "Claim amount under the floor", lambda c: p.less(c.amount, 5000), _fraud("Charge is suspiciously low")),
-    "R18": Rule("HighComplexityERVisit", "Emergency visit of high complexity over 10,000", lambda c: p.greater(c.amount, 10000) & c.any_line(lambda f: p.equal_text(f("procedure_code"), "99285")), _review("High complexity emergency visit")),
-    "R19": Rule("MissingProviderTaxonomy", "No taxonomy on a claim over 1,000", lambda c: p.is_null(c("provider.taxonomy")) & p.greater(c.amount, 1000), _review("Provider taxonomy is missing")),
-    "R20": Rule("MissingTaxonomyNewProvider", "New provider without taxonomy over 5,000", lambda c: p.is_null(c("provider.taxonomy")) & p.less(c("provider.tenure_days"), 90) & p.greater(c.amount, 5000), _fraud("New provider without taxonomy")),
+    "R14": Rule("HighValueClaim", "Claims exceeding $50,000 require manual review before payment", lambda c: p.greater(c.amount, 50000), _review("Claim exceeds high-value threshold — manual approval required")),
+    "R15": Rule("UnauthorizedProcedure", "High-value claim submitted without a valid authorization number", lambda c: p.is_null(c("authorization.authorization_number")) & p.greater(c.amount, 5000), _reject("High-value claim lacks required authorization")),
+    "R16": Rule("NewProviderLargeSubmission", "Large claim from a provider credentialed less than 90 days ago", lambda c: p.less(c("provider.tenure_days"), 90) & p.greater(c.amount, 10000), _review("Large submission from newly credentialed provider")),
+    "R17": Rule("SuspiciouslyLowCharge", "Charge below $5 may indicate billing manipulation or data error", lambda c: p.less(c.amount, c.limit("SuspiciouslyLowCharge", 5)), _fraud("Suspiciously low charge — possible billing manipulation")),
+    "R18": Rule("HighComplexityERVisit", "High-complexity ER visit (99285) with elevated charges requires clinical review", lambda c: p.greater(c.amount, 10000) & c.any_line(lambda f: ~p.is_null(f("procedure_code")) & p.equal_text(f("procedure_code"), "99285")), _review("High-complexity ER — clinical validation required")),
+    "R19": Rule("MissingProviderTaxonomy", "Flag claims missing provider taxonomy code for specialty verification", lambda c: p.is_null(c("billing_provider.taxonomy")) & p.greater(c.amount, 1000), _review("Provider taxonomy code missing — cannot validate specialty")),
+    "R20": Rule("MissingTaxonomyNewProvider", "New provider with missing taxonomy on high-value claim is high risk", lambda c: p.is_null(c("billing_provider.taxonomy")) & p.less(c("provider.tenure_days"), 90) & p.greater(c.amount, 5000), _fraud("New provider with no taxonomy code submitting high-value claim")),
     "R22": Rule("er_claim_no_emergency_dx", "ER claim over $5,000 lacks an emergency diagnosis", lambda c: p.equal_text(c("claim_details.place_of_service"), "23") & p.greater(c.amount, 5000) & ~p.exists(c.codes, lambda x: _any(*(p.starts_with(c.codes.field(x, "code"), s) for s in ("S06", "I21", "R55", "J96")))), (("REQUIRE_REVIEW", "ER claim over $5,000 without an emergency diagnosis", None), ("RISK_SCORE", "", 70))),
     "R23": Rule("em_code_stacking", "99214 and 99215 billed on the same claim", lambda c: c.any_line(lambda f: p.equal_text(f("procedure_code"), "99215")) & c.any_line(lambda f: p.equal_text(f("procedure_code"), "99214")), (("FLAG_FRAUD", "Multiple high-level E&M codes on one claim", None), ("REQUIRE_REVIEW", "Possible upcoding", None))),
     "R24": Rule("pt_many_sessions", "Physical therapy claim with more than 6 service lines", lambda c: c.any_line(lambda f: p.in_list(f("procedure_code"), ["97110", "97140", "97530"])) & p.count(c.lines, lambda a, b: a > b, 6) & p.greater(c.amount, 3000), _review("Physical therapy visits exceed typical session count")),
     "R25": Rule("anesthesia_without_surgery", "Anesthesia billed without a surgical procedure", lambda c: c.any_line(lambda f: p.matches(f("procedure_code"), "^0[01][0-9]{3}$")) & ~c.any_line(lambda f: p.matches(f("procedure_code"), "^[1-6][0-9]{4}$")), _reject("Anesthesia code billed without a surgical procedure")),
     "R26": Rule("dme_invalid_location", "DME billed from inpatient hospital or emergency room", lambda c: c.any_line(lambda f: p.in_list(f("procedure_code"), ["E0601", "K0823", "A4253"]) & p.in_list(f("place_of_service"), ["21", "23"])), _reject("DME codes billed from an inpatient or ER setting")),
     "R27": Rule("nonpositive_line_charge", "A service line has a zero or negative charge", lambda c: ~c.every_line(lambda f: p.greater(f("charge_amount"), 0)), _reject("Service lines contain zero or negative charges")),
-    "R28": Rule("adult_preventive_for_minor", "Adult preventive visit code billed for a minor", lambda c: p.has_code(c.lines, "procedure_code", "99385", "no procedure_codes, service_lines or procedure_code on the claim") & p.age_between(c("patient.date_of_birth"), 0, 17, AS_OF), _fraud("Adult preventive service billed for a minor")),
+    "R28": Rule("adult_preventive_for_minor", "Adult preventive visit code billed for a minor", lambda c: p.has_code(c.lines, "procedure_code", "99385", "no procedure_codes, service_lines or procedure_code on the claim") & p.age_between(c("patient.date_of_birth"), 0, 17, c.as_of), _fraud("Adult preventive service billed for a minor")),
     "R29": Rule("costly_routine_exam", "Routine-exam principal diagnosis on a claim over $1,000", lambda c: p.starts_with(c.codes.at(0, "code"), "Z00") & p.greater(c.amount, 1000), _review("Routine exam billed above $1,000")),
     "R30": Rule("dental_missing_tooth", "Crown or root canal billed without a tooth number", lambda c: c.any_line(lambda f: p.matches(f("procedure_code"), "^D(27|33)") & p.is_null(f("tooth_info.tooth_number"))), _review("Tooth number required for crowns and root canals")),
     "R31": Rule("cardiac_procedure_non_cardiology", "Echo or cardiac catheterization billed outside cardiology", lambda c: c.any_line(lambda f: p.in_list(f("procedure_code"), ["93306", "93458", "92928"])) & ~p.starts_with(c("billing_provider.taxonomy"), "207RC"), _review("Cardiac procedure billed by a non-cardiology provider")),
@@ -117,9 +121,24 @@ def result(rule: Rule, truth: Column, reasons: Column) -> Column:
     )
 
 
-def evaluate(claims: DataFrame, rules: list[Rule]) -> DataFrame:
+def truths(claims: DataFrame, rules: list[Rule], claim: Claim | None = None) -> DataFrame:
+    """One row per claim and rule: claim_key, rule_name, matched, undecided. Reasons and messages are not made."""
+    claim = claim or Claim()
+    held = claims.select("claim_key", *(r.condition(claim).truth.alias(f"_truth{k}") for k, r in enumerate(rules)))
+    rows = F.array(*(F.struct(F.lit(r.name).alias("rule_name"), F.coalesce(F.col(f"_truth{k}"), F.lit(False)).alias("matched"), F.col(f"_truth{k}").isNull().alias("undecided")) for k, r in enumerate(rules)))
+    return held.select("claim_key", F.explode(rows).alias("r")).select("claim_key", "r.*")
+
+
+def matched(claims: DataFrame, rules: list[Rule], claim: Claim | None = None) -> DataFrame:
+    """claim_key and the names of the rules that match it, sorted."""
+    claim = claim or Claim()
+    held = claims.select("claim_key", *(r.condition(claim).truth.alias(f"_truth{k}") for k, r in enumerate(rules)))
+    return held.select("claim_key", F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"_truth{k}"), r.name) for k, r in enumerate(rules))))).alias("rules"))
+
+
+def evaluate(claims: DataFrame, rules: list[Rule], claim: Claim | None = None) -> DataFrame:
     """All rules over all claims, in narrow projections: truths and reasons once each, then results, then the report's counters."""
-    preds = [r.condition(Claim()) for r in rules]
+    preds = [r.condition(claim or Claim()) for r in rules]
     held = claims.withColumns({f"_truth{k}": x.truth for k, x in enumerate(preds)} | {f"_reasons{k}": x.reasons for k, x in enumerate(preds)})
     results = F.array(*(result(r, F.col(f"_truth{k}"), F.col(f"_reasons{k}")) for k, r in enumerate(rules)))
     return report(held.select(*claims.columns, results.alias("results")))

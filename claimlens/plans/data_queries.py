@@ -41,8 +41,10 @@ add("SRC3", table("v_registry", lambda t: _reg_csv(t).where(F.length("NPI") == 1
 _named = "concat('f', event_id, case event_id % 5 when 0 then '.JSON' when 1 then '.x12' when 2 then '.Edi' when 3 then '.txt' else '' end)"
 add("SRC4", table("events", lambda t: t.select("event_id", files.file_kind(F.expr(_named)).alias("kind"))),
     f"select event_id, case lower(regexp_extract({_named}, '\\.([^./]+)$', 1)) when 'json' then 'json' when 'x12' then 'x12' when 'edi' then 'x12' else 'ignored' end as kind from events")
-add("SRC6", table("pages", lambda t: files.newest_link(t, "html", r'href="(/[^"]+)"', "page_id")),
-    "select page_id, max(u.link) as newest, count(*) as n_links from (select page_id, unnest(regexp_extract_all(html, 'href=\"(/[^\"]+)\"', 1)) as link from pages) u group by 1")
+_MONTHS = "array('January', 'March', 'August', 'December', 'Smarch')"
+_links = "select page_id, concat('/x/NPPES_Data_Dissemination_', element_at({m}, cast(1 + page_id % 5 as int)), '_', cast(2020 + page_id * 7 % 5 as string), case when page_id % 3 = 0 then '_V2' else '' end, '.zip') as link, cast(page_id % 10 as int) as site from pages"
+add("SRC6", lambda s, d: files.latest_monthly_file(_sql(s, d, _links.format(m=_MONTHS)), "site"),
+    f"select site, arg_max(link, (2020 + page_id * 7 % 5, [1, 3, 8, 12, 0][cast(1 + page_id % 5 as int)], page_id % 3 = 0)) as link from ({_links.format(m=_MONTHS.replace('array(', '[').replace(')', ']')).replace('element_at(', 'list_extract(')}) join pages using (page_id) where page_id % 5 <> 4 group by 1")
 _rules = "select p_partkey, p_name as name, p_partkey % 3 <> 0 as active, case when p_partkey % 7 = 0 then '  ' else concat(' RULE r', cast(p_partkey as string), chr(10), 'WHEN TRUE ') end as rule_text from part"
 add("SRC8", lambda s, d: files.active_rules(_sql(s, d, _rules)).select("p_partkey", "name", F.trim("rule_text").alias("rule_text")), f"select p_partkey, name, trim(rule_text, ' ') as rule_text from ({_rules}) where active and trim(rule_text, ' ') <> ''")
 
@@ -54,23 +56,23 @@ def _sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 # submissions over documents: text digest as fingerprint, source as batch
 BATCHES = "select distinct source as batch_id, case when source in ('src1', 'src3') then 'failed' else 'completed' end as status from documents"
-ENTRIES = "select doc_id as entry_pos, doc_id as id, doc_id as inserted_at, source as batch_id, concat('f', cast(doc_id as string)) as filename, sha2(concat(lang, source), 256) as sha256, sha2(text, 256) as fingerprint from documents"
-_ENTRIES_D = ENTRIES.replace("sha2(concat(lang, source), 256)", "sha256(concat(lang, source))").replace("sha2(text, 256)", "sha256(text)")
+ENTRIES = "select doc_id as entry_pos, doc_id as id, doc_id as inserted_at, source as batch_id, concat('f', cast(doc_id as string)) as filename, sha2(concat(lang, source, substr(sha2(text, 256), 1, 1)), 256) as sha256, sha2(text, 256) as fingerprint from documents"
+_ENTRIES_D = ENTRIES.replace("sha2(concat(lang, source, substr(sha2(text, 256), 1, 1)), 256)", "sha256(concat(lang, source, substr(sha256(text), 1, 1)))").replace("sha2(text, 256)", "sha256(text)")
 _OLD, _NEW = "entry_pos % 3 = 0", "entry_pos % 3 <> 0"
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, batches = _sql(spark, sf_dir, ENTRIES), _sql(spark, sf_dir, BATCHES)
     old = entries.where(_OLD)
-    files_ = ingest.previous_files(old.where("id % 30 = 0").select("sha256", "batch_id").distinct(), batches)
+    files_ = ingest.previous_files(old.select("sha256", "batch_id").distinct(), batches)
     return ingest.split_duplicates(entries.where(_NEW), files_, ingest.previous_claims(old, batches))
 
 
-_J4 = f"j4 as (select sha256, min(batch_id) as previous_batch from e join b using (batch_id) where {_OLD} and id % 30 = 0 and status <> 'failed' group by 1)"
+_J4 = f"j4 as (select sha256, min(batch_id) as previous_batch from e join b using (batch_id) where {_OLD} and status <> 'failed' group by 1)"
 _J5 = f"j5 as (select fingerprint, arg_min(filename, id) as previous_filename, arg_min(batch_id, id) as previous_claim_batch from e join b using (batch_id) where {_OLD} and status <> 'failed' group by 1)"
 _J6 = f"j6 as (select e.*, previous_batch, previous_claim_batch, case when previous_batch is not null then 'file' when previous_claim_batch is not null then 'claim' end as early from e left join j4 using (sha256) left join j5 using (fingerprint) where {_NEW}), k as (select *, coalesce(early, case when row_number() over (partition by fingerprint, early is null order by entry_pos) > 1 then 'submission' end) as kind from j6), z as (select *, case when kind = 'file' then row_number() over (partition by sha256, coalesce(kind, '') order by entry_pos) = 1 else kind is not null end as reported from k)"
 _SUB = f"with e as ({_ENTRIES_D}), b as ({BATCHES}), {_J4}, {_J5}, {_J6} "
-add("J4", lambda s, d: ingest.previous_files(_sql(s, d, ENTRIES).where(_OLD).where("id % 30 = 0").select("sha256", "batch_id").distinct(), _sql(s, d, BATCHES)), f"with e as ({_ENTRIES_D}), b as ({BATCHES}), {_J4} select * from j4")
+add("J4", lambda s, d: ingest.previous_files(_sql(s, d, ENTRIES).where(_OLD).select("sha256", "batch_id").distinct(), _sql(s, d, BATCHES)), f"with e as ({_ENTRIES_D}), b as ({BATCHES}), {_J4} select * from j4")
 add("J5", lambda s, d: ingest.previous_claims(_sql(s, d, ENTRIES).where(_OLD), _sql(s, d, BATCHES)), f"with e as ({_ENTRIES_D}), b as ({BATCHES}), {_J5} select * from j5")
 add("J6", lambda s, d: _split(s, d).select("entry_pos", F.coalesce("kind", F.lit("accepted")).alias("kind"), F.col("reported").cast("int").alias("reported")), _SUB + "select entry_pos, coalesce(kind, 'accepted') as kind, cast(reported as int) as reported from z")
 add("SNK1", lambda s, d: ingest.batch_rows(_split(s, d)), _SUB + "select batch_id, count(*) filter (kind is null) as file_count, count(*) filter (reported) as refused, case when count(*) filter (kind is null) = 0 then 'failed' else 'pending' end as status from z group by 1")
@@ -127,13 +129,12 @@ add("O4", lambda s, d: _asof(s, d).where("outcome <> 'valid'").groupBy("claim_ke
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = rq.reports(spark, sf_dir, rq.LIGHT).select("claim_key", "results")
+    reports = rq.reports(spark, sf_dir).select("claim_key", "results")
     return R.merge_finding(reports.join(_findings(spark, sf_dir), "claim_key", "left"), F.col("reason"))
 
 
-_bits = lambda ks: " + ".join(f"cast(coalesce({rq.RULE_SQL[k]}, false) as int)" for k in ks)
 add("A7", lambda s, d: _merged(s, d).select("claim_key", "total_rules", "matched_rules", "overall_risk", "weighted_score"),
-    cte(f"with {rq.FACTS}, {_J1}, {_J2}, {_J3} select claim_key, 3 + cast(reason is not null as int) as total_rules, {_bits(rq.LIGHT)} + cast(reason is not null as int) as matched_rules, case when reason is not null or coalesce({rq.RULE_SQL['R15']}, false) then 'CriticalRisk' when ({_bits(['R14', 'R18'])}) > 0 then 'HighRisk' else 'LowRisk' end as overall_risk, {_bits(['R14', 'R18'])} + 3 * ({_bits(['R15'])}) + 3 * cast(reason is not null as int) as weighted_score from f join j3 using (claim_key)", *_vs, "v_dx"))
+    rq.report_sql(R.DEFAULT_RULES, f", {_J1}, {_J2}, {_J3} select claim_key, total_rules + cast(reason is not null as int) as total_rules, matched_rules + cast(reason is not null as int) as matched_rules, case when reason is not null then 'CriticalRisk' else overall_risk end as overall_risk, weighted_score + 3 * cast(reason is not null as int) as weighted_score from r join j3 using (claim_key)"))
 _NEWREG = "select npi, concat(provider_name, '*') as provider_name, cast(null as date) as enumeration_date, deactivation_date, reactivation_date, cast(null as date) as dropped_on from v_registry where provider_name not like '%3'"
 _day = lambda c: F.col(c).cast("string").alias(c)
 add("SNK2", lambda s, d: providers.upsert(_unique_registry(s, d), providers.last_per_key(_sql(s, d, _NEWREG), "npi", "provider_name"), "npi").select("npi", "provider_name", _day("enumeration_date"), _day("dropped_on")),
@@ -161,15 +162,20 @@ add("A2", lambda s, d: _sql(s, d, "select 'registry' as what, count(*) as n from
 
 # claims: filters, projections, pages
 add("PRJ1", lambda s, d: views.claims(s, d).select("claim_key", F.round(F.col("claim_totals.service_line_total").cast("double"), 2).alias("line_total")), rq.facts_sql("select claim_key, round(line_total, 2) as line_total from f"))
-add("PRJ2", lambda s, d: views.claims(s, d).withColumn("provider", F.col("provider").dropFields("npi")).drop("patient").select("claim_key", "provider.taxonomy"), cte("select claim_key, taxonomy from v_claim", *_vs))
-_fp = ("claim_id", "claim_amount", "authorization_number")
-add("PRJ3", lambda s, d: views.flat_claims(s, d).select("claim_key", F.length(tx.fingerprint(*(F.col(c) for c in _fp))).cast("bigint").alias("digest_length")), cte("select claim_key, cast(64 as bigint) as digest_length from v_claim", *_vs))
+add("PRJ2", lambda s, d: policy.scorer_view(views.claims(s, d)).select("claim_key", F.to_json(F.struct("provider", "billing_provider"), {"ignoreNullFields": "true"}).alias("providers"), F.array_join(F.array(*map(F.lit, sorted(policy.scorer_view(views.claims(s, d)).columns))), ",").alias("kept")),
+    cte("""select claim_key, concat('{"provider":{', concat_ws(',', case when npi is not null then concat('"npi":"', npi, '"') end, case when claim_key % 2 = 0 then '"taxonomy":"390200000X"' end, case when tenure_days is not null then concat('"tenure_days":"', tenure_days, '"') end), '},"billing_provider":{', concat_ws(',', case when npi is not null then concat('"npi":"', npi, '"') end, case when taxonomy is not null then concat('"taxonomy":"', taxonomy, '"') end), '}}') as providers,
+        'authorization,batch_id,batch_status,billing_provider,claim_details,claim_id,claim_key,claim_totals,diagnosis_codes,financial,interchange,ml_status,o_custkey,order_day,provider,risk_score,service_lines' as kept from v_claim""", *_vs))
+add("PRJ3", lambda s, d: ingest.with_fingerprint(views.claims(s, d).select("claim_key", "claim_id", "interchange", "financial", "authorization", "claim_details"), ["claim_key"]).select("claim_key", "fingerprint"),
+    cte("""select claim_key, sha256(concat('{', concat_ws(',', case when authorization_number is not null then concat('"authorization":{"authorization_number":"', authorization_number, '"}') else '"authorization":{}' end,
+        concat('"claim_details":{', concat_ws(',', case when facility_type_code is not null then concat('"facility_type_code":"', facility_type_code, '"') end, concat('"place_of_service":"', place_of_service, '"'), concat('"statement_from_date":"', statement_from_date, '"'), case when statement_to_date is not null then concat('"statement_to_date":"', statement_to_date, '"') end), '}'),
+        concat('"claim_id":"', claim_id, '"'), concat('"financial":{', case when claim_amount is not null then concat('"claim_amount":"', claim_amount, '"') else '' end, '}')), '}')) as fingerprint from v_claim""", *_vs))
 add("P21", lambda s, d: views.flat_claims(s, d).where((F.col("order_day") > "1996-01-01") & F.col("order_day").between("1995-06-01", "1999-12-31")).select("claim_key"), cte("select claim_key from v_claim where order_day > date '1996-01-01' and order_day between date '1995-06-01' and date '1999-12-31'", *_vs))
 add("P24", lambda s, d: views.flat_claims(s, d).where("batch_status = 'completed'").select("claim_key"), cte("select claim_key from v_claim where batch_status = 'completed'", *_vs))
 add("P27", lambda s, d: ingest.oversize(views.flat_claims(s, d), 70), cte("select batch_id, count(*) as n, case when count(*) > 70 then 'failed' else 'processing' end as status from v_claim group by 1", *_vs))
 _PATHS = "select p_partkey, case p_partkey % 5 when 0 then 'financial.claim_amount' when 1 then concat('service_lines.', cast(p_size as string), '.units') when 2 then 'provider' when 3 then 'claim.npi' else 'patient.age' end as path from part"
 add("P25", lambda s, d: files.contract_issues(_sql(s, d, _PATHS)), f"select p_partkey, path, case p_partkey % 5 when 3 then 'provider.npi' else 'none' end as hint from ({_PATHS}) where p_partkey % 5 in (3, 4)")
-add("J10", lambda s, d: views.flat_claims(s, d).select("claim_key", F.coalesce("risk_score", F.lit(0.42)).alias("score")), cte("select claim_key, coalesce(risk_score, 0.42) as score from v_claim", *_vs))
+_SCORES = "select claim_key, risk_score from v_claim where risk_score is not null"
+add("J10", lambda s, d: policy.with_scores(views.flat_claims(s, d).select("claim_key"), _sql(s, d, _SCORES)).select("claim_key", "score"), cte("select claim_key, coalesce(risk_score, 0.42) as score from v_claim", *_vs))
 add("D5", lambda s, d: views.flat_claims(s, d).select("claim_key", F.when(F.col("ml_status") == "ok", F.coalesce("risk_score", F.lit(0.42))).otherwise(0.74).alias("score"), F.when(F.col("risk_score").isNull(), "fraud_stub_v1").otherwise("scored").alias("model_id")), cte("select claim_key, case when ml_status = 'ok' then coalesce(risk_score, 0.42) else 0.74 end as score, case when risk_score is null then 'fraud_stub_v1' else 'scored' end as model_id from v_claim", *_vs))
 _BODY = "select claim_id, case when claim_key % 9 = 0 then '{bad' else concat('{\"contract_version\":\"1.0\",\"', case when claim_key % 2 = 0 then 'risk_score' else 'ml_probability' end, '\":\"', cast(risk_score as string), '\"}') end as body from v_claim"
 add("D4", lambda s, d: policy.normalised_scores(_sql(s, d, _BODY)).select("claim_id", "ml_status"), cte("select claim_id, case when claim_key % 9 <> 0 and risk_score is not null then 'ok' else 'error' end as ml_status from v_claim", *_vs))
@@ -192,11 +198,11 @@ for _n, _t, _k, _e, _s in (
     ("S2", _C, "claim_key", lambda: (tx.to_number(F.col("claim_amount")) > 50000).cast("int"), f"cast({rq.num('claim_amount')} > 50000 as int)"),
     ("S3", _C, "claim_key", lambda: F.col("taxonomy").startswith("207R").cast("int"), "cast(starts_with(taxonomy, '207R') as int)"),
     ("S4", _L, "l_partkey", lambda: F.col("procedure_code").isin("97110", "99285").cast("int"), "cast(procedure_code in ('97110', '99285') as int)"),
-    ("S5", _L, "l_partkey", lambda: (_dt("date_of_service") > F.lit(R.AS_OF).cast("date")).cast("int"), f"cast({_sd} > {rq.AS_OF} as int)"),
+    ("S5", _L, "l_partkey", lambda: (_dt("date_of_service") > F.lit(rq.DAY).cast("date")).cast("int"), f"cast({_sd} > {rq.AS_OF} as int)"),
     ("S6", _C, "claim_key", lambda: (_dt("statement_to_date") < _dt("statement_from_date")).cast("int"), f"cast({rq.day('statement_to_date')} < {rq.day('statement_from_date')} as int)"),
     ("S7", _C, "claim_key", lambda: tx.is_npi_format(F.col("npi")).cast("int"), "cast(regexp_full_match(npi, '[0-9]{10}') as int)"),
     ("S8", _C, "claim_key", lambda: tx.is_valid_npi(F.col("npi")).cast("int"), f"cast({rq.NPI_OK} as int)"),
-    ("S9", _C, "claim_key", lambda: tx.age_on(_dt("date_of_birth"), F.lit(R.AS_OF).cast("date")), rq._AGE),
+    ("S9", _C, "claim_key", lambda: tx.age_on(_dt("date_of_birth"), F.lit(rq.DAY).cast("date")), rq._AGE),
     ("S11", _L, "l_partkey", lambda: _dt("date_of_service").cast("string"), f"cast({_sd} as string)"),
     ("S12", _L, "l_partkey", lambda: tx.to_service_day(F.col("date_of_service")).cast("string"), f"cast({_sd} as string)"),
     ("S13", _C, "claim_key", lambda: tx.to_registry_day(F.date_format("order_day", "MM/dd/yyyy")).cast("string"), "cast(order_day as string)"),
@@ -212,13 +218,16 @@ add("S18", table("documents", lambda t: t.select("doc_id", F.sha2("text", 256).a
 add("S24", table("events", lambda t: t.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k"))), "select event_id, json_extract_string(props, '$.k') as k from events")
 
 # streams as tables
-add("ST4", table("events", lambda t: t.withColumn("before", F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))).where("before is null or ts - before > interval 60 seconds").select("event_id")), "select event_id from (select event_id, ts, lag(ts) over (partition by user_id, event_type order by ts, event_id) as b from events) where b is null or ts - b > interval 60 seconds")
-add("ST7", table("events", lambda t: t.selectExpr("user_id", "event_id", "count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) as n").where("n > 2")), "select user_id, event_id, n from (select user_id, event_id, count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) as n from events) where n > 2")
+_KEYED = "with e as (select user_id, event_type, ts, min(event_id) as event_id from events group by all), nx as (select e.user_id, e.event_type, e.ts, min(n.ts) as next_ts from e left join e n on e.user_id = n.user_id and e.event_type = n.event_type and n.ts > e.ts + interval 60 seconds group by all)"
+add("ST4", table("events", lambda t: ingest.at_most_once(t, ["user_id", "event_type"], "ts", "event_id", 60).select("event_id")),
+    _KEYED.replace("with e", "with recursive e") + ", a(user_id, event_type, ts) as (select user_id, event_type, min(ts) from e group by 1, 2 union all select nx.user_id, nx.event_type, nx.next_ts from a join nx using (user_id, event_type, ts) where nx.next_ts is not null) select event_id from a join e using (user_id, event_type, ts)")
+# allowed events are few enough here that the window is 36 hours and the limit 2; the operator's own are 60 seconds and 1000
+add("ST7", table("events", lambda t: ingest.rate_limited(t, ["user_id"], "ts", "event_id", 2, 129_600).select("user_id", "event_id", F.col("allowed").cast("int").alias("allowed"))),
+    "with recursive e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as n from events), a(user_id, event_id, n, allowed, last, before) as (select user_id, event_id, n, 1, ts, cast(null as timestamp) from e where n = 1 union all select e.user_id, e.event_id, e.n, case when before is null or before <= e.ts - interval 36 hours then 1 else 0 end, case when before is null or before <= e.ts - interval 36 hours then e.ts else last end, case when before is null or before <= e.ts - interval 36 hours then last else before end from a join e on e.user_id = a.user_id and e.n = a.n + 1) select user_id, event_id, allowed from a")
 
 # rule overlap over a table of constraints: every part is a rule over two fields
-_CON = "select cast(p_partkey as string) as rule, '' as scope, p_brand as field, cast(p_size as double) as low, p_partkey % 2 = 0 as low_open, cast(p_size + p_partkey % 7 as double) as high, false as high_open, cast(null as string) as text from part where p_partkey < 1000000000"
+_CON = "select cast(p_partkey as string) as rule, '' as scope, p_brand as field, cast(p_size as double) as low, p_partkey % 2 = 0 as low_open, cast(p_size + p_partkey % 7 as double) as high, false as high_open, cast(null as string) as text from part"
 _IV = f"select rule, scope, field, max(low) as low, min(high) as high, bool_or(low_open) as low_open from ({_CON}) group by 1, 2, 3"
-_small = lambda t: t
 add("V1", lambda s, d: _sql(s, d, _CON).select("rule", "field", "low", "high"), f"select rule, field, low, high from ({_CON})")
 add("V2", lambda s, d: overlap.intervals(_sql(s, d, _CON)).select("rule", "field", "low", "high", F.col("low_open").cast("int").alias("low_open")), f"select rule, field, low, high, cast(low_open as int) as low_open from ({_IV})")
 _MEET = f"select a.rule as a, b.rule as b from ({_IV}) a join ({_IV}) b on a.field = b.field and a.rule < b.rule where greatest(a.low, b.low) < least(a.high, b.high) or (greatest(a.low, b.low) = least(a.high, b.high) and not (a.low_open and a.low = greatest(a.low, b.low)) and not (b.low_open and b.low = greatest(a.low, b.low)))"
@@ -244,7 +253,7 @@ add("N4", lambda s, d: (lambda t: t.join(t.where("l_quantity > 25").select("proc
 add("N5", lambda s, d: views.flat_claims(s, d).join(views.registry(s, d).where("deactivation_date is not null").select("npi"), "npi", "left_semi").select("claim_key"), cte("select claim_key from v_claim where npi in (select npi from v_registry where deactivation_date is not null)", *_vs))
 add("N6", lambda s, d: _sql(s, d, "select o_custkey, claim_key, size(collect_set(npi) over (partition by o_custkey order by order_day range between interval 90 days preceding and current row)) as n from v_claim").where("n >= 1").groupBy("o_custkey").agg(F.max("n").cast("bigint").alias("n")), cte("select a.o_custkey, max(n) as n from (select x.o_custkey, x.claim_key, count(distinct y.npi) as n from v_claim x join v_claim y on y.o_custkey = x.o_custkey and y.order_day between x.order_day - 90 and x.order_day group by 1, 2) a where n >= 1 group by 1", *_vs))
 add("N7", table("events", lambda t: t.groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.count_distinct("event_type").alias("n")).where("n > 1")), "select user_id, cast(cast(ts as date) as string) as day, count(distinct event_type) as n from events group by 1, 2 having count(distinct event_type) > 1")
-add("N8", lambda s, d: views.claims(s, d).where(R.RULES["R28"].condition(R.Claim()).truth).select("claim_key"), rq.facts_sql(f"select claim_key from f where {rq.RULE_SQL['R28']}"))
+add("N8", lambda s, d: views.claims(s, d).where(R.RULES["R28"].condition(rq.claim()).truth).select("claim_key"), rq.facts_sql(f"select claim_key from f where {rq.RULE_SQL['R28']}"))
 add("N9", table("v_lines", lambda t: t.withColumn("day", tx.to_day(F.col("date_of_service"))).where("day is not null").groupBy("l_suppkey", F.col("day").cast("string").alias("day")).agg(F.sum(F.col("l_quantity") * 20).alias("minutes")).where("minutes > 1440")), cte(f"select l_suppkey, cast({_sd} as string) as day, sum(l_quantity * 20) as minutes from v_lines where {_sd} is not null group by 1, 2 having sum(l_quantity * 20) > 1440", "v_lines"))
 add("N10", table("v_lines", lambda t: t.withColumn("day", tx.to_day(F.col("date_of_service"))).where(F.datediff(F.lit("2002-01-01").cast("date"), "day") > 1500).groupBy("claim_key").agg(F.count("*").alias("n"))), cte(f"select claim_key, count(*) as n from v_lines where date '2002-01-01' - {_sd} > 1500 group by 1", "v_lines"))
 

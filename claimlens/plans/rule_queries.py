@@ -14,7 +14,10 @@ from . import views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-AS_OF = f"date '{R.AS_OF}'"
+#: The day that counts as today, and amounts that the given tables reach, in place of the rules' own.
+DAY = "2000-01-01"
+LIMITS = {"ExcessiveTotalCharges": 250_000, "SuspiciouslyLowCharge": 5_000}
+AS_OF = f"date '{DAY}'"
 
 
 def num(x: str) -> str:
@@ -73,6 +76,10 @@ RULE_SQL = {
 }
 
 
+def claim() -> R.Claim:
+    return R.Claim(as_of=DAY, limits=LIMITS)
+
+
 def facts_sql(body: str) -> str:
     return views.sql_with_views(f"with {FACTS} {body}", "v_claim", "v_lines", "v_dx")
 
@@ -89,7 +96,7 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | N
 
 def _rule(key: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        truth = R.RULES[key].condition(R.Claim()).truth
+        truth = R.RULES[key].condition(claim()).truth
         return views.claims(spark, sf_dir).select("claim_key", F.coalesce(truth, F.lit(False)).cast("int").alias("matched"), truth.isNull().cast("int").alias("undecided"))
 
     return query
@@ -118,19 +125,18 @@ def report_sql(keys: list[str], select: str) -> str:
 
 
 SUMMARY = "concat('Evaluated ', total_rules, ' rules, ', matched_rules, ' matched', case when undecided_rules > 0 then concat(', ', undecided_rules, ' not checked (missing data)') else '' end, '. Overall risk: ', overall_risk)"
-LIGHT = ["R14", "R15", "R18"]
 HEADER = ("claim_key", "total_rules", "matched_rules", "undecided_rules", "overall_risk", "weighted_score", "summary")
 
 
 def reports(spark: SparkSession, sf_dir: str, keys: list[str] | None = None) -> DataFrame:
-    return R.evaluate(views.claims(spark, sf_dir), [R.RULES[k] for k in keys or R.DEFAULT_RULES])
+    return R.evaluate(views.claims(spark, sf_dir), [R.RULES[k] for k in keys or R.DEFAULT_RULES], claim())
 
 
 _report = f"select claim_key, total_rules, matched_rules, undecided_rules, overall_risk, weighted_score, {SUMMARY} as summary from r"
-add("flagship", lambda s, d: reports(s, d, LIGHT).select(*HEADER), report_sql(LIGHT, _report))
+add("flagship", lambda s, d: reports(s, d).select(*HEADER), report_sql(R.DEFAULT_RULES, _report))
 add("P19", lambda s, d: reports(s, d).select(*HEADER), report_sql(R.DEFAULT_RULES, _report))
 _long = " union all ".join(f"select claim_key, '{R.RULES[k].name}' as rule_name, cast(coalesce({k}, false) as int) as matched, cast({k} is null as int) as undecided from t" for k in R.DEFAULT_RULES)
-add("P20", lambda s, d: reports(s, d).select("claim_key", F.explode("results").alias("r")).select("claim_key", "r.rule_name", F.col("r.matched").cast("int").alias("matched"), F.col("r.undecided").cast("int").alias("undecided")), views.sql_with_views(f"with {FACTS}, {truths_sql(R.DEFAULT_RULES)} {_long}", "v_claim", "v_lines", "v_dx"))
+add("P20", lambda s, d: R.truths(views.claims(s, d), [R.RULES[k] for k in R.DEFAULT_RULES], claim()).select("claim_key", "rule_name", F.col("matched").cast("int").alias("matched"), F.col("undecided").cast("int").alias("undecided")), views.sql_with_views(f"with {FACTS}, {truths_sql(R.DEFAULT_RULES)} {_long}", "v_claim", "v_lines", "v_dx"))
 add("A3", lambda s, d: reports(s, d).groupBy("matched_rules", "undecided_rules").agg(F.count("*").alias("n")), report_sql(R.DEFAULT_RULES, "select matched_rules, undecided_rules, count(*) as n from r group by all"))
 add("A4", lambda s, d: reports(s, d).groupBy("overall_risk").agg(F.count("*").alias("n")), report_sql(R.DEFAULT_RULES, "select overall_risk, count(*) as n from r group by all"))
 add("A5", lambda s, d: reports(s, d).select("claim_key", "weighted_score"), report_sql(R.DEFAULT_RULES, "select claim_key, weighted_score from r"))
@@ -139,7 +145,10 @@ _unpivot = f"u as ({_long})"
 _with_long = lambda body: views.sql_with_views(f"with {FACTS}, {truths_sql(R.DEFAULT_RULES)}, {_unpivot} {body}", "v_claim", "v_lines", "v_dx")
 add("A10", lambda s, d: QUERIES["P20"](s, d).groupBy("rule_name").agg(F.min("undecided").alias("never_checked")), _with_long("select rule_name, min(undecided) as never_checked from u group by 1"))
 add("A12", lambda s, d: QUERIES["P20"](s, d).groupBy("rule_name").agg(F.sum("matched").alias("n_matched"), F.sum("undecided").alias("n_undecided")), _with_long("select rule_name, cast(sum(matched) as bigint) as n_matched, cast(sum(undecided) as bigint) as n_undecided from u group by 1"))
-add("P22", lambda s, d: reports(s, d, LIGHT).where("matched_rules = 0 and undecided_rules = 0").select("claim_key", "overall_risk"), report_sql(LIGHT, "select claim_key, overall_risk from r where matched_rules = 0 and undecided_rules = 0"))
+# without R12, which every order of the given tables breaks, so that no claim would be clean
+_some = ["R3", "R8", "R14", "R16", "R18", "R19"]
+_filter = lambda: F.when((F.col("matched_rules") == 0) & (F.col("undecided_rules") == 0), "Clean").when(F.col("matched_rules") == 0, "NotAssessed").otherwise(F.col("overall_risk"))
+add("P22", lambda s, d: reports(s, d, _some).select("claim_key", _filter().alias("found_by")), report_sql(_some, "select claim_key, case when matched_rules = 0 and undecided_rules = 0 then 'Clean' when matched_rules = 0 then 'NotAssessed' else overall_risk end as found_by from r"))
 add("P23", lambda s, d: reports(s, d).where(F.col("overall_risk").isin("HighRisk", "CriticalRisk")).select("claim_key", "overall_risk"), report_sql(R.DEFAULT_RULES, "select claim_key, overall_risk from r where overall_risk in ('HighRisk', 'CriticalRisk')"))
 _flag = lambda: F.col("overall_risk").isin("HighRisk", "CriticalRisk")
 add("A1", lambda s, d: reports(s, d).groupBy("batch_id").agg(F.count("*").alias("n_total"), F.count_if(_flag()).alias("n_flagged"), F.count_if(~_flag()).alias("n_clean")), report_sql(R.DEFAULT_RULES, "select batch_id, count(*) as n_total, count(*) filter (overall_risk in ('HighRisk', 'CriticalRisk')) as n_flagged, count(*) filter (overall_risk not in ('HighRisk', 'CriticalRisk')) as n_clean from r group by 1"))
@@ -192,7 +201,7 @@ def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fired(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import overlap
 
-    return overlap.cofiring(QUERIES["P20"](spark, sf_dir).where("matched = 1").select("claim_key", F.col("rule_name").alias("rule")))
+    return overlap.cofiring(R.matched(views.claims(spark, sf_dir), [R.RULES[k] for k in R.DEFAULT_RULES], claim()))
 
 
 add("V7", _fired, _with_long("select a.rule_name as a, b.rule_name as b, count(*) as n_both, any_value(x.n) as n_a, any_value(y.n) as n_b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 4) as jaccard from u a join u b on a.claim_key = b.claim_key and a.rule_name < b.rule_name join (select rule_name, count(*) as n from u where matched = 1 group by 1) x on x.rule_name = a.rule_name join (select rule_name, count(*) as n from u where matched = 1 group by 1) y on y.rule_name = b.rule_name where a.matched = 1 and b.matched = 1 group by 1, 2"))
@@ -201,7 +210,7 @@ add("V7", _fired, _with_long("select a.rule_name as a, b.rule_name as b, count(*
 # predicates one by one
 def _pred(make: Callable[[R.Claim], p.Pred]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pred = make(R.Claim())
+        pred = make(claim())
         return views.claims(spark, sf_dir).select("claim_key", pred.truth.cast("int").alias("truth"), F.array_join(pred.reasons, "; ").alias("reasons"))
 
     return query

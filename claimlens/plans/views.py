@@ -120,8 +120,9 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("claim_amount").alias("financial"),
         F.struct("total_charges", total.cast("string").alias("service_line_total")).alias("claim_totals"),
         F.struct("authorization_number").alias("authorization"),
-        F.struct("npi", "taxonomy", "tenure_days").alias("provider"),
-        F.struct("npi", "taxonomy").alias("billing_provider"),
-        F.struct("date_of_birth").alias("patient"),
+        F.struct("npi", F.when(F.col("claim_key") % 2 == 0, "390200000X").alias("taxonomy"), "tenure_days", F.concat(F.lit("Provider "), "npi").alias("name"), F.lit("Springfield").alias("city")).alias("provider"),
+        F.struct("npi", "taxonomy", F.lit("1 Main St").alias("address"), F.lit("555").alias("phone")).alias("billing_provider"),
+        F.struct("date_of_birth").alias("patient"), F.struct(F.concat(F.lit("M"), F.col("o_custkey").cast("string")).alias("member_id")).alias("subscriber"),
+        F.struct(F.concat(F.lit("0000"), F.col("batch_id").cast("string")).alias("control_number")).alias("interchange"),
         "service_lines", "diagnosis_codes",
     )

@@ -69,13 +69,13 @@ def newest_link(pages: DataFrame, html: str, pattern: str, key: str) -> DataFram
     return links.groupBy(key).agg(F.max("link").alias("newest"), F.count("*").alias("n_links"))
 
 
-def latest_monthly_file(links: DataFrame) -> DataFrame:
-    """The newest monthly file over a column ``link``: by year, then month, its V2 form before the other."""
+def latest_monthly_file(links: DataFrame, *keys: str) -> DataFrame:
+    """The newest monthly file over a column ``link``, for each of the keys: by year, then month, its V2 form before the other."""
     months = "January February March April May June July August September October November December".split()
     pattern = r"NPPES_Data_Dissemination_([A-Z][a-z]+)_(\d{4})(_V2)?\.zip"
     month = F.array_position(F.array(*map(F.lit, months)), F.regexp_extract("link", pattern, 1))
     order = F.struct(F.regexp_extract("link", pattern, 2).alias("y"), month.alias("m"), F.regexp_extract("link", pattern, 3).alias("v"))
-    return links.where(F.col("link").rlike(pattern) & (month > 0)).agg(F.max_by("link", order).alias("link"))
+    return links.where(F.col("link").rlike(pattern) & (month > 0)).groupBy(*keys).agg(F.max_by("link", order).alias("link"))
 
 
 def active_rules(rules: DataFrame) -> DataFrame:

@@ -216,8 +216,15 @@ def register_queries(add, views) -> None:
     read = lambda s, d: claims(inter(s, d))
     good = "o_custkey % 10 not in (3, 5, 7)"
     vs = ("v_claim", "v_lines", "v_dx")
-    add("SRC2", lambda s, d: segments(inter(s, d)).groupBy("seg_id").agg(F.count("*").alias("n")), None)
-    add("X1", lambda s, d: envelope_errors(inter(s, d)).select("file_id", F.substring("reason", 1, 16).alias("reason")), cte("select distinct cast(o_custkey as string) as file_id, case o_custkey % 10 when 3 then 'SE segment count' when 5 then 'Interchange cont' else 'Incomplete trans' end as reason from v_claim where o_custkey % 10 in (3, 5, 7)", *vs))
+    sizes = "z as (select c.o_custkey, c.claim_key, cast(c.authorization_number is not null as int) as n_ref, cast(exists (select 1 from v_dx d where d.claim_key = c.claim_key) as int) as n_hi, (select count(*) from v_lines l where l.claim_key = c.claim_key) as n_lines from v_claim c)"
+    per_file = "ISA GS ST BHT HL HL PRV DMG SE GE".split() + ["NM1"] * 5
+    counts = " union all ".join(
+        [f"select '{x}' as seg_id, count(distinct o_custkey) as n from z" for x in per_file] + ["select 'IEA', count(distinct o_custkey) from z where o_custkey % 10 <> 7"]
+        + [f"select '{x}', sum({n}) from z" for x, n in (("CLM", "1"), ("REF", "n_ref"), ("HI", "n_hi"), ("LX", "n_lines"), ("SV1", "n_lines"), ("DTP", "n_lines"))]
+    )
+    reasons = f"with {sizes}, w as (select o_custkey, 12 + sum(1 + n_ref + n_hi + 3 * n_lines) as n from z group by 1) select cast(o_custkey as string) as file_id, case o_custkey % 10 when 3 then concat('SE segment count is ', n + 1, ' but transaction set 0001 has ', n, ' segments') when 5 then 'Interchange control number mismatch' else 'Incomplete transmission: the last segment is not IEA' end as reason from w where o_custkey % 10 in (3, 5, 7)"
+    add("SRC2", lambda s, d: segments(inter(s, d)).groupBy("seg_id").agg(F.count("*").alias("n")), cte(f"with {sizes} select seg_id, cast(sum(n) as bigint) as n from ({counts}) group by 1 having sum(n) > 0", *vs))
+    add("X1", lambda s, d: envelope_errors(inter(s, d)).select("file_id", "reason"), cte(reasons, *vs))
     add("X2", lambda s, d: numbered(segments(inter(s, d))).groupBy("file_id").agg(F.max("ts_no").alias("n_sets")), cte("select distinct cast(o_custkey as string) as file_id, cast(1 as bigint) as n_sets from v_claim", *vs))
     add("X3", lambda s, d: read(s, d).select("file_id", "claim_id", "subscriber.member_id"), cte(f"select cast(o_custkey as string) as file_id, claim_id, concat('M', o_custkey) as member_id from v_claim where {good}", *vs))
     add("X4", lambda s, d: claim_names(read(s, d)).select("name"), cte(f"select case when count(*) over (partition by o_custkey) = 1 then concat(o_custkey, '.json') else concat(o_custkey, '_', claim_id, '.json') end as name from v_claim where {good}", *vs))
@@ -229,4 +236,4 @@ def register_queries(add, views) -> None:
     add("X10", lambda s, d: read(s, d).select("claim_id", "claim_details.place_of_service", "claim_details.frequency_code"), cte(f"select claim_id, place_of_service, '1' as frequency_code from v_claim where {good}", *vs))
     add("X11", lambda s, d: read(s, d).select("claim_id", F.explode("service_lines").alias("x")).select("claim_id", "x.procedure_code", "x.charge_amount", "x.date_of_service"), cte(f"select claim_id, l.procedure_code, l.charge_amount, l.date_of_service from v_claim join v_lines l using (claim_key) where {good}", *vs))
     add("X12", lambda s, d: read(s, d).select("claim_id", "financial.claim_amount", "authorization.authorization_number"), cte(f"select claim_id, case when claim_amount <> 'abc' then rtrim(rtrim(claim_amount, '0'), '.') end as claim_amount, authorization_number from v_claim where {good}", *vs))
-    add("X13", lambda s, d: rejected(inter(s, d)).groupBy(F.substring("reason", 1, 10).alias("reason")).agg(F.count("*").alias("n")), cte("select case o_custkey % 10 when 3 then 'SE segment' when 5 then 'Interchang' else 'Incomplete' end as reason, count(distinct o_custkey) as n from v_claim where o_custkey % 10 in (3, 5, 7) group by 1", *vs))
+    add("X13", lambda s, d: rejected(inter(s, d)).groupBy("reason").agg(F.count("*").alias("n")), cte(reasons.replace(" select cast(o_custkey as string) as file_id,", ", y as (select cast(o_custkey as string) as file_id,") + ") select reason, count(*) as n from y group by 1", *vs))

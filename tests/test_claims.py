@@ -144,3 +144,61 @@ def test_rules_have_queries():
     from claimlens import catalog
 
     assert set(R.RULES) <= set(catalog.QUERIES) and set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
+
+
+def test_fixed_limits_of_rules(spark):
+    rows = spark.createDataFrame([("749999", "4.99"), ("750001", "5"), (None, None)], "total string, amount string")
+    claim = R.Claim(lambda name: {"claim_totals": F.struct(F.col("total").alias("total_charges")), "financial": F.struct(F.col("amount").alias("claim_amount"))}.get(name, F.lit(None).cast("array<struct<a:string>>")))
+    assert [r[0] for r in rows.select(R.RULES["R7"].condition(claim).truth).collect()] == [False, True, None]
+    assert [r[0] for r in rows.select(R.RULES["R17"].condition(claim).truth).collect()] == [True, False, None]
+
+
+def test_emergency_visit_without_a_code_is_no_match(spark):
+    rows = spark.createDataFrame([(("20000",), [(None,)]), (("20000",), [("99285",)]), (("20000",), [])], "financial struct<claim_amount:string>, service_lines array<struct<procedure_code:string>>")
+    claim = R.Claim(lambda name: F.col(name) if name != "diagnosis_codes" else F.lit(None).cast("array<struct<code:string>>"))
+    assert [r[0] for r in rows.select(R.RULES["R18"].condition(claim).truth).collect()] == [False, True, None]
+
+
+def test_scorer_view_and_fingerprint(spark):
+    rows = spark.createDataFrame([(1, ("n", "1", "2 St"), ("m",), ("c1",), "5"), (2, ("n", "1", "2 St"), ("m",), ("c2",), "5"), (3, ("n", "2", "2 St"), ("m",), ("c1",), "5")], "k int, provider struct<name:string,npi:string,address:string>, subscriber struct<id:string>, interchange struct<control:string>, amount string")
+    seen = policy.scorer_view(rows)
+    assert seen.columns == ["k", "provider", "interchange", "amount"] and seen.schema["provider"].dataType.names == ["npi"]
+    a, b, c = (r.fingerprint for r in ingest.with_fingerprint(rows, ["k"]).orderBy("k").collect())
+    assert a == b != c
+    turned = rows.select("amount", "k", "subscriber", F.struct("provider.npi", "provider.address", "provider.name").alias("provider"))
+    assert ingest.with_fingerprint(turned, ["k"]).orderBy("k").first().fingerprint == a
+
+
+def test_requests_in_a_window(spark):
+    rows = spark.createDataFrame([("b", k, t) for k, t in enumerate((0, 40, 80, 141, 150, 500))] + [("c", 9, 1)], "batch string, id int, at int").withColumn("ts", F.timestamp_seconds("at"))
+    assert sorted(r.id for r in ingest.at_most_once(rows, ["batch"], "ts", "id").collect()) == [0, 2, 3, 5, 9]
+    got = {r.id: r.allowed for r in ingest.rate_limited(rows, ["batch"], "ts", "id", 2, 100).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 5: True, 9: True}
+
+
+def test_monthly_files_registry_and_listing(spark, tmp_path):
+    links = spark.createDataFrame([(f"NPPES_Data_Dissemination_{m}.zip",) for m in ("March_2025", "March_2025_V2", "December_2024_V2", "Smarch_2030", "April_2024")], "link string")
+    assert files.latest_monthly_file(links).first().link == "NPPES_Data_Dissemination_March_2025_V2.zip"
+    (tmp_path / "r.csv").write_text("\ufeff" + ",".join(f'"{h}"' for h in reversed(files.REGISTRY_HEADERS.values())) + "\n" + ",".join(f'"{k}"' if k != "npi" else '"1234567890"' for k in reversed(files.REGISTRY_HEADERS)) + "\n")
+    row = files.registry_csv(spark, str(tmp_path / "r.csv")).first()
+    assert (row.npi, row.taxonomy, row.state) == ("1234567890", "taxonomy", "state")
+    (tmp_path / "bad.csv").write_text("NPI\n1\n")
+    with pytest.raises(ValueError, match="Entity Type Code"):
+        files.registry_csv(spark, str(tmp_path / "bad.csv"))
+    for name in ("b.x12", "a.edi", "c.json", "d.txt"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "e.x12").write_text("e")
+    assert [r.path.rsplit("/", 1)[1] for r in files.listing(spark, str(tmp_path)).collect()] == ["a.edi", "b.x12", "d.txt"]
+
+
+def test_scores_contract_and_cofiring(spark):
+    bodies = [(1, '{"contract_version":"1.0","risk_score":0.5}'), (2, '{"contract_version":"2.0","risk_score":0.5}'), (3, "{bad"), (4, '{"contract_version":"1.0","ml_probability":"0.25","model_id":"m"}')]
+    got = {r.claim_id: tuple(r)[1:] for r in policy.normalised_scores(spark.createDataFrame(bodies, "claim_id int, body string")).collect()}
+    assert got == {1: ("ok", 0.5, "unknown"), 2: ("error", None, "unknown"), 3: ("error", None, "unknown"), 4: ("ok", 0.25, "m")}
+    scored = policy.with_scores(spark.createDataFrame([(1,), (2,)], "claim_key int"), spark.createDataFrame([(1, 0.9)], "claim_key int, risk_score double")).collect()
+    assert {r.claim_key: r.score for r in scored} == {1: 0.9, 2: 0.42}
+    lost = files.contract_issues(spark.createDataFrame([("financial.claim_amount",), ("service_lines.3.units",), ("claim.npi",), ("patient.age",)], "path string")).collect()
+    assert {r.path: r.hint for r in lost} == {"claim.npi": "provider.npi", "patient.age": "none"}
+    fired = spark.createDataFrame([(1, ["A", "B"]), (2, ["A"]), (3, ["A", "B", "C"]), (4, [])], "claim_key int, rules array<string>")
+    assert {(r.a, r.b): (r.n_both, r.n_a, r.n_b) for r in overlap.cofiring(fired).collect()} == {("A", "B"): (2, 3, 2), ("A", "C"): (1, 3, 1), ("B", "C"): (1, 2, 1)}
