@@ -7,6 +7,7 @@ whole block, so no Python loop runs per word.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy block holds; a longer text makes a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Separators of "words": blank and the control characters tab to carriage return.
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,6 +40,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to: its cleaner waits for the driver's garbage collection, which may be long after their results were written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """The two columns that text operators read; extra columns, whatever their names, stay behind."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
@@ -67,7 +74,7 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 #: The most bytes that Spark gathers in one Arrow batch for a task; its own default is 64 MB, kept outside the heap and doubled as it grows.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

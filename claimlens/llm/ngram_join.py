@@ -48,12 +48,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, Words, blocks, bounded_batches, documents, grams, mix, written
+from .common import BLANKS, LOWER, Words, blocks, bounded_batches, documents, grams, mix, released, written
 from .components import components
 
 GROUPS = 64
 #: Leaves that a block of sets holds.
-LEAVES = 200_000
+LEAVES = 100_000
 #: Sets in a leaf that are compared pair by pair.
 CROWD = 128
 BLOCK = 256
@@ -64,6 +64,8 @@ BOUND_GROUPS = 256
 NODE = 16
 #: A class is named by a broadcast where it holds more than this share of all rows; so there are no more than so many.
 SHARE = 1000
+#: Bytes of a leaf key, as it travels; two leaves taken for one only meet in vain.
+KEY = 6
 _POINT = mix(np.arange(1, GROUPS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
@@ -137,6 +139,16 @@ def leaves(own: np.ndarray, sizes: Sizes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes()
+
+
+def keys_of(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY, 8), np.uint8)
+    out[:, :KEY] = np.frombuffer(data, np.uint8).reshape(-1, KEY)
+    return out.view("<u8").ravel()
+
+
 def point(own: np.ndarray) -> bytes:
     """Counts of a whole set's groups, one byte each; cut at 255, which only brings points closer."""
     return np.minimum(np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
@@ -164,7 +176,7 @@ def signed(docs: DataFrame, n: int, percent: int, separators: np.ndarray, indexe
             columns += [pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) for s in sets], pa.binary())]
             if indexed:
                 sizes = Sizes(percent, max(map(len, sets)) + 1)
-                columns += [pa.array([leaves(s, sizes).tobytes() for s in sets], pa.binary()), pa.array([point(s) for s in sets], pa.binary())]
+                columns += [pa.array([packed_keys(leaves(s, sizes)) for s in sets], pa.binary()), pa.array([point(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return row_and_text(docs).mapInArrow(task, schema)
@@ -218,7 +230,7 @@ def leaf_blocks(classes: DataFrame) -> DataFrame:
         for batch in batches:
             data, points = batch.column("leaves").to_pylist(), batch.column("point").to_pylist()
             ids, sizes = np.asarray(batch.column("node")), np.asarray(batch.column("n_shingles"))
-            ends = np.cumsum([len(x) // 8 for x in data])
+            ends = np.cumsum([len(x) // KEY for x in data])
             at = 0
             while at < len(data):
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LEAVES, "right")))
@@ -238,7 +250,7 @@ def shared_leaves(held: DataFrame, parts: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("leaves").to_pylist(), strict=True):
-                keys, counts = np.unique(np.frombuffer(data, "<u8"), return_counts=True)
+                keys, counts = np.unique(keys_of(data), return_counts=True)
                 rows = [(part, block, low, zlib.compress(n, 1)) for part, low, n in dealt(keys, parts, keys.astype("<u4"), counts.astype("<u4"))]
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["part", "block", "leaves", "counts"])
@@ -269,7 +281,7 @@ def entered(held: DataFrame, percent: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, size, own, points, told in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "leaves", "points", "told")), strict=True):
-                ids, size, own = np.frombuffer(ids, "<i8"), np.frombuffer(size, "<i8"), np.frombuffer(own, "<u8")
+                ids, size, own = np.frombuffer(ids, "<i8"), np.frombuffer(size, "<i8"), keys_of(own)
                 shared = np.concatenate([np.frombuffer(t["shared"], "<u4").astype(np.int64) | t["part"] << 32 for t in told])
                 counts = np.frombuffer(b"".join(t["counts"] for t in told), "<i8")
                 order = np.argsort(shared)
@@ -289,7 +301,7 @@ def entered(held: DataFrame, percent: int) -> DataFrame:
                 columns = []
                 for left in (order[few], order[~few]):
                     cuts = np.searchsorted(doc[run[left]], np.arange(len(ids) + 1)).tolist()
-                    columns.append(pa.array([own[left[i:j]].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+                    columns.append(pa.array([packed_keys(own[left[i:j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
                 points = pa.array([points[k : k + GROUPS] for k in range(0, len(points), GROUPS)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), points, *columns], names=["node", "n_shingles", "point", "leaves", "crowded"])
 
@@ -335,17 +347,17 @@ def near(sets: DataFrame, percent: int) -> DataFrame:
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = np.cumsum([len(x) // 8 for x in batch.column("leaves").to_pylist()])
+            ends = np.cumsum([len(x) // KEY for x in batch.column("leaves").to_pylist()])
             at = 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LEAVES // 4, "right")))
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LEAVES // 2, "right")))
                 rows = batch.slice(at, to - at)
                 at = to
                 data = rows.column("leaves").to_pylist()
-                of = np.repeat(np.arange(len(data)), [len(x) // 8 for x in data])
+                of = np.repeat(np.arange(len(data)), [len(x) // KEY for x in data])
                 ids, size = np.asarray(rows.column("node")).astype("<i8"), np.asarray(rows.column("n_shingles")).astype("<i8")
                 points = np.frombuffer(b"".join(rows.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
-                keys = np.frombuffer(b"".join(data), "<u8")
+                keys = keys_of(b"".join(data))
                 out = list(dealt(keys, 4 * parts, keys, ids[of], size[of], points[of]))
                 out = [(part, keys, a, b, zlib.compress(c, 1)) for part, keys, a, b, c in out]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary() if k else pa.int32()) for k in range(5)], names=["part", "keys", "ids", "sizes", "points"])
@@ -368,8 +380,8 @@ def crowds(reps: DataFrame) -> DataFrame:
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = batch.column("leaves").to_pylist()
-            keys = np.frombuffer(b"".join(data), "<u8")
-            ids = np.repeat(np.asarray(batch.column("node")), [len(x) // 8 for x in data])
+            keys = keys_of(b"".join(data))
+            ids = np.repeat(np.asarray(batch.column("node")), [len(x) // KEY for x in data])
             order, least, new = _stars(keys, ids)
             a, b = _edge_batch(ids[order], least)
             rows = [(-1, a.astype("<i8").tobytes(), b.astype("<i8").tobytes())] if len(a) else []
@@ -523,9 +535,13 @@ def grouped(docs: DataFrame, n: int, percent: int, separators: np.ndarray) -> tu
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
     classes = written(spark, classes.withColumn("node", F.xxhash64("digest")), "classes")
     # leaves are made anew rather than stored for every row: they take more room than texts
-    sets = signed(docs, n, percent, separators, True).where(F.length("leaves") > 0).groupBy("digest").agg(F.min(F.struct("n_shingles", "leaves", "point")).alias("own"))
-    held = leaf_blocks(sets.select(F.xxhash64("digest").alias("node"), "own.*"))
-    stars = components(candidates(written(spark, entered(held, percent), "leaves-entered"), percent))
+    own = F.min(F.struct("n_shingles", "leaves", "point")).alias("own")
+    held = leaf_blocks(signed(docs, n, percent, separators, True).where(F.length("leaves") > 0).groupBy("digest").agg(own).select(F.xxhash64("digest").alias("node"), "own.*"))
+    released(spark)
+    sets = written(spark, entered(held, percent), "leaves-entered")
+    released(spark)
+    stars = components(candidates(sets, percent))
+    released(spark)
     clusters = stars.join(classes.select("node", "n_shingles", "digest", F.col("first.row").alias("row")), "node")
     found = components(links(docs, clusters, n, percent, separators))
     return rows, classes.join(found, "node", "left").select("digest", "copies", "first", F.coalesce("component", "node").alias("component"))

@@ -38,6 +38,8 @@ from .common import BLANKS, Words, blocks, documents, gram_starts, grams, id_and
 
 K = 13
 SEED = 4
+#: Bytes of text whose edges are packed together: the larger, the more repeats are found before the shuffle.
+EDGE_BYTES = 2 << 20
 #: Parts that edges are dealt to, for each shuffle partition.
 DEALT = 2
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -94,7 +96,7 @@ def edges(batches: Iterator[pa.RecordBatch], dealt: int) -> Iterator[pa.RecordBa
     """Pack the edges that ask; repeats within the block go along as parts of their own (part -1: spans)."""
     names = [c.split()[0] for c in PACKED.split(", ")]
     kinds = [pa.int32()] + [pa.binary()] * 7
-    for block in blocks(batches):
+    for block in blocks(batches, EDGE_BYTES):
         words = Words(block.column("text"), BLANKS)
         at, of = gram_starts(words, K)
         if not len(at):
