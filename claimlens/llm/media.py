@@ -5,7 +5,8 @@ back from the stored bytes. The samples are resampled by a polyphase filter (2 t
 into overlapped Hann windows, turned to log-mel bands, and segmented by energy with two
 thresholds (a stretch begins over the upper and lasts until under the lower). Frames are
 averaged in BINS equal time spans, so each recording gives one tensor of fixed shape
-BINS x MELS beside the spans' times; both are stored as fixed-size lists of floats.
+BINS x MELS beside the spans' times; a block's tensors are stored as Arrow fixed-shape
+tensors in an Arrow stream, and features are told from that.
 
 Each row is a map of its own; nothing is shuffled. Equal payloads give equal values.
 
@@ -109,37 +110,72 @@ def features(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[in
     return bins.astype(np.float32), (edges * step).astype(np.float32), segments(mel.mean(1)), n
 
 
+def tensors(doc_ids: list, mels: list[np.ndarray], seconds: list[np.ndarray], spans: list[list[list[float]]]) -> bytes:
+    """An Arrow stream of one block: doc_id, log_mel and bin_seconds as fixed-shape tensors, and the time spans of the segments."""
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(doc_ids, pa.int64()), pa.FixedShapeTensorArray.from_numpy_ndarray(np.stack(mels)), pa.FixedShapeTensorArray.from_numpy_ndarray(np.stack(seconds)), pa.array(spans, pa.list_(pa.list_(pa.float32())))],
+        names=["doc_id", "log_mel", "bin_seconds", "segments"],
+    )
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def opened(data: bytes) -> pa.Table:
+    """The table of a stored block, its tensors in their shapes."""
+    return pa.ipc.open_stream(data).read_all()
+
+
+def of_block(block: pa.RecordBatch) -> tuple[list[tuple], bytes]:
+    """What is told of each stored recording of a block, and the block's tensors."""
+    step = HOP * DOWN / (UP * RATE)
+    told, mels, seconds, spans, frames = [], [], [], [], []
+    for doc_id, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
+        raw = text.encode()
+        media = wav(raw + bytes([PAD]) * (max(-(-len(raw) // UNIT), 1) * UNIT - len(raw)))
+        back = samples_of(media)
+        tensor, at, parts, n = features(np.frombuffer(back, np.uint8))
+        told.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest()))
+        mels.append(tensor)
+        seconds.append(at)
+        spans.append([[x * step, y * step] for x, y in parts])
+        frames.append((n, sum(y - x for x, y in parts)))
+    data = tensors([t[0] for t in told], mels, seconds, spans)
+    kept = opened(data)  # features are told from what is stored
+    mel = kept["log_mel"].combine_chunks().to_numpy_ndarray()
+    out = []
+    for k, (own, (n, loud)) in enumerate(zip(told, frames, strict=True)):
+        digest = hashlib.md5(np.round(mel[k], 2).tobytes(), usedforsecurity=False).hexdigest()
+        out.append((*own, f"frames={n};segments={len(spans[k])};loud={loud};mel={digest}"))
+    return out, data
+
+
 def recordings(docs: DataFrame) -> DataFrame:
     """One row per document: its stored form's sizes and digests, and the features; see SCHEMA."""
-    step = HOP * DOWN / (UP * RATE)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            out = []
-            for doc_id, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
-                raw = text.encode()
-                media = wav(raw + bytes([PAD]) * (max(-(-len(raw) // UNIT), 1) * UNIT - len(raw)))
-                back = samples_of(media)
-                tensor, seconds, parts, n = features(np.frombuffer(back, np.uint8))
-                told = f"frames={n};segments={len(parts)};loud={sum(b - a for a, b in parts)};mel={hashlib.md5(np.round(tensor, 2).tobytes(), usedforsecurity=False).hexdigest()}"
-                spans = [[a * step, b * step] for a, b in parts]
-                out.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), told, tensor.ravel(), seconds, spans))
+            out, data = of_block(block)
             c = list(zip(*out, strict=True))
             arrays = [pa.array(c[k], pa.int64() if k in (0, 1, 2, 4, 5) else pa.string()) for k in range(8)]
-            arrays += [pa.array([x.tolist() for x in c[k]], pa.list_(pa.float32())) for k in (8, 9)]
-            arrays.append(pa.array(c[10], pa.list_(pa.list_(pa.float32()))))
+            kept = opened(data)
+            lists = [kept[x].combine_chunks().storage.cast(pa.list_(pa.float32())) for x in ("log_mel", "bin_seconds")]
             names = [x.split()[0] for x in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield pa.RecordBatch.from_arrays([*arrays, *lists, kept["segments"].combine_chunks()], names=names)
 
     return id_and_text(docs).mapInArrow(task, SCHEMA)
 
 
-def tensors(rows: pa.Table) -> pa.Table:
-    """Features read by pyarrow, the log-mel column as Arrow's fixed-shape tensors."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (BINS, MELS))
-    flat = pa.FixedSizeListArray.from_arrays(rows.column("log_mel").combine_chunks().flatten(), BINS * MELS)
-    at = rows.schema.get_field_index("log_mel")
-    return rows.set_column(at, "log_mel", pa.ExtensionArray.from_storage(kind, flat))
+def tensor_blocks(docs: DataFrame) -> DataFrame:
+    """The features as they are stored: one row per block of documents, with its Arrow stream (``opened`` reads it) and how many it holds."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            _, data = of_block(block)
+            yield pa.RecordBatch.from_arrays([pa.array([block.num_rows], pa.int64()), pa.array([data], pa.binary())], names=["documents", "arrow"])
+
+    return id_and_text(docs).mapInArrow(task, "documents long, arrow binary")
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
