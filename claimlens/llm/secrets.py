@@ -7,7 +7,10 @@ adds spans of kind ``crf`` that touch none of them.
 
 The field is fitted by gradient steps on the conditional likelihood, in one task, on
 windows of tokens from at most ``TRAIN_ROWS`` texts (a documented bound), tagged by the
-base patterns. Its weight tables (a fixed size) are broadcast. In decoding, a token whose
+base patterns. So that it learns what secrets look like, and not the patterns, every text
+with a secret is given again in forms that the patterns miss (``variants``): without its
+keyword, in capitals, cut short. Long tokens with digits that are no secrets, such as mail
+addresses, are shown as such. Its weight tables (a fixed size) are broadcast. In decoding, a token whose
 outside score exceeds its other scores by more than its change to outside can cost must
 be outside on the best path, so the path splits there without change; only the stretches
 between such tokens run Viterbi step by step. The cost counts the transitions about the
@@ -205,14 +208,14 @@ class Field:
         return out
 
 
-def tagged(texts: list[str], tokens: Tokens) -> np.ndarray:
-    """Tags of tokens that lie in the value part of base matches."""
+def tagged(texts: list[str], tokens: Tokens, spans: list[list[tuple[int, int, int]]]) -> np.ndarray:
+    """Tags of tokens that lie in the value part of base matches, or in other spans given."""
     tags = np.zeros(len(tokens.of), np.int64)
     words = tokens.words
-    for k, text in enumerate(texts):
-        spans = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-        spans += [(a, b) for a, kind, b in base_spans(text) if kind]
-        for a, b in spans:
+    for k, (text, own) in enumerate(zip(texts, spans, strict=True)):
+        values = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+        values += [(a, b) for a, kind, b in own if kind]
+        for a, b in values:
             a, b = (words.off[k] + len(text[:x].encode()) for x in (a, b))
             i, j = np.searchsorted(words.start, a - 1), np.searchsorted(words.start, b)
             if (i < j and words.end[i] <= a) or (i < j and words.start[i] < a and words.end[i] > a and words.start[i] < a - 1):
@@ -223,6 +226,21 @@ def tagged(texts: list[str], tokens: Tokens) -> np.ndarray:
     return tags
 
 
+def variants(text: str, spans: list[tuple[int, int, int]], most: int = 400) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """The surroundings of each long secret in forms that no base pattern finds, and where the secret stands in each."""
+    out = []
+    for a, kind, b in spans:
+        found = ASSIGN.match(text, a, b)
+        secret = found[2] if found else text[a:b]
+        if len(secret) < 20:
+            continue
+        before, after = text[max(0, a - most) : a], text[b : b + most]
+        for word, form in (("", secret.upper()), ("key ", secret[:23]), ("", secret[:20]), ("bearer ", secret.swapcase())):
+            lead = before + word
+            out.append((lead + form + after, [(len(lead), 3, len(lead) + len(form))]))
+    return out
+
+
 def fit(docs: DataFrame, most: int = TRAIN_ROWS) -> Field:
     rows = id_and_text(docs)
     rows = rows.join(F.broadcast(bounded_sample(rows, "doc_id", most)), "doc_id").dropDuplicates(["doc_id"])
@@ -231,15 +249,22 @@ def fit(docs: DataFrame, most: int = TRAIN_ROWS) -> Field:
         codes, tags = [], []
         width = 2 * REACH + 1
         for block in blocks(batches):
-            tokens = Tokens(block.column("text"))
-            tag = tagged(block.column("text").to_pylist(), tokens)
-            own = np.concatenate([np.flatnonzero(tag == BEGIN), np.arange(REACH, len(tag), 997)])
+            texts = block.column("text").to_pylist()
+            spans = [base_spans(t) for t in texts]
+            more = [v for t, own in zip(texts, spans, strict=True) for v in variants(t, own)]
+            texts, spans = texts + [t for t, _ in more], spans + [own for _, own in more]
+            tokens = Tokens(pa.array(texts, pa.string()))
+            tag = tagged(texts, tokens, spans)
+            size = tokens.words.end - tokens.words.start
+            shape = tokens.codes[0] // 40
+            like = np.flatnonzero((tag == OUT) & (size >= 8) & (shape & 4 > 0))  # long with digits, no secret
+            own = np.concatenate([np.flatnonzero(tag == BEGIN), like, np.arange(REACH, len(tag), 997)])
             for k in own.tolist():
                 a = max(0, min(k - REACH, len(tag) - width))
                 if a + width <= len(tag) and tokens.of[a] == tokens.of[a + width - 1]:
                     codes.append(tokens.codes[:, a : a + width])
                     tags.append(tag[a : a + width])
-        told = sorted(range(len(tags)), key=lambda k: not tags[k].any())
+        told = np.random.default_rng(0).permutation(len(tags)).tolist()  # of too many, an even share of each sort
         codes, tags = [codes[k] for k in told], [tags[k] for k in told]
         field = Field()
         order = range(min(len(codes), WINDOWS))
