@@ -184,13 +184,44 @@ def test_chat(spark):
     assert [r.node for r in best] == [1, 3, 4] and chat.paths(tree, None).select("leaf").distinct().count() == 2
 
 
-def test_media(spark, texts):
-    for r in media.recordings(make(spark, texts)).collect():
+def test_media(spark, texts, tmp_path):
+    rows = media.recordings(make(spark, texts)).collect()
+    for r in rows:
         raw = (dict(texts)[r.doc_id] or "").encode()
         payload = raw + b"\xff" * (max(-(-len(raw) // 576), 1) * 576 - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert len(r.log_mel) == media.BINS * media.MELS and media.samples_of(media.wav(payload)) == payload
     assert media.segments(np.array([0, 0, 9, 4, 9, 0, 0.0])) == [(2, 5)]
+    assert media.recordings(make(spark, [])).count() == 0
+    # stored and read again: tensors of one shape, and time spans within the recording
+    media.tensor_blocks(make(spark, texts)).write.parquet(f"{tmp_path}/tensors")
+    told, seen = {r.doc_id: r for r in rows}, 0
+    for block in spark.read.parquet(f"{tmp_path}/tensors").collect():
+        table = media.opened(block.arrow)
+        mel = table["log_mel"].combine_chunks()
+        assert mel.type.shape == [media.BINS, media.MELS] and table["bin_seconds"].type.shape == [media.BINS + 1] and len(table) == block.documents
+        for k, doc_id in enumerate(table["doc_id"].to_pylist()):
+            own, spans, seconds = told[doc_id], table["segments"][k].as_py(), table["bin_seconds"].combine_chunks().to_numpy_ndarray()[k]
+            assert np.allclose(mel.to_numpy_ndarray()[k].ravel(), own.log_mel) and spans == own.segments
+            assert (np.diff(seconds) >= 0).all() and all(0 <= a < b <= seconds[-1] + 1e-3 for a, b in spans)
+            seen += 1
+    assert seen == len(texts)
+
+
+def test_resampling_and_bands_against_plain_sums():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=700).astype(np.float32)
+    taps = np.zeros(media.TAPS.size, np.float64)
+    for phase in range(media.UP):  # tap k of a phase multiplies the sample that many places back
+        taps[phase :: media.UP] = media.TAPS[phase][::-1]
+    width = media.TAPS.shape[1]
+    stuffed = np.zeros(len(x) * media.UP)
+    stuffed[:: media.UP] = x
+    y = media.resampled(x)
+    plain = np.array([sum(taps[k] * stuffed[n * media.DOWN - k] for k in range(len(taps)) if 0 <= n * media.DOWN - k < len(stuffed)) for n in range(len(y) - width)])
+    assert np.allclose(plain, y[: len(plain)], atol=1e-4)
+    tone = (128 + 100 * np.sin(2 * np.pi * np.arange(8000) * 0.05)).astype(np.uint8)
+    assert len({int(k) for k in media.log_mel(tone)[2:-2].argmax(1)}) == 1
 
 
 def test_secrets(spark):
@@ -211,6 +242,20 @@ def test_secrets(spark):
     assert whole == field.decode(tokens)
 
 
+def test_secrets_that_no_pattern_finds(spark):
+    rng = random.Random(21)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    filler = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet mail.07@host3.example.org 2024 x1".split()) for _ in range(40))
+    rows = [(k, f"{filler()} {'token = ' if k % 2 else ''}{hexes(40)} {filler()}" if k % 3 == 0 else filler()) for k in range(600)]
+    field = secrets.fit(make(spark, rows))
+    hidden = [(k, f"{filler()} {form} {filler()}") for k, form in enumerate([*(hexes(40).upper() for _ in range(60)), *(hexes(22) for _ in range(60))])]
+    clean = [(1000 + k, filler()) for k in range(120)]
+    out = {r.doc_id: r for r in secrets.scan(make(spark, [*hidden, *clean]), field).collect()}
+    caught = sum(out[k].n_crf > 0 for k, _ in hidden)
+    assert caught >= 108 and sum(out[k].n_crf for k, _ in clean) <= 2
+    assert all(out[k].n_assign + out[k].n_access + out[k].n_hex == 0 for k, _ in hidden)
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_decoding_skips_nothing_of_the_best_path(seed):
     rng, words = np.random.default_rng(seed), random.Random(seed)
@@ -277,6 +322,34 @@ def test_ngram_join(spark, texts, n, percent):
     assert got == sorted((k, len(sets[k]), top(k)) for k, _ in texts)
 
 
+def test_ngram_join_of_rows_with_one_id_or_none(spark):
+    rng = random.Random(9)
+    text = lambda: [f"x{rng.randrange(10**6)}" for _ in range(40)]
+    a, b, c = text(), text(), text()
+    near = lambda w: " ".join([*w, "more"])
+    rows = [(1, " ".join(a)), (2, near(a)), (1, " ".join(b)), (3, near(b)), (None, " ".join(c)), (None, near(c)), (None, " ".join(text())), (9, near(c)), (9, near(c)), (None, None), (5, ""), (2**60 + 1, near(a))]
+    got = [tuple(r) for r in ngram_join.near_duplicates(make(spark, rows), 3, 90).collect()]
+    order = lambda rows: sorted(rows, key=str)
+    assert order(got) == order([(1, 38, 1), (2, 39, 1), (1, 38, 1), (3, 39, 1), (None, 38, 9), (None, 39, 9), (None, 38, None), (9, 39, 9), (9, 39, 9), (None, 0, None), (5, 0, 5), (2**60 + 1, 39, 1)])
+    kept = [(r.doc_id, r.text) for r in ngram_join.one_of_each(make(spark, rows), 3, 90).collect()]
+    assert order(kept) == order([(1, rows[0][1]), (1, rows[2][1]), (None, rows[6][1]), (9, rows[7][1]), (None, None), (5, "")])
+    assert ngram_join.near_duplicates(make(spark, [])).count() == 0 and ngram_join.one_of_each(make(spark, [])).count() == 0
+
+
+def test_token_counts_of_long_units(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rows = [(0, "!" * 30_000 + "<|endoftext|>"), (1, "ab1é" * 20_000), (2, " " * 20_000 + "x"), (3, "漢字" * 70 + "<|endoftext|>" * 3), (4, "word" * 50_000), (5, None)]
+    for r in token_counts.prefix_token_counts(make(spark, rows), path).collect():
+        text = dict(rows)[r.doc_id] or ""
+        assert r.n_tokens == len(t.encode(text, add_special_tokens=False).ids)
+        for k in (1, 7, len(text) // 2):
+            assert token_counts.tokens_at(r.prefix_changes, k) == len(t.encode(text[:k], add_special_tokens=False).ids)
+    assert token_counts.prefix_token_counts(make(spark, []), path).count() == 0
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 200), (200, 100), (300, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
