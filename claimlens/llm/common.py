@@ -74,7 +74,7 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 #: The most bytes that Spark gathers in one Arrow batch for a task; its own default is 64 MB, kept outside the heap and doubled as it grows.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -57,8 +57,10 @@ LEAVES = 100_000
 #: Sets in a leaf that are compared pair by pair.
 CROWD = 128
 BLOCK = 256
+#: Pairs that a task holds before it settles which sets they tie.
+PAIRS = 200_000
 #: Shingles that a block of a cluster holds on average, where its sets are large.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 18
 BOUND_GROUPS = 256
 #: Points under one box.
 NODE = 16
@@ -311,28 +313,42 @@ def entered(held: DataFrame, percent: int) -> DataFrame:
 def close(keys: np.ndarray, ids: np.ndarray, size: np.ndarray, points: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Stars over the sets that meet under one key in pairs whose summed minima allow a link."""
     order = np.lexsort((ids, keys))
-    keys, size, points = keys[order], size[order], points[order].astype(np.int16)
+    keys, size, points = keys[order], size[order], points[order]
     node, at = np.unique(ids[order], return_inverse=True)
     label = np.arange(len(node))
-    left, right = [], []
+    left, right, held = [], [], 0
+
+    def settled(label: np.ndarray) -> np.ndarray:
+        """Labels after the pairs at hand, which need not be kept then."""
+        x, y = (np.concatenate(side) for side in (left, right))
+        x, y = label[x], label[y]
+        own = np.arange(len(node))
+        while True:
+            low = np.minimum(own[x], own[y])
+            if np.array_equal(low, own[x]) and np.array_equal(low, own[y]):
+                return own[label]
+            np.minimum.at(own, x, low)
+            np.minimum.at(own, y, low)
+            np.minimum(own, own[own], out=own)
+
     for step in range(1, len(keys)):
         first = np.flatnonzero(keys[step:] == keys[:-step])
         if not len(first):
             break
         for few in np.array_split(first, 1 + len(first) // 20_000):
+            few = few[label[at[few]] != label[at[few + step]]]  # others are together already
             total = size[few] + size[few + step]
-            bound = (total - np.abs(points[few] - points[few + step]).sum(1)) // 2
+            bound = (total - np.abs(points[few].astype(np.int16) - points[few + step]).sum(1)) // 2
             few = few[(100 + percent) * bound >= percent * total]
-            left.append(at[few])
-            right.append(at[few + step])
-    if left:
-        left, right = np.concatenate(left), np.concatenate(right)
-        while True:
-            least = np.minimum(label[left], label[right])
-            if np.array_equal(least, label[left]) and np.array_equal(least, label[right]):
-                break
-            np.minimum.at(label, left, least)
-            np.minimum.at(label, right, least)
+            if len(few):
+                left.append(at[few])
+                right.append(at[few + step])
+                held += len(few)
+            if held > PAIRS:
+                label = settled(label)
+                left, right, held = [], [], 0
+    if held:
+        label = settled(label)
     return _edge_batch(node, node[label])
 
 
