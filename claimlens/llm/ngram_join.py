@@ -62,6 +62,8 @@ PAIRS = 200_000
 #: Shingles that a block of a cluster holds on average, where its sets are large.
 BLOCK_SHINGLES = 1 << 18
 BOUND_GROUPS = 256
+#: Bits by which rows are marked before a join.
+BITS = 1 << 26
 #: Points under one box.
 NODE = 16
 #: A class is named by a broadcast where it holds more than this share of all rows; so there are no more than so many.
@@ -498,6 +500,22 @@ def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
+def marked(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """rows with ``may``: false where none of the keys has these values, so that few rows need a shuffle to be sure.
+
+    The keys' hashes set bits in at most BITS / 32768 bitmaps of 4 kB (8 MB in all, however
+    many keys there are); these are broadcast. Beyond that many keys more rows are marked, none less.
+    """
+    at = F.pmod(F.xxhash64(*names), F.lit(BITS))
+    bits = keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    rows = rows.withColumn("_at", at)
+    held = rows.join(F.broadcast(bits), F.bitmap_bucket_number("_at") == F.col("_bucket"), "left")
+    place = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1
+    return held.withColumn("may", F.coalesce(set_, F.lit(False))).drop("_at", "_bucket", "_bits")
+
+
 def links(docs: DataFrame, clusters: DataFrame, n: int, percent: int, separators: np.ndarray) -> DataFrame:
     """A spanning forest (a, b) of the verified links within each block pair of a cluster's sets.
 
@@ -537,7 +555,7 @@ def links(docs: DataFrame, clusters: DataFrame, n: int, percent: int, separators
         edges = forest(np.concatenate(found), len(ids)) if found else []
         return pa.table({"a": pa.array([ids[x] for x, _ in edges], pa.int64()), "b": pa.array([ids[y] for _, y in edges], pa.int64())})
 
-    rows = row_and_text(docs).select("row", "text").join(meets, "row").select("text", "meets")
+    rows = marked(row_and_text(docs).select("row", "text"), clusters, "row").where("may").join(meets, "row").select("text", "meets")
     rows = rows.mapInArrow(sets, "component long, i int, j int, own int, node long, data binary")
     return written(spark, rows.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long"), "links")
 
@@ -578,13 +596,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, separators:
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The first row of each group, by doc_id; of rows with one id and one text, one. Rows without words all stay, so do rows without id that nothing resembles."""
+    spark = docs.sparkSession
     rows, classes = grouped(docs, n, percent, BLANKS)
     first = classes.groupBy("component").agg(F.min("first").alias("first")).select("first.row", "first.text_hash")
     stays = first.unionByName(rows.where("digest is null").select("row", "text_hash"))
+    stays = written(spark, stays, "stays")
+    # rows that go, or that repeat; only these, and those taken for one of them, are shuffled with their texts
+    doubtful = rows.groupBy("row", "text_hash").agg(F.count("*").alias("n")).join(stays.withColumn("stays", F.lit(True)).distinct(), ["row", "text_hash"], "left").where("n > 1 or stays is null")
     own = F.struct(*(docs[c] for c in docs.columns)).alias("own")
     ids, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
-    named = docs.select(F.coalesce(ids, F.xxhash64(text)).alias("row"), F.xxhash64(text).alias("text_hash"), own)
-    return named.join(stays, ["row", "text_hash"], "left_semi").dropDuplicates(["row", "text_hash"]).select("own.*")
+    named = marked(docs.select(F.coalesce(ids, F.xxhash64(text)).alias("row"), F.xxhash64(text).alias("text_hash"), own), doubtful.select("row", "text_hash"), "row", "text_hash")
+    sure = named.where("not may").select("own.*")
+    return sure.unionByName(named.where("may").join(stays, ["row", "text_hash"], "left_semi").dropDuplicates(["row", "text_hash"]).select("own.*"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
