@@ -60,8 +60,10 @@ BLOCK = 256
 #: Pairs that a task holds before it settles which sets they tie.
 PAIRS = 200_000
 #: Shingles that a block of a cluster holds on average, where its sets are large.
-BLOCK_SHINGLES = 1 << 18
+BLOCK_SHINGLES = 1 << 20
 BOUND_GROUPS = 256
+#: Bytes of sets that a task sends on at once.
+SENT_BYTES = 1 << 20
 #: Bits by which rows are marked before a join.
 BITS = 1 << 26
 #: Points under one box.
@@ -529,14 +531,25 @@ def links(docs: DataFrame, clusters: DataFrame, n: int, percent: int, separators
     placed = placed.select("row", "node", "digest", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     meets = placed.groupBy("row").agg(F.collect_list(F.struct("node", "digest", "component", "i", "j", "own")).alias("meets"))
 
+    names, kinds = ["component", "i", "j", "own", "node", "data"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            rows = []
+            rows, held = [], 0
             for meet, own in zip(block.column("meets").to_pylist(), shingles(block.column("text"), n, separators), strict=True):
                 data, digest = own.tobytes(), digest_of(own)
-                rows += [(m["component"], m["i"], m["j"], m["own"], m["node"], data) for m in meet if m["digest"] == digest]
-            names, kinds = ["component", "i", "j", "own", "node", "data"], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
+                for m in meet:
+                    if m["digest"] != digest:
+                        continue
+                    rows.append((m["component"], m["i"], m["j"], m["own"], m["node"], data))
+                    held += len(data)
+                    if held > SENT_BYTES:  # a set goes to many blocks of a large cluster
+                        yield batch_of(rows)
+                        rows, held = [], 0
+            yield batch_of(rows)
 
     def verify(table: pa.Table) -> pa.Table:
         ids, first = np.unique(np.asarray(table["node"]), return_index=True)  # rows may repeat
