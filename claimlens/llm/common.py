@@ -66,11 +66,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a table in the shared folder: cuts lineage and outlives executors."""
+def stored(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows of df from a table in the shared folder, and its path: cuts lineage and outlives executors."""
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    return stored(spark, df, name)[0]
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Remove stored tables once all that is made of them is stored too, so that the steps of a job don't add up on the shared disk."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: The most bytes that Spark gathers in one Arrow batch for a task; its own default is 64 MB, kept outside the heap and doubled as it grows.

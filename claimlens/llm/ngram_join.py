@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, Words, blocks, bounded_batches, documents, grams, mix, released, written
+from .common import BLANKS, LOWER, Words, blocks, bounded_batches, documents, dropped, grams, mix, released, stored, written
 from .components import components
 
 GROUPS = 64
@@ -229,8 +229,8 @@ def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield part, held
 
 
-def leaf_blocks(classes: DataFrame) -> DataFrame:
-    """Sets and their leaf keys in blocks of about LEAVES leaves: block, ids, sizes, leaves, points."""
+def leaf_blocks(classes: DataFrame) -> tuple[DataFrame, str]:
+    """Sets and their leaf keys in blocks of about LEAVES leaves: block, ids, sizes, leaves, points; and where they are stored."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +244,7 @@ def leaf_blocks(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["block", "ids", "sizes", "leaves", "points"])
                 at = to
 
-    return written(classes.sparkSession, classes.mapInArrow(task, "block long, ids binary, sizes binary, leaves binary, points binary"), "leaf-blocks")
+    return stored(classes.sparkSession, classes.mapInArrow(task, "block long, ids binary, sizes binary, leaves binary, points binary"), "leaf-blocks")
 
 
 def shared_leaves(held: DataFrame, parts: int) -> DataFrame:
@@ -583,11 +583,13 @@ def grouped(docs: DataFrame, n: int, percent: int, separators: np.ndarray) -> tu
     classes = written(spark, classes.withColumn("node", F.xxhash64("digest")), "classes")
     # leaves are made anew rather than stored for every row: they take more room than texts
     own = F.min(F.struct("n_shingles", "leaves", "point")).alias("own")
-    held = leaf_blocks(signed(docs, n, percent, separators, True).where(F.length("leaves") > 0).groupBy("digest").agg(own).select(F.xxhash64("digest").alias("node"), "own.*"))
+    held, held_at = leaf_blocks(signed(docs, n, percent, separators, True).where(F.length("leaves") > 0).groupBy("digest").agg(own).select(F.xxhash64("digest").alias("node"), "own.*"))
     released(spark)
-    sets = written(spark, entered(held, percent), "leaves-entered")
+    sets, sets_at = stored(spark, entered(held, percent), "leaves-entered")
+    dropped(spark, held_at)
     released(spark)
     stars = components(candidates(sets, percent))
+    dropped(spark, sets_at)
     released(spark)
     clusters = stars.join(classes.select("node", "n_shingles", "digest", F.col("first.row").alias("row")), "node")
     found = components(links(docs, clusters, n, percent, separators))
