@@ -19,7 +19,7 @@ Of sets that meet in a leaf, pairs pass whose overlap, bounded by the summed min
 count vectors of the whole sets, can be enough. In a leaf of more than CROWD sets all pass
 unseen: they are joined by a star to their least (first within a block of sets, then among
 blocks, so a leaf that a third of all rows share gets a row a block). Pairs that touch are
-a candidate cluster. Within clusters, in blocks of BLOCK sets and pairs of blocks, finer
+a candidate cluster. Within clusters, in blocks of sets and pairs of blocks, BLOCK by BLOCK sets, finer
 count vectors are indexed: sets of like size make nodes of NODE points under a box of the
 largest counts; a search descends from boxes whose summed minima can be enough to points,
 and pairs of points that pass are verified on whole sets. Only a spanning forest of the
@@ -56,7 +56,10 @@ GROUPS = 64
 LEAVES = 100_000
 #: Sets in a leaf that are compared pair by pair.
 CROWD = 128
+#: Sets of a cluster that are compared at once.
 BLOCK = 256
+#: Sets that a block of a cluster holds on average, where they are small: a set is sent once a block.
+BLOCK_SETS = 8 * BLOCK
 #: Pairs that a task holds before it settles which sets they tie.
 PAIRS = 200_000
 #: Shingles that a block of a cluster holds on average, where its sets are large.
@@ -461,8 +464,8 @@ def enough(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray,
     return out
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int, same: bool) -> np.ndarray:
-    """Which pairs link: boxes, then points are met by their summed minima, and what is left is verified on the sets."""
+def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int, asked: np.ndarray) -> np.ndarray:
+    """Which of the asked pairs link: boxes, then points are met by their summed minima, and what is left is verified on the sets."""
     sizes = [np.array([len(s) for s in x]) for x in (left, right)]
     counts = [np.stack([np.bincount((s & np.uint64(BOUND_GROUPS - 1)).astype(np.int64), minlength=BOUND_GROUPS) for s in x]).astype(np.uint16) for x in (left, right)]
     (order_a, box_a, least_a), (order_b, box_b, least_b) = (boxes(c, n) for c, n in zip(counts, sizes, strict=True))
@@ -472,8 +475,7 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int, same:
         x = order_a[node * NODE : (node + 1) * NODE]
         y = order_b[np.flatnonzero(np.repeat(meets[node], NODE)[: len(order_b)])]
         maybe[np.ix_(x, y)] = enough(counts[0][x], sizes[0][x], counts[1][y], sizes[1][y], percent)
-    if same:
-        maybe &= np.tri(len(left), k=-1, dtype=bool)
+    maybe &= asked
     rows, cols = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
     if not len(rows):
         return maybe
@@ -483,23 +485,28 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int, same:
     return maybe
 
 
-def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs (i, j) over n places."""
-    up = list(range(n))
+class Forest:
+    """A spanning forest of the pairs (i, j) given to it, over n places."""
 
-    def top(x: int) -> int:
+    def __init__(self, n: int):
+        self.up, self.links = list(range(n)), []
+
+    def top(self, x: int) -> int:
+        up = self.up
         while up[x] != x:
             up[x] = up[up[x]]
             x = up[x]
         return x
 
-    out = []
-    for i, j in pairs.tolist():
-        x, y = top(i), top(j)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((i, j))
-    return out
+    def tops(self, places: np.ndarray) -> np.ndarray:
+        return np.array([self.top(x) for x in places.tolist()])
+
+    def add(self, pairs: np.ndarray) -> None:
+        for i, j in pairs.tolist():
+            x, y = self.top(i), self.top(j)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                self.links.append((i, j))
 
 
 def marked(rows: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
@@ -524,8 +531,8 @@ def links(docs: DataFrame, clusters: DataFrame, n: int, percent: int, separators
     clusters: node, component, and of each node n_shingles, its digest and a row that has it.
     """
     spark = docs.sparkSession
-    count = clusters.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1")
-    # members are dealt to a cluster's blocks by hash; a block has BLOCK sets on average
+    count = clusters.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1")
+    # members are dealt to a cluster's blocks by hash; a block has BLOCK_SETS sets on average, fewer large ones
     placed = clusters.join(count, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.select("row", "node", "digest", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("row", "node", "digest", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
@@ -557,16 +564,18 @@ def links(docs: DataFrame, clusters: DataFrame, n: int, percent: int, separators
         data = [np.frombuffer(data[k].as_buffer(), np.uint64) for k in first.tolist()]
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
+        tied = Forest(len(ids))
         for a in range(0, len(left), BLOCK):
             for b in range(0, a + 1 if i == j else len(right), BLOCK):
                 x, y = left[a : a + BLOCK], right[b : b + BLOCK]
-                if not len(y):
-                    continue
-                ok = np.argwhere(linked([data[k] for k in x], [data[k] for k in y], percent, i == j and a == b))
-                found.append(np.stack([x[ok[:, 0]], y[ok[:, 1]]], 1))
-        edges = forest(np.concatenate(found), len(ids)) if found else []
-        return pa.table({"a": pa.array([ids[x] for x, _ in edges], pa.int64()), "b": pa.array([ids[y] for _, y in edges], pa.int64())})
+                # sets that are tied already need no further link
+                asked = tied.tops(x)[:, None] != tied.tops(y)[None, :]
+                if i == j and a == b:
+                    asked &= np.tri(len(x), k=-1, dtype=bool)
+                if asked.any():
+                    ok = np.argwhere(linked([data[k] for k in x], [data[k] for k in y], percent, asked))
+                    tied.add(np.stack([x[ok[:, 0]], y[ok[:, 1]]], 1))
+        return pa.table({"a": pa.array([ids[x] for x, _ in tied.links], pa.int64()), "b": pa.array([ids[y] for _, y in tied.links], pa.int64())})
 
     rows = marked(row_and_text(docs).select("row", "text"), clusters, "row").where("may").join(meets, "row").select("text", "meets")
     rows = rows.mapInArrow(sets, "component long, i int, j int, own int, node long, data binary")
