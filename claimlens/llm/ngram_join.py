@@ -51,7 +51,10 @@ from pyspark.sql import functions as F
 from .common import BLANKS, LOWER, Words, blocks, bounded_batches, documents, dropped, grams, mix, released, stored, written
 from .components import components
 
+#: Groups that shingles are counted by in the point of a whole set, where sets meet.
 GROUPS = 64
+#: Groups in a block's point: so many that sets meet in a leaf by what they share and hardly by chance.
+LEAF_GROUPS = 1 << 31
 #: Leaves that a block of sets holds.
 LEAVES = 100_000
 #: Sets in a leaf that are compared pair by pair.
@@ -75,7 +78,6 @@ NODE = 16
 SHARE = 1000
 #: Bytes of a leaf key, as it travels; two leaves taken for one only meet in vain.
 KEY = 6
-_POINT = mix(np.arange(1, GROUPS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
 class Sizes:
@@ -136,7 +138,7 @@ def leaves(own: np.ndarray, sizes: Sizes) -> np.ndarray:
         count, _ = sizes.blocks(k)
         spread = mix(own ^ np.uint64(0xA24BAED4963EE407 + k))
         block = (spread >> np.uint64(32)).astype(np.int64) % count
-        point = _POINT[(spread & np.uint64(GROUPS - 1)).astype(np.int64)]
+        point = mix(spread & np.uint64(LEAF_GROUPS - 1))
         order = np.argsort(block, kind="stable")
         total = np.zeros(len(own) + 1, np.uint64)
         np.cumsum(point[order], out=total[1:])
