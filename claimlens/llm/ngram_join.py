@@ -2,8 +2,8 @@
 
 A text is the set of its distinct 3-word shingles; texts of one set are one class, told
 apart by a 128-bit digest, with its smallest document for representative. Shingles are
-hashed into blocks and, in a block, into GROUPS groups; the group counts of a block are a
-point. The tree's first level is the set's size, its second the block, its leaves the
+hashed into blocks and, in a block, into LEAF_GROUPS groups; the group counts of a block are a
+point (with few groups, long texts would meet by chance in blocks of one or two shingles). The tree's first level is the set's size, its second the block, its leaves the
 points. Sets a and b that link differ in at most T = (|a| + |b|) // 19 shingles, so of
 T + 1 + s blocks at least 1 + s points are equal: the query box of such a block is a
 single leaf, found by an equi-join on the leaf's key, exactly and without a cap. A set has
