@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import collocations
 from .chat import op6_chat
 from .decontaminate import op9_decontamination
 from .licenses import op4_licenses
@@ -13,6 +14,6 @@ from .secrets import op8_secrets
 from .substrings import op5_substrings
 from .token_counts import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_quality, op4_licenses, op5_substrings, op6_chat, op7_audio, op8_secrets, op9_decontamination, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_quality, op4_licenses, op5_substrings, op6_chat, op7_audio, op8_secrets, op9_decontamination, op10_ngram_join, collocations.op13_collocations)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_collocations": collocations.SQL}
