@@ -50,6 +50,7 @@ PAIRS, TYPES = 1 << 22, 1 << 20
 #: Words of the corpus for each part that pairs are dealt to.
 PART_WORDS = 4_000_000
 BITS = 26
+SALTS = 16
 TEXT_BYTES = 2 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -377,6 +378,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         scored.append(rows.select(F.col("lang0").alias("lang"), F.concat_ws(" ", *(f"w{k}" for k in range(m))).alias("phrase"), "a", "cut.l", "cut.r", "cut.score"))
     rows = functools.reduce(DataFrame.unionByName, scored)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    # one lang may hold most phrases: the best of each of SALTS parts first, so that few rows meet
+    parts = Window.partitionBy("lang", "salt").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= top)
     best = rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return best.join(words.groupBy("lang").agg(F.sum("f").alias("n")), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
