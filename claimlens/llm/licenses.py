@@ -10,9 +10,9 @@ merged span is verified by the share of template positions it covers.
 
 One shuffle carries a row per document and the hits; texts are not shuffled.
 
-Defined results: null counts as empty; no words give n_words 0, no label and score 0; rows
-with one doc_id are one document (its n_words the largest); an empty table gives no row;
-other columns are not read.
+Defined results: null counts as empty; no words give n_words 0, no label and score 0; each
+row is a document of its own, also where doc_id is null or repeats; an empty table gives no
+row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -63,21 +63,21 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     words = F.array_remove(F.split(folded(F.coalesce(docs["text"].cast("string"), F.lit(""))), SEPARATORS), "")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), words.alias("words"))
-    pairs = rows.select("doc_id", F.posexplode_outer(F.arrays_zip("words", F.slice("words", F.lit(2), F.size("words")).alias("next"))).alias("pos", "pair"))
-    pairs = pairs.select("doc_id", "pos", F.col("pair.words").alias("word"), F.col("pair.next").alias("next"), F.xxhash64("pair.words", "pair.next").alias("hash"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), words.alias("words"))
+    pairs = rows.select("row", "doc_id", F.posexplode_outer(F.arrays_zip("words", F.slice("words", F.lit(2), F.size("words")).alias("next"))).alias("pos", "pair"))
+    pairs = pairs.select("row", "doc_id", "pos", F.col("pair.words").alias("word"), F.col("pair.next").alias("next"), F.xxhash64("pair.words", "pair.next").alias("hash"))
     found = template_pairs(spark)
     hits = pairs.join(F.broadcast(found), (F.col("hash") == F.col("t_hash")) & (F.col("word") == F.col("t_word")) & (F.col("next") == F.col("t_next")), "left")
     # besides hits, the last word's row of each text is kept: it tells how many words there are
     hits = hits.where(F.col("template").isNotNull() | F.col("next").isNull())
-    votes = hits.groupBy("doc_id", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+    votes = hits.groupBy("row", "doc_id", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.bit_or("bit").alias("bits"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("pairs").alias("pairs"), F.max(F.coalesce(F.col("pos") + 1, F.lit(0))).alias("reach")
     )
-    votes = votes.repartition("doc_id")
-    order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    votes = votes.repartition("row")
+    order = Window.partitionBy("row", "template").orderBy("diagonal")
     votes = votes.withColumn("apart", F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= NEAR, 0).otherwise(1))
     votes = votes.withColumn("band", F.sum("apart").over(order))
-    merged = votes.groupBy("doc_id", "template", "band").agg(
+    merged = votes.groupBy("row", "doc_id", "template", "band").agg(
         F.bit_or("bits").alias("bits"),
         F.sum(F.when(F.col("base") & (F.bit_count("bits") == F.col("pairs")), 1).otherwise(0)).alias("places"),
         F.min(F.when(F.col("base") & (F.bit_count("bits") == F.col("pairs")), F.col("diagonal"))).alias("first"),
@@ -87,7 +87,7 @@ def scan(docs: DataFrame) -> DataFrame:
     share = F.when(F.col("base"), F.when(F.col("places") > 0, 1.0).otherwise(0.0)).otherwise(F.bit_count("bits") / F.col("pairs"))
     merged = merged.withColumn("share", F.when(F.col("template").isNull(), 0.0).otherwise(share))
     labels = lambda ok: F.array_join(F.array_sort(F.collect_set(F.when(ok, F.col("label")))), ",")
-    return merged.groupBy("doc_id").agg(
+    told = merged.groupBy("row", "doc_id").agg(
         F.max(F.when(F.col("template").isNull(), F.col("reach"))).cast("long").alias("n_words"),
         F.sum("places").cast("long").alias("n_base"),
         F.min("first").cast("long").alias("first_word"),
@@ -96,6 +96,7 @@ def scan(docs: DataFrame) -> DataFrame:
         labels(F.when(F.col("base"), F.col("places") > 0).otherwise(F.col("share") >= SHARE)).alias("labels"),
         F.max("share").alias("score"),
     )
+    return told.drop("row")
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
