@@ -9,7 +9,8 @@ Turns are marked ``<|role|>`` and ``<|end|>``. In roles and texts a backslash is
 and each control string gets a backslash after its first character, so no text holds one
 and the escape is undone exactly.
 
-Defined results: null texts and roles count as empty; messages that repeat an id of their
+Defined results: null texts and roles count as empty; messages without conv_id are one
+conversation, whose conv_id is null; a message's node is never null; messages that repeat an id of their
 conversation are numbered on in order of role and text, so none is lost; a reply to a
 message that isn't there begins a tree of its own; equal scores rank by the leaf's id; an
 empty table gives no row; other columns are not read.
@@ -62,47 +63,65 @@ def turns_of(text: str) -> list[tuple[str, str]]:
     return [(unescape(m[1].replace("\\|", "|")), unescape(m[2])) for m in _TURN.finditer(text)]
 
 
-def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
+def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """The messages of each tree's best root-to-leaf paths: conv_id, leaf, rank, depth (from 0 at the root), node.
 
     messages: conv_id, node, parent (null at a root), score. ``branches`` paths are kept for
     each conversation (None: all).
     """
+    return named(_paths(keyed(messages), branches))
+
+
+#: A conversation's key: plain equality never joins null with null.
+KEY = ["unnamed", "conv"]
+
+
+def keyed(messages: DataFrame) -> DataFrame:
+    return messages.withColumns({"unnamed": F.col("conv_id").isNull(), "conv": F.coalesce("conv_id", F.lit(0).cast("long"))}).drop("conv_id")
+
+
+def named(rows: DataFrame) -> DataFrame:
+    others = [c for c in rows.columns if c not in KEY]
+    return rows.select(F.when(~F.col("unnamed"), F.col("conv")).alias("conv_id"), *others)
+
+
+def _paths(messages: DataFrame, branches: int | None) -> DataFrame:
     spark = messages.sparkSession
-    nodes = messages.select("conv_id", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    known = nodes.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    base = nodes.join(known, ["conv_id", "parent"], "left").withColumn("up", F.when(F.col("there"), F.col("parent")))
+    nodes = messages.select(*KEY, "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    known = nodes.select(*KEY, F.col("node").alias("parent"), F.lit(True).alias("there"))
+    base = nodes.join(known, [*KEY, "parent"], "left").withColumn("up", F.when(F.col("there"), F.col("parent")))
     # jump: from a node to the ancestor 2**k above, with the score and count of the nodes passed
-    jump = written(spark, base.select("conv_id", "node", "up", "score", F.lit(1).cast("long").alias("steps")), "reply-jumps")
-    leaf = jump.join(jump.select("conv_id", F.col("up").alias("node")).where("node is not null").distinct(), ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"))
+    jump = written(spark, base.select(*KEY, "node", "up", "score", F.lit(1).cast("long").alias("steps")), "reply-jumps")
+    leaf = jump.join(jump.select(*KEY, F.col("up").alias("node")).where("node is not null").distinct(), [*KEY, "node"], "left_anti").select(*KEY, F.col("node").alias("leaf"))
     jumps = []
     for _ in range(MOST_ROUNDS):
         jumps.append(jump)
         if jump.where("up is not null").isEmpty():
             break
-        above = jump.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
-        joined = jump.join(above, ["conv_id", "up"], "left")
-        jump = written(spark, joined.select("conv_id", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), "reply-jumps")
+        above = jump.select(*KEY, F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
+        joined = jump.join(above, [*KEY, "up"], "left")
+        jump = written(spark, joined.select(*KEY, "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), "reply-jumps")
     else:
         raise ValueError("replies form a cycle")
-    ranked = jump.join(leaf.withColumnRenamed("leaf", "node"), ["conv_id", "node"], "left_semi")
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "node")))
+    ranked = jump.join(leaf.withColumnRenamed("leaf", "node"), [*KEY, "node"], "left_semi")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("score"), "node")))
     if branches is not None:
         ranked = ranked.where(F.col("rank") <= branches)
     # each round is a table of its own: a union must not pass on its parts' partitioning
-    reached = written(spark, ranked.select("conv_id", F.col("node").alias("leaf"), "rank", "steps", "node", F.lit(0).cast("long").alias("above")), "reply-paths")
+    reached = written(spark, ranked.select(*KEY, F.col("node").alias("leaf"), "rank", "steps", "node", F.lit(0).cast("long").alias("above")), "reply-paths")
     for k, step in enumerate(jumps[:-1]):
-        up = step.where("up is not null").select("conv_id", "node", "up")
-        more = reached.join(up, ["conv_id", "node"]).select("conv_id", "leaf", "rank", "steps", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
+        up = step.where("up is not null").select(*KEY, "node", "up")
+        more = reached.join(up, [*KEY, "node"]).select(*KEY, "leaf", "rank", "steps", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))
         reached = written(spark, reached.unionByName(more), "reply-paths")
-    return reached.select("conv_id", "leaf", "rank", (F.col("steps") - 1 - F.col("above")).alias("depth"), "node")
+    return reached.select(*KEY, "leaf", "rank", (F.col("steps") - 1 - F.col("above")).alias("depth"), "node")
 
 
-def conversations_of(messages: DataFrame, branches: int = 1) -> DataFrame:
+def conversations_of(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """Each chosen path formatted as one conversation; see SCHEMA. messages: conv_id, node, parent, score, role, text."""
-    chosen = paths(messages, branches)
-    texts = messages.select("conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = chosen.join(texts, ["conv_id", "node"]).groupBy("conv_id", "leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
+    messages = keyed(messages)
+    chosen = _paths(messages, branches)
+    texts = messages.select(*KEY, "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = chosen.join(texts, [*KEY, "node"]).groupBy(*KEY, "leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +138,7 @@ def conversations_of(messages: DataFrame, branches: int = 1) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return rows.select("conv_id", "turns").mapInArrow(task, SCHEMA)
+    return named(rows.select(*KEY, "turns")).mapInArrow(task, SCHEMA)
 
 
 def chains(turns: DataFrame) -> DataFrame:
