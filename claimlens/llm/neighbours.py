@@ -252,10 +252,10 @@ def neighbours(rows: DataFrame, every: int = EVERY, top: int = TOP, trees: int =
         return pa.table({"qid": left["qid"].take(pa.array(q)), "query_id": left["query_id"].take(pa.array(q)), "vec_id": pa.array(ids[at], pa.int64()), "score": pa.array(score)})
 
     queries = rows.where(F.col("vec_id") % every == 0).withColumn("qid", F.shiftrightunsigned(F.xxhash64("vec_id", "embedding"), 1)).dropDuplicates(["qid"])
-    # few rows, but much work for each
-    queries, _ = stored(spark, queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "qid"), "queries")
+    queries, _ = stored(spark, queries, "queries")
     blocks = max(1, -(-queries.count() // block))
-    asking = queries.mapInArrow(asked, ASKING).withColumn("block", F.pmod("qid", F.lit(blocks)))
+    # few rows, but much work for each
+    asking = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "qid").mapInArrow(asked, ASKING).withColumn("block", F.pmod("qid", F.lit(blocks)))
     index = rows.withColumn("salt", F.xxhash64("vec_id", "embedding")).mapInArrow(indexed, INDEXED)
     if blocks > 1:
         index = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
