@@ -46,7 +46,7 @@ RANKED = 1 << 19
 #: Cells of a tile's side; tiles of the HEAD first bands with a pair for each 16 cells are counted dense.
 TILE, HEAD = 1024, 16
 #: Pairs, and distinct words, that a task holds before it packs them.
-PAIRS, TYPES = 1 << 22, 1 << 20
+PAIRS, TYPES = 1 << 21, 1 << 19
 #: Words of the corpus for each part that pairs are dealt to.
 PART_WORDS = 4_000_000
 BITS = 26
