@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import ingest, overlap, policy, providers
 from ..operators import rules as R
 from ..sources import files, x12
+from . import claim_files
 from . import rule_queries as rq
 from . import views
 from .views import sql_with_views as cte
@@ -172,8 +173,6 @@ add("PRJ3", lambda s, d: ingest.with_fingerprint(views.claims(s, d).select("clai
 add("P21", lambda s, d: views.flat_claims(s, d).where((F.col("order_day") > "1996-01-01") & F.col("order_day").between("1995-06-01", "1999-12-31")).select("claim_key"), cte("select claim_key from v_claim where order_day > date '1996-01-01' and order_day between date '1995-06-01' and date '1999-12-31'", *_vs))
 add("P24", lambda s, d: views.flat_claims(s, d).where("batch_status = 'completed'").select("claim_key"), cte("select claim_key from v_claim where batch_status = 'completed'", *_vs))
 add("P27", lambda s, d: ingest.oversize(views.flat_claims(s, d), 70), cte("select batch_id, count(*) as n, case when count(*) > 70 then 'failed' else 'processing' end as status from v_claim group by 1", *_vs))
-_PATHS = "select p_partkey, case p_partkey % 5 when 0 then 'financial.claim_amount' when 1 then concat('service_lines.', cast(p_size as string), '.units') when 2 then 'provider' when 3 then 'claim.npi' else 'patient.age' end as path from part"
-add("P25", lambda s, d: files.contract_issues(_sql(s, d, _PATHS)), f"select p_partkey, path, case p_partkey % 5 when 3 then 'provider.npi' else 'none' end as hint from ({_PATHS}) where p_partkey % 5 in (3, 4)")
 _SCORES = "select claim_key, risk_score from v_claim where risk_score is not null"
 add("J10", lambda s, d: policy.with_scores(views.flat_claims(s, d).select("claim_key"), _sql(s, d, _SCORES)).select("claim_key", "score"), cte("select claim_key, coalesce(risk_score, 0.42) as score from v_claim", *_vs))
 add("D5", lambda s, d: views.flat_claims(s, d).select("claim_key", F.when(F.col("ml_status") == "ok", F.coalesce("risk_score", F.lit(0.42))).otherwise(0.74).alias("score"), F.when(F.col("risk_score").isNull(), "fraud_stub_v1").otherwise("scored").alias("model_id")), cte("select claim_key, case when ml_status = 'ok' then coalesce(risk_score, 0.42) else 0.74 end as score, case when risk_score is null then 'fraud_stub_v1' else 'scored' end as model_id from v_claim", *_vs))
@@ -259,3 +258,4 @@ add("N10", table("v_lines", lambda t: t.withColumn("day", tx.to_day(F.col("date_
 
 # X12: interchanges written from the claims, then read back as tables
 x12.register_queries(add, views)
+claim_files.register_queries(add)

@@ -1,46 +1,38 @@
-"""File-level sources: JSON claims, kinds of files, link lists, rule texts, the field contract."""
+"""File-level sources: kinds of files, link lists, rule texts, registry files, the field contract."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_claims import contract_paths
+
 REGISTRY_HEADERS = {
     "npi": "NPI", "entity_code": "Entity Type Code", "organisation": "Provider Organization Name (Legal Business Name)", "last_name": "Provider Last Name (Legal Name)",
     "first_name": "Provider First Name", "credential": "Provider Credential Text", "state": "Provider Business Practice Location Address State Name", "enumeration_date": "Provider Enumeration Date",
     "last_update_date": "Last Update Date", "deactivation_date": "NPI Deactivation Date", "reactivation_date": "NPI Reactivation Date", "taxonomy": "Healthcare Provider Taxonomy Code_1",
 }
-#: Paths that rules may name, section by section, and old names of some.
-CONTRACT = {
-    "financial": ("claim_amount",), "claim_totals": ("total_charges", "service_line_total"), "authorization": ("authorization_number",),
-    "provider": ("name", "npi", "tax_id", "taxonomy", "tenure_days"), "patient": ("name", "date_of_birth", "gender"),
-    "claim_details": ("place_of_service", "facility_type_code", "frequency_code", "statement_from_date", "statement_to_date", "admission_date"),
-    "service_lines.*": ("line_number", "date_of_service", "date_of_service_end", "place_of_service", "procedure_code", "charge_amount", "units", "revenue_code"), "diagnosis_codes.*": ("code", "qualifier"),
+#: Earlier names of fields and places in raw files, with the contract's field that holds the same.
+RENAMED = {
+    "2300.CLM.claim_amount": "financial.claim_amount",
+    "2300.CLM.facility_type": "claim_details.facility_type_code",
+    "CLM.claim_amount": "financial.claim_amount",
+    "claim.total_charge_amount": "claim_totals.total_charges",
+    "2300.HI.diagnosis_code": "diagnosis_codes.*.code",
+    "2400.SV1.place_of_service": "service_lines.*.place_of_service",
+    "2400.SV1.procedure_code": "service_lines.*.procedure_code",
+    "2400.SV1.line_charge": "service_lines.*.charge_amount",
+    "2400.DTP.service_date": "service_lines.*.date_of_service",
+    "claim.subscriber.date_of_birth": "subscriber.date_of_birth",
+    "claim.rendering_provider.npi": "rendering_provider.npi",
+    "service_lines.*.line_amount": "service_lines.*.charge_amount",
+    "service_lines.*.service_line_number": "service_lines.*.line_number",
+    "claim_totals.total_submitted": "claim_totals.total_charges",
+    "payer.payer_name": "payer.name",
+    "subscriber.subscriber_id": "subscriber.member_id",
+    "subscriber.relationship": "subscriber.relationship_code",
+    "billing_provider.address.postal_code": "billing_provider.address.zip",
 }
-RENAMED = {"claim.npi": "provider.npi", "claim.amount": "financial.claim_amount"}
-
-
-def json_claims(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Accepted claims (path, pos, doc as VARIANT) and refusals (path, pos, reason) of JSON files.
-
-    A file is one claim, a list, or an object with a list under ``claims``.
-    """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
-    kind = F.schema_of_variant("doc")
-    wrapped = F.try_variant_get("doc", "$.claims", "variant")
-    whole = (
-        F.when(F.col("doc").isNull(), "not valid JSON")
-        .when(F.try_variant_get("doc", "$.rulesText", "variant").isNotNull(), "an engine test request (rules and a list of claims), not a claims file")
-        .when(wrapped.isNotNull() & ~F.schema_of_variant(wrapped).startswith("ARRAY"), '"claims" must be a list of claims')
-    )
-    items = F.when(wrapped.isNotNull(), F.try_variant_get("doc", "$.claims", "array<variant>")).when(kind.startswith("ARRAY"), F.try_variant_get("doc", "$", "array<variant>")).otherwise(F.array("doc"))
-    rows = files.select("path", whole.alias("whole"), F.when(whole.isNull(), items).alias("items"))
-    whole_reason = F.when(F.col("whole").isNotNull(), F.col("whole")).when(F.size("items") == 0, "the list of claims is empty")
-    entries = rows.where(whole_reason.isNull()).select("path", F.posexplode("items").alias("pos", "doc"))
-    good = F.coalesce(F.try_variant_get("doc", "$.claim_id", "variant").isNotNull() | F.try_variant_get("doc", "$.claim", "variant").isNotNull(), F.lit(False))
-    refused = rows.where(whole_reason.isNotNull()).select("path", F.lit(None).cast("int").alias("pos"), whole_reason.alias("reason"))
-    bad = entries.where(~good).select("path", (F.col("pos") + 1).alias("pos"), F.lit("not a claim").alias("reason"))
-    return entries.where(good).select("path", (F.col("pos") + 1).alias("pos"), "doc"), refused.unionByName(bad)
 
 
 def registry_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -89,15 +81,19 @@ def notice(items: Column, shown: int = 3) -> Column:
 
 
 def contract_issues(references: DataFrame) -> DataFrame:
-    """References (path, ...) that the contract doesn't know, with the name that replaced them."""
+    """References (path, ...) that the contract doesn't know, with the field that replaced them (``none``: no such field).
+
+    A reference may name a field, or a section or list that holds fields; a list's index is any number or ``*``.
+    """
     spark = references.sparkSession
-    known = {f"{s}.{leaf}" for s, leaves in CONTRACT.items() for leaf in leaves}
-    known |= {path.rsplit(".", k)[0] for path in known for k in range(path.count(".") + 1)}
+    fields = contract_paths()
+    known = {".".join(path.split(".")[:k]) for path in fields for k in range(1, path.count(".") + 2)}
     table = spark.createDataFrame([(x,) for x in sorted(known)], "plain string")
-    hints = spark.createDataFrame(sorted(RENAMED.items()), "path string, hint string")
-    plain = references.withColumn("plain", F.regexp_replace("path", r"\.\d+(\.|$)", ".*$1"))
-    lost = plain.join(F.broadcast(table), "plain", "left_anti").drop("plain")
-    return lost.join(F.broadcast(hints), "path", "left").withColumn("hint", F.coalesce("hint", F.lit("none")))
+    hints = spark.createDataFrame(sorted(RENAMED.items()), "plain string, hint string")
+    # indexes stand below a list; a raw file's loop begins with a number
+    plain = references.withColumn("plain", F.regexp_replace("path", r"\.\d+(?=\.|$)", ".*"))
+    lost = plain.join(F.broadcast(table), "plain", "left_anti")
+    return lost.join(F.broadcast(hints), "plain", "left").drop("plain").withColumn("hint", F.coalesce("hint", F.lit("none")))
 
 
 def golden_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:

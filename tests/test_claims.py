@@ -120,14 +120,6 @@ def test_overlap_levels(spark):
     assert got == {("a", "b"): "Shadowed", ("c", "d"): "Subsumption", ("a", "d"): "ConditionOverlap"}
 
 
-def test_json_claims(spark, tmp_path):
-    for name, text in (("a.json", '{"claim_id": "1"}'), ("b.json", '[{"claim_id": "2"}, 5]'), ("c.json", '{"claims": 3}'), ("d.json", "{bad"), ("e.json", "[]"), ("f.json", '{"claims": [{"claim": {}}]}')):
-        (tmp_path / name).write_text(text)
-    good, bad = files.json_claims(spark, str(tmp_path))
-    assert sorted((r.path[-6:], r.pos) for r in good.collect()) == [("a.json", 1), ("b.json", 1), ("f.json", 1)]
-    assert {(r.path[-6:], r.reason) for r in bad.collect()} == {("b.json", "not a claim"), ("c.json", '"claims" must be a list of claims'), ("d.json", "not valid JSON"), ("e.json", "the list of claims is empty")}
-
-
 def test_stream_takes_each_file_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.x12").write_text("one")
@@ -198,7 +190,7 @@ def test_scores_contract_and_cofiring(spark):
     assert got == {1: ("ok", 0.5, "unknown"), 2: ("error", None, "unknown"), 3: ("error", None, "unknown"), 4: ("ok", 0.25, "m")}
     scored = policy.with_scores(spark.createDataFrame([(1,), (2,)], "claim_key int"), spark.createDataFrame([(1, 0.9)], "claim_key int, risk_score double")).collect()
     assert {r.claim_key: r.score for r in scored} == {1: 0.9, 2: 0.42}
-    lost = files.contract_issues(spark.createDataFrame([("financial.claim_amount",), ("service_lines.3.units",), ("claim.npi",), ("patient.age",)], "path string")).collect()
-    assert {r.path: r.hint for r in lost} == {"claim.npi": "provider.npi", "patient.age": "none"}
+    lost = files.contract_issues(spark.createDataFrame([("financial.claim_amount",), ("service_lines.3.units",), ("payer.payer_name",), ("patient.age",)], "path string")).collect()
+    assert {r.path: r.hint for r in lost} == {"payer.payer_name": "payer.name", "patient.age": "none"}
     fired = spark.createDataFrame([(1, ["A", "B"]), (2, ["A"]), (3, ["A", "B", "C"]), (4, [])], "claim_key int, rules array<string>")
     assert {(r.a, r.b): (r.n_both, r.n_a, r.n_b) for r in overlap.cofiring(fired).collect()} == {("A", "B"): (2, 3, 2), ("A", "C"): (1, 3, 1), ("B", "C"): (1, 2, 1)}
