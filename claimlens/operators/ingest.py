@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
@@ -83,32 +87,73 @@ def _islands(events: DataFrame, keys: list[str], ts: str, order: str, seconds: i
     return events.withColumn("_new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(own)).drop("_new")
 
 
+def _folded(events: DataFrame, keys: list[str], ts: str, order: str, seconds: int, verdict: Callable[[], Callable[[int], bool]]) -> DataFrame:
+    """Keys, ts, order and ``allowed`` of every event, judged one after the other within its key.
+
+    After a pause of so many seconds nothing that came before counts, so a key's events are cut
+    into islands at its pauses; islands are dealt to tasks and sorted there by Spark. A task
+    streams its rows: it holds one batch and what ``verdict`` keeps of the island at hand.
+    """
+    rows = _islands(events.select(*keys, F.col(ts).alias("_ts"), F.col(order).alias("_order")), keys, "_ts", "_order", seconds)
+    first = F.coalesce(F.col("_island") != F.lag("_island").over(Window.partitionBy(*keys).orderBy("_ts", "_order")), F.lit(True))
+    rows = rows.withColumns({"_first": first, "_at": F.unix_micros(F.col("_ts").cast("timestamp"))})
+    spread = rows.repartition(*keys, "_island").sortWithinPartitions(*keys, "_island", "_ts", "_order")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = None
+        for batch in batches:
+            out = []
+            for begins, at in zip(batch.column("_first").to_pylist(), batch.column("_at").to_pylist(), strict=True):
+                if begins or judge is None:
+                    judge = verdict()
+                out.append(judge(at))
+            kept = [n for n in batch.schema.names if n not in ("_first", "_at", "_island")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(out, pa.bool_())], names=[*kept, "allowed"])
+
+    schema = StructType([f for f in spread.schema if f.name not in ("_first", "_at", "_island")]).add("allowed", "boolean")
+    return spread.mapInArrow(task, schema).withColumnsRenamed({"_ts": ts, "_order": order})
+
+
 def at_most_once(events: DataFrame, keys: list[str], ts: str, order: str, seconds: int = 60) -> DataFrame:
     """Events that are accepted: of each key none within so many seconds of the last one accepted.
 
-    After a pause of that length the next event is accepted whatever came before, so a
-    key's events are judged in islands between pauses.
+    Null keys are one key; events without a time are never accepted.
     """
-    span = F.make_dt_interval(secs=F.lit(seconds))
-    rows = _islands(events.select(*keys, F.col(ts).alias("_ts"), F.col(order).alias("_order")), keys, "_ts", "_order", seconds)
-    held = rows.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(F.struct("_ts", "_order"))).alias("_list"))
-    last = lambda out: F.element_at(out, -1)["_ts"]
-    taken = F.aggregate("_list", F.slice("_list", 1, 1), lambda out, x: F.when(x["_ts"] - last(out) > span, F.array_append(out, x)).otherwise(out))
-    return held.select(*keys, F.explode(taken).alias("_x")).select(*keys, F.col("_x._ts").alias(ts), F.col("_x._order").alias(order))
+    span = seconds * 1_000_000
+
+    def verdict() -> Callable[[int], bool]:
+        last = None
+
+        def judge(at: int) -> bool:
+            nonlocal last
+            if last is not None and at - last <= span:
+                return False
+            last = at
+            return True
+
+        return judge
+
+    return _folded(events.where(F.col(ts).isNotNull()), keys, ts, order, seconds, verdict).where("allowed").drop("allowed")
 
 
 def rate_limited(events: DataFrame, keys: list[str], ts: str, order: str, most: int = 1000, seconds: int = 60) -> DataFrame:
-    """Every event with ``allowed``: whether fewer than ``most`` events of its key were allowed in the seconds up to it. Refused ones don't count."""
-    span = F.make_dt_interval(secs=F.lit(seconds))
-    rows = _islands(events.select(*keys, F.col(ts).alias("_ts"), F.col(order).alias("_order")), keys, "_ts", "_order", seconds)
-    held = rows.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(F.struct("_ts", "_order"))).alias("_list"))
-    none = F.slice(F.transform("_list", lambda x: x["_ts"]), 1, 0)
-    start = F.struct(none.alias("recent"), F.slice(F.transform("_list", lambda x: F.lit(True)), 1, 0).alias("out"))
+    """Every event with ``allowed``: whether fewer than ``most`` events of its key were allowed in the seconds up to it. Refused ones don't count.
+
+    Null keys are one key; events without a time are left out.
+    """
+    span = seconds * 1_000_000
+
+    def verdict() -> Callable[[int], bool]:
+        recent: deque[int] = deque()  # of those allowed, at most ``most`` count
+
+        def judge(at: int) -> bool:
+            while recent and recent[0] <= at - span:
+                recent.popleft()
+            if len(recent) >= most:
+                return False
+            recent.append(at)
+            return True
 
-    def step(state: Column, x: Column) -> Column:
-        recent = F.filter(state["recent"], lambda t: t > x["_ts"] - span)
-        ok = F.size(recent) < most
-        return F.struct(F.when(ok, F.array_append(recent, x["_ts"])).otherwise(recent).alias("recent"), F.array_append(state["out"], ok).alias("out"))
+        return judge
 
-    judged = held.select(*keys, F.arrays_zip("_list", F.aggregate("_list", start, step)["out"].alias("ok")).alias("_z"))
-    return judged.select(*keys, F.explode("_z").alias("_x")).select(*keys, F.col("_x._list._ts").alias(ts), F.col("_x._list._order").alias(order), F.col("_x.ok").alias("allowed"))
+    return _folded(events.where(F.col(ts).isNotNull()), keys, ts, order, seconds, verdict)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import ingest, overlap, policy, providers
 from ..operators import rules as R
-from ..sources import files, x12
+from ..sources import batches, files, x12
 from . import claim_files
 from . import rule_queries as rq
 from . import views
@@ -76,7 +76,19 @@ _SUB = f"with e as ({_ENTRIES_D}), b as ({BATCHES}), {_J4}, {_J5}, {_J6} "
 add("J4", lambda s, d: ingest.previous_files(_sql(s, d, ENTRIES).where(_OLD).select("sha256", "batch_id").distinct(), _sql(s, d, BATCHES)), f"with e as ({_ENTRIES_D}), b as ({BATCHES}), {_J4} select * from j4")
 add("J5", lambda s, d: ingest.previous_claims(_sql(s, d, ENTRIES).where(_OLD), _sql(s, d, BATCHES)), f"with e as ({_ENTRIES_D}), b as ({BATCHES}), {_J5} select * from j5")
 add("J6", lambda s, d: _split(s, d).select("entry_pos", F.coalesce("kind", F.lit("accepted")).alias("kind"), F.col("reported").cast("int").alias("reported")), _SUB + "select entry_pos, coalesce(kind, 'accepted') as kind, cast(reported as int) as reported from z")
-add("SNK1", lambda s, d: ingest.batch_rows(_split(s, d)), _SUB + "select batch_id, count(*) filter (kind is null) as file_count, count(*) filter (reported) as refused, case when count(*) filter (kind is null) = 0 then 'failed' else 'pending' end as status from z group by 1")
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches stored, submitted once more, and read back with the number of their stored claims."""
+    root, split = batches.scratch(spark, "batches"), _split(spark, sf_dir)
+    batches.ingested(spark, root, split)
+    batches.ingested(spark, root, split)
+    held = batches.claims(spark, root, "batch_id string, entry_pos long").groupBy("batch_id").agg(F.count("*").alias("n_stored"), F.count_distinct("entry_pos").alias("n_entries"))
+    return batches.batches(spark, root).join(held, "batch_id", "left").select("batch_id", "file_count", "refused", "status", F.coalesce("n_stored", F.lit(0)).alias("n_stored"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), F.col("completed_at").isNotNull().cast("int").alias("completed"))
+
+
+_N = "count(*) filter (kind is null)"
+add("SNK1", _ingested, _SUB + f"select batch_id, {_N} as file_count, count(*) filter (reported) as refused, case when {_N} = 0 then 'failed' else 'pending' end as status, {_N} as n_stored, {_N} as n_entries, cast({_N} = 0 as int) as completed from z group by 1")
 add("W1", lambda s, d: _sql(s, d, ENTRIES).withColumn("n", F.row_number().over(Window.partitionBy("fingerprint").orderBy("entry_pos"))).where("n = 1").select("fingerprint", "entry_pos"), f"select fingerprint, min(entry_pos) as entry_pos from ({_ENTRIES_D}) group by 1")
 add("W2", lambda s, d: _split(s, d).where("kind = 'file' and reported").select("sha256", "entry_pos"), _SUB + "select sha256, min(entry_pos) as entry_pos from z where kind = 'file' group by 1")
 _led = ["sha256", "filename", "batch_id", "id"]

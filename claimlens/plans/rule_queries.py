@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import predicates as p
 from ..operators import rules as R
+from ..sources import batches
 from . import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,7 +155,18 @@ _flag = lambda: F.col("overall_risk").isin("HighRisk", "CriticalRisk")  # noqa:
 add("A1", lambda s, d: reports(s, d).groupBy("batch_id").agg(F.count("*").alias("n_total"), F.count_if(_flag()).alias("n_flagged"), F.count_if(~_flag()).alias("n_clean")), report_sql(R.DEFAULT_RULES, "select batch_id, count(*) as n_total, count(*) filter (overall_risk in ('HighRisk', 'CriticalRisk')) as n_flagged, count(*) filter (overall_risk not in ('HighRisk', 'CriticalRisk')) as n_clean from r group by 1"))
 _rank = lambda: F.when(F.col("overall_risk") == "CriticalRisk", 0).when(F.col("overall_risk") == "HighRisk", 1).when(F.col("overall_risk") == "MediumRisk", 2).otherwise(3)
 add("O1", lambda s, d: reports(s, d).select(_rank().alias("severity"), "claim_key").orderBy("severity", "claim_key").limit(500), report_sql(R.DEFAULT_RULES, "select case overall_risk when 'CriticalRisk' then 0 when 'HighRisk' then 1 when 'MediumRisk' then 2 else 3 end as severity, claim_key from r order by 1, 2 limit 500"))
-add("SNK6", lambda s, d: reports(s, d).select("claim_key", F.lit("evaluated").alias("status"), "overall_risk", "weighted_score"), report_sql(R.DEFAULT_RULES, "select claim_key, 'evaluated' as status, overall_risk, weighted_score from r"))
+
+
+def _written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports stored beside the claims and read back; claims of one batch get no report."""
+    root = batches.scratch(spark, "reports")
+    rows = reports(spark, sf_dir).withColumn("error_message", F.when(F.col("batch_id") == 7, "the rule engine returned no report for this claim"))
+    batches.evaluated(spark, root, rows, "2000-01-01 00:00:00")
+    return batches.reports(spark, root).select("claim_key", "batch_id", "status", "overall_risk", "weighted_score", "summary", "error_message", F.col("processed_at").cast("string").alias("processed_at"), F.coalesce(F.json_array_length("results"), F.lit(0)).alias("n_results"))
+
+
+_if_ok = lambda x: f"case when batch_id <> 7 then {x} end"
+add("SNK6", _written_back, report_sql(R.DEFAULT_RULES, f"select claim_key, cast(batch_id as string) as batch_id, case when batch_id = 7 then 'not_assessed' else 'evaluated' end as status, {_if_ok('overall_risk')} as overall_risk, {_if_ok('weighted_score')} as weighted_score, {_if_ok(SUMMARY)} as summary, case when batch_id = 7 then 'the rule engine returned no report for this claim' end as error_message, '2000-01-01 00:00:00' as processed_at, case when batch_id = 7 then 0 else total_rules end as n_results from r"))
 add("ST5", lambda s, d: reports(s, d).groupBy("batch_id", "overall_risk").agg(F.count("*").alias("n"), F.sum("weighted_score").alias("score")), report_sql(R.DEFAULT_RULES, "select batch_id, overall_risk, count(*) as n, cast(sum(weighted_score) as bigint) as score from r group by 1, 2"))
 add("PRJ4", lambda s, d: reports(s, d).select("claim_key", F.coalesce("overall_risk", F.lit("N/A")).alias("risk"), F.coalesce(F.get("actions", F.lit(0))["tag"], F.lit("none")).alias("first_action")),
     report_sql(R.DEFAULT_RULES, "select claim_key, overall_risk as risk, case " + " ".join(f"when coalesce({k}, false) then '{R.RULES[k].actions[0][0]}'" for k in R.DEFAULT_RULES) + " else 'none' end as first_action from r"))
