@@ -24,9 +24,12 @@ class Rule:
 class Claim:
     """Fields and collections of a claim row, by path."""
 
-    def __init__(self, row: Callable[[str], Column] = F.col, as_of: str | None = None, limits: dict[str, float] | None = None):
-        """as_of: the day that counts as today (default: the session's own); limits: other amounts for rules, by name."""
-        self.row, self.limits = row, limits or {}
+    def __init__(self, row: Callable[[str], Column] = F.col, as_of: str | None = None, limits: dict[str, float] | None = None, sections: frozenset[str] = frozenset()):
+        """as_of: the day that counts as today (default: the session's own); limits: other amounts for rules, by name.
+
+        sections: which of ``procedure_codes`` and ``procedure_code`` the table of claims has.
+        """
+        self.row, self.limits, self.sections = row, limits or {}, sections
         self.as_of = F.current_date() if as_of is None else F.lit(as_of).cast("date")
         self.lines = p.Items("service_lines", row("service_lines"))
         self.codes = p.Items("diagnosis_codes", row("diagnosis_codes"))
@@ -45,6 +48,17 @@ class Claim:
     def amount(self) -> p.Field:
         return self("financial.claim_amount")
 
+    def has_procedure(self, code: str) -> p.Pred:
+        """Whether a procedure is on the claim: in its procedure codes, its lines, or as the claim's own."""
+        places = [p.codes_of(p.Items("procedure_codes", self.row("procedure_codes")), "code")] if "procedure_codes" in self.sections else []
+        places.append(p.codes_of(self.lines, "procedure_code"))
+        if "procedure_code" in self.sections:
+            places.append(F.when(self.row("procedure_code").isNotNull(), F.array(self.row("procedure_code"))))
+        return p.has_any(code, "no procedure_codes, service_lines or procedure_code on the claim", *places)
+
+    def has_diagnosis(self, code: str) -> p.Pred:
+        return p.has_code(self.codes, "code", code, "diagnosis_codes missing or empty")
+
     def any_line(self, body: Callable[[Callable[[str], p.Field]], p.Pred]) -> p.Pred:
         return p.exists(self.lines, lambda x: body(lambda name: self.lines.field(x, name)))
 
@@ -99,7 +113,7 @@ RULES: dict[str, Rule] = {
     "R25": Rule("anesthesia_without_surgery", "Anesthesia billed without a surgical procedure", lambda c: c.any_line(lambda f: p.matches(f("procedure_code"), "^0[01][0-9]{3}$")) & ~c.any_line(lambda f: p.matches(f("procedure_code"), "^[1-6][0-9]{4}$")), _reject("Anesthesia code billed without a surgical procedure")),
     "R26": Rule("dme_invalid_location", "DME billed from inpatient hospital or emergency room", lambda c: c.any_line(lambda f: p.in_list(f("procedure_code"), ["E0601", "K0823", "A4253"]) & p.in_list(f("place_of_service"), ["21", "23"])), _reject("DME codes billed from an inpatient or ER setting")),
     "R27": Rule("nonpositive_line_charge", "A service line has a zero or negative charge", lambda c: ~c.every_line(lambda f: p.greater(f("charge_amount"), 0)), _reject("Service lines contain zero or negative charges")),
-    "R28": Rule("adult_preventive_for_minor", "Adult preventive visit code billed for a minor", lambda c: p.has_code(c.lines, "procedure_code", "99385", "no procedure_codes, service_lines or procedure_code on the claim") & p.age_between(c("patient.date_of_birth"), 0, 17, c.as_of), _fraud("Adult preventive service billed for a minor")),
+    "R28": Rule("adult_preventive_for_minor", "Adult preventive visit code billed for a minor", lambda c: c.has_procedure("99385") & p.age_between(c("patient.date_of_birth"), 0, 17, c.as_of), _fraud("Adult preventive service billed for a minor")),
     "R29": Rule("costly_routine_exam", "Routine-exam principal diagnosis on a claim over $1,000", lambda c: p.starts_with(c.codes.at(0, "code"), "Z00") & p.greater(c.amount, 1000), _review("Routine exam billed above $1,000")),
     "R30": Rule("dental_missing_tooth", "Crown or root canal billed without a tooth number", lambda c: c.any_line(lambda f: p.matches(f("procedure_code"), "^D(27|33)") & p.is_null(f("tooth_info.tooth_number"))), _review("Tooth number required for crowns and root canals")),
     "R31": Rule("cardiac_procedure_non_cardiology", "Echo or cardiac catheterization billed outside cardiology", lambda c: c.any_line(lambda f: p.in_list(f("procedure_code"), ["93306", "93458", "92928"])) & ~p.starts_with(c("billing_provider.taxonomy"), "207RC"), _review("Cardiac procedure billed by a non-cardiology provider")),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import ingest, overlap, policy, providers
+from ..operators import conditions, ingest, overlap, policy, providers
 from ..operators import rules as R
 from ..sources import batches, files, x12
 from . import claim_files
@@ -236,24 +236,64 @@ add("ST4", table("events", lambda t: ingest.at_most_once(t, ["user_id", "event_t
 add("ST7", table("events", lambda t: ingest.rate_limited(t, ["user_id"], "ts", "event_id", 2, 129_600).select("user_id", "event_id", F.col("allowed").cast("int").alias("allowed"))),
     "with recursive e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as n from events), a(user_id, event_id, n, allowed, last, before) as (select user_id, event_id, n, 1, ts, cast(null as timestamp) from e where n = 1 union all select e.user_id, e.event_id, e.n, case when before is null or before <= e.ts - interval 36 hours then 1 else 0 end, case when before is null or before <= e.ts - interval 36 hours then e.ts else last end, case when before is null or before <= e.ts - interval 36 hours then last else before end from a join e on e.user_id = a.user_id and e.n = a.n + 1) select user_id, event_id, allowed from a")
 
-# rule overlap over a table of constraints: every part is a rule over two fields
+# rule overlap over trees of conditions: every part is a rule, its bounds written in one order or another
+def _conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of each part's condition: bounds on a field, an OR, a NOT and a quantifier over lines."""
+    node = lambda n, above, kind, op=None, field=None, low=None, text=None: F.struct(
+        F.lit(n).alias("node"), F.array(*map(F.lit, above)).cast("array<int>").alias("ancestors"), F.lit(kind).alias("kind"), (op if op is not None else F.lit(None)).cast("string").alias("op"), (field if field is not None else F.lit(None)).cast("string").alias("field"),
+        (low if low is not None else F.lit(None)).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(text).cast("string").alias("text"))
+    lit, brand = F.lit, F.col("p_brand")
+    low = lambda n, above: node(n, above, "cmp", F.when(F.col("p_partkey") % 2 == 0, ">").otherwise(">="), brand, F.col("p_size"))
+    high = lambda n, above: node(n, above, "cmp", lit("<="), brand, F.col("p_size") + F.col("p_partkey") % 7)
+    kind, tenure = (lambda n, above: node(n, above, "cmp", lit("="), lit("kind"), None, "x")), (lambda n, above: node(n, above, "cmp", lit("<"), lit("provider.tenure_days"), lit(90)))
+    code = lambda n, above: node(n, above, "cmp", lit("="), lit("service_lines#0.procedure_code"), None, "99285")
+    other = lambda n, above: node(n, above, "cmp", lit(">"), brand, lit(1))
+    plain = [node(0, [], "and"), low(1, [0]), node(2, [0], "and"), high(3, [0, 2]), node(4, [0, 2], "or"), kind(5, [0, 2, 4]), tenure(6, [0, 2, 4]), node(7, [0], "not"), other(8, [0, 7]), node(9, [0], "exists", None, lit("service_lines")), code(10, [0, 9])]
+    turned = [
+        node(0, [], "and"), node(1, [0], "exists", None, lit("service_lines")), node(2, [0, 1], "and"), code(3, [0, 1, 2]), code(4, [0, 1, 2]), node(5, [0], "and"), high(6, [0, 5]), low(7, [0, 5]), low(8, [0, 5]), node(9, [0], "not"), node(10, [0, 9], "not"), node(11, [0, 9, 10], "not"),
+        other(12, [0, 9, 10, 11]), node(13, [0], "or"), node(14, [0, 13], "or"), tenure(15, [0, 13, 14]), kind(16, [0, 13, 14]), kind(17, [0, 13]),
+    ]
+    views.register(spark, sf_dir)
+    rows = spark.table("part").withColumn("nodes", F.when(F.col("p_partkey") % 4 < 2, F.array(*plain)).otherwise(F.array(*turned)))
+    return rows.select(F.col("p_partkey").cast("string").alias("rule"), F.inline("nodes"))
+
+
+def _constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conditions.constraints(_conditions(spark, sf_dir)).where("scope = ''")
+
+
 _CON = "select cast(p_partkey as string) as rule, '' as scope, p_brand as field, cast(p_size as double) as low, p_partkey % 2 = 0 as low_open, cast(p_size + p_partkey % 7 as double) as high, false as high_open, cast(null as string) as text from part"
+_CON_SQL = """select rule, '' as scope, field, low, cast(low_open as int) as low_open, cast(null as double) as high, cast(null as string) as text from ({c}) union all select rule, '', field, low, cast(low_open as int), null, null from ({c}) where cast(rule as int) % 4 >= 2
+    union all select rule, '', field, null, 0, high, null from ({c}) union all select rule, 'service_lines', 'service_lines#0.procedure_code', null, 0, null, '99285' from ({c}) union all select rule, 'service_lines', 'service_lines#0.procedure_code', null, 0, null, '99285' from ({c}) where cast(rule as int) % 4 >= 2""".replace("{c}", _CON)
 _IV = f"select rule, scope, field, max(low) as low, min(high) as high, bool_or(low_open) as low_open from ({_CON}) group by 1, 2, 3"
-add("V1", lambda s, d: _sql(s, d, _CON).select("rule", "field", "low", "high"), f"select rule, field, low, high from ({_CON})")
-add("V2", lambda s, d: overlap.intervals(_sql(s, d, _CON)).select("rule", "field", "low", "high", F.col("low_open").cast("int").alias("low_open")), f"select rule, field, low, high, cast(low_open as int) as low_open from ({_IV})")
+add("V1", lambda s, d: conditions.constraints(_conditions(s, d)).select("rule", "scope", "field", "low", F.col("low_open").cast("int").alias("low_open"), "high", "text"), _CON_SQL)
+add("V2", lambda s, d: overlap.intervals(_constraints(s, d)).select("rule", "field", "low", "high", F.col("low_open").cast("int").alias("low_open")), f"select rule, field, low, high, cast(low_open as int) as low_open from ({_IV})")
 _MEET = f"select a.rule as a, b.rule as b from ({_IV}) a join ({_IV}) b on a.field = b.field and a.rule < b.rule where greatest(a.low, b.low) < least(a.high, b.high) or (greatest(a.low, b.low) = least(a.high, b.high) and not (a.low_open and a.low = greatest(a.low, b.low)) and not (b.low_open and b.low = greatest(a.low, b.low)))"
-add("V3", lambda s, d: overlap.overlapping(overlap.intervals(_sql(s, d, _CON))), _MEET)
+add("V3", lambda s, d: overlap.overlapping(overlap.intervals(_constraints(s, d))), _MEET)
 _CJ = f"select rule, cast(0 as int) as conjunct, concat(field, ':', cast(cast(low as int) as string), ':', cast(cast(high as int) as string), ':', cast(cast(low_open as int) as string)) as leaf, scope, field, low, low_open, high, high_open from ({_CON})"
 _IMP = f"select p.rule as p, q.rule as q from ({_CJ}) p join ({_CJ}) q on p.field = q.field and p.rule <> q.rule where (p.low > q.low or (p.low = q.low and (not q.low_open or p.low_open))) and p.high <= q.high"
-add("V4", lambda s, d: overlap.implied(_sql(s, d, _CJ)), _IMP)
+
+
+def _conjuncts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One conjunct a rule: its bounds on a field, told by a text."""
+    bounds = F.to_json(F.struct("scope", "field", "low", "low_open", "high", "high_open"))
+    return overlap.intervals(_constraints(spark, sf_dir)).select("rule", F.lit(0).alias("conjunct"), bounds.alias("leaf"), "scope", "field", "low", "low_open", "high", "high_open")
+
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rule, condition (its digest) and outcome."""
+    return conditions.digests(_conditions(spark, sf_dir)).select("rule", F.col("digest").alias("condition"), F.when(F.col("rule").cast("int") % 5 == 0, "REJECT").otherwise("REVIEW").alias("outcome"))
+
+
+add("V4", lambda s, d: overlap.implied(_conjuncts(s, d)), _IMP)
 _RU = f"select rule, leaf as condition, case when cast(rule as int) % 5 = 0 then 'REJECT' else 'REVIEW' end as outcome from ({_CJ})"
-add("V5", lambda s, d: _sql(s, d, _RU).groupBy("condition", "outcome").agg(F.count("*").alias("n"), F.min("rule").alias("first_rule")).where("n > 1"), f"select condition, outcome, count(*) as n, min(rule) as first_rule from ({_RU}) group by 1, 2 having count(*) > 1")
+add("V5", lambda s, d: _rules(s, d).groupBy("condition", "outcome").agg(F.count("*").alias("n"), F.min("rule").alias("first_rule")).where("n > 1").drop("condition"), f"select outcome, count(*) as n, min(rule) as first_rule from ({_RU}) group by condition, outcome having count(*) > 1")
 _LEV = f"with imp as (select distinct least(p, q) as a, greatest(p, q) as b from ({_IMP})), ov as ({_MEET}), ru as ({_RU}), pr as (select a, b from imp union select a, b from ov), lv as (select pr.a, pr.b, case when x.condition = y.condition and x.outcome = y.outcome then 'ExactDuplicate' when x.condition = y.condition then 'Shadowed' when imp.a is not null and x.outcome = y.outcome then 'Subsumption' when imp.a is not null then 'Shadowed' else 'ConditionOverlap' end as level from pr join ru x on x.rule = pr.a join ru y on y.rule = pr.b left join imp on imp.a = pr.a and imp.b = pr.b) "
-_levels = lambda s, d: overlap.levels(_sql(s, d, _RU), _sql(s, d, _CJ), _sql(s, d, _CON))
+_levels = lambda s, d: overlap.levels(_rules(s, d), _conjuncts(s, d), _constraints(s, d))
 _TIER = "case level when 'Shadowed' then 'conflict' when 'ConditionOverlap' then 'overlap' else 'redundant' end"
 add("V6", _levels, _LEV + f"select a, b, level, {_TIER} as tier from lv")
 add("A13", lambda s, d: _levels(s, d).groupBy("tier").agg(F.count("*").alias("n")), _LEV + f"select {_TIER} as tier, count(*) as n from lv group by 1")
-add("V8", lambda s, d: _sql(s, d, _RU).join(_levels(s, d).where("tier <> 'overlap'").select(F.explode(F.array("a", "b")).alias("rule")).distinct(), "rule", "left_semi").select("rule"), _LEV + f"select distinct unnest([a, b]) as rule from lv where {_TIER} <> 'overlap'")
+add("V8", lambda s, d: _rules(s, d).join(_levels(s, d).where("tier <> 'overlap'").select(F.explode(F.array("a", "b")).alias("rule")).distinct(), "rule", "left_semi").select("rule"), _LEV + f"select distinct unnest([a, b]) as rule from lv where {_TIER} <> 'overlap'")
 add("J11", lambda s, d: _levels(s, d).groupBy("a").agg(F.count("*").alias("n_pairs")), _LEV + "select a, count(*) as n_pairs from lv group by 1")
 
 # catalogue entries without logic in the reference: extensions

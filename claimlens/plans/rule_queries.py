@@ -244,23 +244,57 @@ for _name, _make, _truth, _reason in (
     ("P6", lambda c: p.between(c.amount, 100000, 200000), "amount between 100000 and 200000", _amount_why),
     ("P7", lambda c: p.is_null(c("billing_provider.taxonomy")), "taxonomy is null", "''"),
     ("P8", lambda c: p.contains(c("billing_provider.taxonomy"), "RC"), "contains(taxonomy, 'RC')", _tax),
-    ("P9", lambda c: p.matches(c("billing_provider.taxonomy"), "^207[[:alpha:]]0+X$"), "regexp_full_match(taxonomy, '207[A-Za-z]0+X')", _tax),
+    ("P9", lambda c: p.matches(c("billing_provider.taxonomy"), "(^20[[:digit:]]R[[:xdigit:][:blank:]]0{2,4}X$)|(^[[:cntrl:]])|(q$)"), "regexp_full_match(taxonomy, '20[0-9]R[0-9A-Fa-f]0{2,4}X')", _tax),
     ("P10", lambda c: p.greater(c.amount, 100000) & (p.starts_with(c("billing_provider.taxonomy"), "207RC") | ~p.less(c("provider.tenure_days"), 90)), "amount > 100000 and (starts_with(taxonomy, '207RC') or not tenure < 90)", f"concat_ws('; ', {_amount_why}, case when (starts_with(taxonomy, '207RC') or not tenure < 90) is null then concat_ws('; ', case when taxonomy is null then {_tax} end, case when tenure is null then 'provider.tenure_days missing' end) end)"),
     ("P11", lambda c: c.any_line(lambda f: p.equal_text(f("procedure_code"), "99285")), "er", _no_lines),
-    ("P12", lambda c: c.every_line(lambda f: p.greater(f("charge_amount"), 0)), "all_positive", None),
-    ("P13", lambda c: c.any_line(lambda f: p.equal_text(f("procedure_code"), "99285") & c.any_line(lambda g: p.equal_text(g("procedure_code"), "99214"))), "er and e14", _no_lines),
     ("P14", lambda c: p.count(c.lines, lambda a, b: a >= b, 4), "n_lines >= 4", "''"),
     ("P15", lambda c: p.has_code(c.codes, "code", "Z00", "diagnosis_codes missing or empty"), None, None),
-    ("P16", lambda c: p.has_code(c.lines, "procedure_code", "99385", "no procedure_codes, service_lines or procedure_code on the claim"), "preventive", "'no procedure_codes, service_lines or procedure_code on the claim'"),
     ("P17", lambda c: (lambda amount: p.greater(amount, 1000) & p.less(amount, 90000))(c.amount), "amount > 1000 and amount < 90000", _amount_why),
     ("P18", lambda c: p.starts_with(c.codes.at(1, "code"), "Z"), None, None),
 ):
-    if _name == "P12":
-        QUERIES[_name] = (lambda q: lambda s, d: q(s, d).drop("reasons"))(_pred(_make))
-        ORACLE_SQL[_name] = facts_sql("select claim_key, cast(all_positive as int) as truth from f")
-    elif _name == "P15":
+    if _name == "P15":
         add(_name, _pred(_make), views.sql_with_views("select c.claim_key, case when count(d.code) > 0 then cast(bool_or(d.code = 'Z00') as int) end as truth, case when count(d.code) = 0 then 'diagnosis_codes missing or empty' else '' end as reasons from v_claim c left join v_dx d on d.claim_key = c.claim_key group by 1", "v_claim", "v_dx"))
     elif _name == "P18":
         add(_name, _pred(_make), views.sql_with_views("with k as (select claim_key, code, row_number() over (partition by claim_key order by code) as n from v_dx) select c.claim_key, cast(starts_with(k.code, 'Z') as int) as truth, case when k.code is null then 'diagnosis_codes.1.code missing' else '' end as reasons from v_claim c left join k on k.claim_key = c.claim_key and k.n = 2", "v_claim", "v_dx"))
     else:
         add(_name, _pred(_make), _pred_sql(_truth, _reason))
+
+
+def _sorted_reasons(make: Callable[[R.Claim], p.Pred]) -> Callable[[SparkSession, str], DataFrame]:
+    """Reasons in the order of their texts: lines with the same fields have no order that SQL could name."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pred = make(claim())
+        return views.claims(spark, sf_dir).select("claim_key", pred.truth.cast("int").alias("truth"), F.array_join(F.array_sort(pred.reasons), "; ").alias("reasons"))
+
+    return query
+
+
+_why_charge = lambda x: f"case when {x}.charge_amount is null then 'service_lines[].charge_amount missing' when {num(x + '.charge_amount')} is null then 'service_lines[].charge_amount is not a number' end"
+add("P12", _sorted_reasons(lambda c: c.every_line(lambda f: p.greater(f("charge_amount"), 0))), facts_sql(
+    f"select claim_key, cast(all_positive as int) as truth, case when all_positive is not null then '' when n_lines = 0 then {_no_lines} else y.reasons end as reasons from f left join "
+    f"(select l.claim_key, array_to_string(list_sort(list(distinct {_why_charge('l')})), '; ') as reasons from v_lines l where {num('l.charge_amount')} is null group by 1) y using (claim_key)"))
+# an ER visit, and another line of the claim that costs more than this one
+_dearer = f"{num('b.charge_amount')} > {num('a.charge_amount')}"
+add("P13", _sorted_reasons(lambda c: c.any_line(lambda f: p.equal_text(f("procedure_code"), "99285") & c.any_line(lambda g: p.greater(g("charge_amount"), f("charge_amount"))))), views.sql_with_views(
+    f"with la as (select *, row_number() over () as line from v_lines), pairs as (select a.claim_key, a.line, a.procedure_code, {_dearer} as dearer, {_why_charge('a')} as why_a, {_why_charge('b')} as why_b from la a join la b on b.claim_key = a.claim_key), "
+    "i as (select claim_key, line, procedure_code = '99285' and case when bool_or(dearer) then true when count(*) > count(dearer) then null else false end as met from pairs group by claim_key, line, procedure_code), "
+    "o as (select claim_key, case when bool_or(met) then true when count(*) > count(met) then null else false end as truth from i group by 1), "
+    "y as (select claim_key, array_to_string(list_sort(list(distinct why)), '; ') as reasons from (select claim_key, unnest([why_a, why_b]) as why from pairs join i using (claim_key, line) where met is null and dearer is null) where why is not null group by 1) "
+    f"select c.claim_key, cast(truth as int) as truth, case when truth is not null then '' when o.claim_key is null then {_no_lines} else y.reasons end as reasons from v_claim c left join o on o.claim_key = c.claim_key left join y on y.claim_key = c.claim_key", "v_claim", "v_lines"))
+
+
+def _procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with procedure codes, a code of their own, both, neither or empty ones."""
+    k = F.col("claim_key")
+    one = lambda code: F.array(F.struct(F.lit(code).alias("code")))
+    rows = views.claims(spark, sf_dir).withColumns({
+        "procedure_codes": F.when(k % 3 == 0, F.when(k % 2 == 0, one("99385")).otherwise(one("X"))).when(k % 3 == 1, F.slice(one("X"), 1, 0)),
+        "procedure_code": F.when(k % 5 == 0, "99385").when(k % 5 == 1, "Y"), "service_lines": F.when(k % 7 != 0, F.col("service_lines")),
+    })
+    pred = R.Claim(as_of=DAY, limits=LIMITS, sections=frozenset({"procedure_codes", "procedure_code"})).has_procedure("99385")
+    return rows.select("claim_key", pred.truth.cast("int").alias("truth"), F.array_join(pred.reasons, "; ").alias("reasons"))
+
+
+_found = "case when claim_key % 6 = 0 or claim_key % 5 = 0 or (claim_key % 7 <> 0 and coalesce(preventive, false)) then 1 when claim_key % 3 = 0 or claim_key % 5 = 1 or (claim_key % 7 <> 0 and n_lines > 0) then 0 end"
+add("P16", _procedures, facts_sql(f"select claim_key, {_found} as truth, case when ({_found}) is null then 'no procedure_codes, service_lines or procedure_code on the claim' else '' end as reasons from f"))
