@@ -64,6 +64,25 @@ def oversize(claims: DataFrame, limit: int = LIMIT) -> DataFrame:
     return claims.groupBy("batch_id").agg(F.count("*").alias("n")).withColumn("status", F.when(F.col("n") > limit, "failed").otherwise("processing"))
 
 
+def within_days(rows: DataFrame, key: str, same: list[str], day: str, days: int) -> DataFrame:
+    """Pairs of rows (first, second, apart) that agree in ``same`` and lie at most so many days apart, each pair once, by day then key.
+
+    Days are cut into buckets of that length; a row meets the rows of its own bucket and of the
+    next one, so the join is by equality and no bucket is compared with all others.
+    """
+    own = rows.where(F.col(day).isNotNull()).select(F.col(key).alias("first"), F.col(day).alias("_from"), *same, F.floor(F.unix_date(day) / max(1, days)).alias("_bucket"))
+    other = own.select(F.col("first").alias("second"), F.col("_from").alias("_to"), *same, F.explode(F.array(F.col("_bucket"), F.col("_bucket") - 1)).alias("_bucket"))
+    apart = F.datediff("_to", "_from")
+    pairs = own.join(other, [*same, "_bucket"]).withColumn("apart", apart)
+    return pairs.where(F.col("apart").between(0, days) & ((F.col("apart") > 0) | (F.col("first") < F.col("second")))).select("first", "second", *same, "apart")
+
+
+def other_amounts(rows: DataFrame, key: str, same: list[str], amount: str) -> DataFrame:
+    """Groups that agree in ``same`` but not in the amount: how many rows and amounts, and the first row."""
+    groups = rows.groupBy(*same).agg(F.count("*").alias("n_rows"), F.count_distinct(amount).alias("n_amounts"), F.min(key).alias("first"))
+    return groups.where("n_amounts > 1")
+
+
 def _by_name(column: Column, kind: DataType) -> Column:
     """The same value with the fields of all structs in the order of their names."""
     if isinstance(kind, StructType):

@@ -71,3 +71,20 @@ def scorer_view(claims: DataFrame) -> DataFrame:
 def with_scores(claims: DataFrame, scores: DataFrame) -> DataFrame:
     """Each claim with its score (claim_key, risk_score; one row a claim), or the score that stands for none."""
     return claims.join(scores.select("claim_key", F.col("risk_score").alias("_score")), "claim_key", "left").withColumn("score", F.coalesce("_score", F.lit(NO_SCORE))).drop("_score")
+
+
+def unbundled(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """claim_key, one, other: pairs of procedures (one, other) that stand together on a claim, each once.
+
+    Lines first lose all procedures that no pair names, by a join on the procedure; what is left
+    is joined by claim, so no claim's lines are all paired.
+    """
+    said = lines.select("claim_key", "procedure_code").where(F.col("procedure_code").isNotNull()).distinct()
+    first = said.join(pairs.select(F.col("one").alias("procedure_code"), "other").distinct(), "procedure_code").select("claim_key", F.col("procedure_code").alias("one"), "other")
+    return first.join(said.select("claim_key", F.col("procedure_code").alias("other")), ["claim_key", "other"]).select("claim_key", "one", "other")
+
+
+def age_mismatches(lines: DataFrame, edits: DataFrame) -> DataFrame:
+    """Lines whose patient's ``age`` lies outside ``low`` to ``high`` of their procedure's edit; without age or edit none. A null bound is open."""
+    joined = lines.join(edits, "procedure_code")
+    return joined.where((F.col("age") < F.col("low")) | (F.col("age") > F.col("high")))

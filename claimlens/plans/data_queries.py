@@ -171,7 +171,7 @@ add("O3", lambda s, d: _sql(s, d, _CAT).orderBy("entry_type", "name").select("en
 add("P26", lambda s, d: _sql(s, d, "select lower(p_name) as name, p_partkey from part").groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "select lower(p_name) as name, count(*) as n from part group by 1 having count(*) > 1")
 _inner = r"(?s)\A(?:\s*(?:--[^\n]*)?\n)*\s*RULE\s+(\w+)"
 add("PRJ6", lambda s, d: _sql(s, d, _rules).select("p_partkey", F.coalesce(F.nullif(F.regexp_extract("rule_text", _inner, 1), F.lit("")), F.lit("none")).alias("inner_name")), f"select p_partkey, case when p_partkey % 7 = 0 then 'none' else concat('r', p_partkey) end as inner_name from ({_rules})")
-add("A2", lambda s, d: _sql(s, d, "select 'registry' as what, count(*) as n from v_registry union all select 'claims', count(*) from v_claim"), cte("select 'registry' as what, count(*) as n from v_registry union all select 'claims', count(*) from v_claim", *_vs))
+add("A2", lambda s, d: views.registry(s, d).select(F.lit("registry").alias("what")).unionAll(views.flat_claims(s, d).select(F.lit("claims"))).groupBy("what").agg(F.count("*").alias("n")), cte("select 'registry' as what, count(*) as n from v_registry union all select 'claims', count(*) from v_claim", *_vs))
 
 # claims: filters, projections, pages
 add("PRJ1", lambda s, d: views.claims(s, d).select("claim_key", F.round(F.col("claim_totals.service_line_total").cast("double"), 2).alias("line_total")), rq.facts_sql("select claim_key, round(line_total, 2) as line_total from f"))
@@ -298,8 +298,18 @@ add("J11", lambda s, d: _levels(s, d).groupBy("a").agg(F.count("*").alias("n_pai
 
 # catalogue entries without logic in the reference: extensions
 add("N1", table("v_lines", lambda t: t.withColumn("day", tx.to_day(F.col("date_of_service"))).where("day is not null").selectExpr("claim_key", "l_suppkey", "l_partkey", "day", "lag(day) over (partition by l_suppkey, l_partkey order by day, claim_key) as b").where("datediff(day, b) <= 30").groupBy("l_suppkey").agg(F.count("*").alias("n"))), cte(f"select l_suppkey, count(*) as n from (select l_suppkey, {_sd} as day, lag({_sd}) over (partition by l_suppkey, l_partkey order by {_sd}, claim_key) as b from v_lines where {_sd} is not null) where day - b <= 30 group by 1", "v_lines"))
-add("N2", lambda s, d: _sql(s, d, "select claim_key, line_number, l_partkey from v_lines join part on l_partkey = p_partkey where l_quantity > p_size"), cte("select claim_key, line_number, l_partkey from v_lines join part on l_partkey = p_partkey where l_quantity > p_size", "v_lines"))
+# the same member at the same provider again within 30 days; the same day and procedure for another amount
+add("N1_member", lambda s, d: ingest.within_days(views.flat_claims(s, d).where("npi is not null"), "claim_key", ["o_custkey", "npi"], "order_day", 30).select("first", "second", "o_custkey", "apart"),
+    cte("select a.claim_key as first, b.claim_key as second, a.o_custkey, cast(b.order_day - a.order_day as int) as apart from v_claim a join v_claim b on a.o_custkey = b.o_custkey and a.npi = b.npi and (b.order_day, b.claim_key) > (a.order_day, a.claim_key) and b.order_day - a.order_day <= 30", *_vs))
+add("N1_amount", lambda s, d: ingest.other_amounts(views.lines(s, d).where("l_suppkey is not null"), "claim_key", ["l_suppkey", "date_of_service", "procedure_code"], "charge_amount"),
+    cte("select l_suppkey, date_of_service, procedure_code, count(*) as n_rows, count(distinct charge_amount) as n_amounts, min(claim_key) as first from v_lines group by 1, 2, 3 having count(distinct charge_amount) > 1", "v_lines"))
+add("N2", lambda s, d: views.lines(s, d).join(s.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey").where("l_quantity > p_size").select("claim_key", "line_number", "l_partkey"), cte("select claim_key, line_number, l_partkey from v_lines join part on l_partkey = p_partkey where l_quantity > p_size", "v_lines"))
 add("N3", table("v_lines", lambda t: t.groupBy("claim_key").agg(F.bool_or(F.col("procedure_code") == "99214").alias("x"), F.bool_or(F.col("procedure_code") == "99215").alias("y")).where("x and y").select("claim_key")), cte("select claim_key from v_lines group by 1 having bool_or(procedure_code = '99214') and bool_or(procedure_code = '99215')", "v_lines"))
+_PAIRS = "select distinct case p_size % 4 when 0 then '99214' when 1 then '97110' when 2 then '99285' else '27447' end as one, case p_partkey % 3 when 0 then '99215' when 1 then '93306' else 'E0601' end as other from part where p_size % 3 = 0"
+add("N3_table", lambda s, d: policy.unbundled(views.lines(s, d), _sql(s, d, _PAIRS)), cte(f"select distinct x.claim_key, one, other from v_lines x join ({_PAIRS}) on procedure_code = one join v_lines y on y.claim_key = x.claim_key and y.procedure_code = other", "v_lines"))
+_AGES = "select distinct case p_size % 5 when 0 then '99385' when 1 then '93306' when 2 then '97110' when 3 then '99285' else '27447' end as procedure_code, cast(p_size % 5 * 10 as int) as low, cast(p_size % 5 * 10 + 25 as int) as high from part"
+add("N8_table", lambda s, d: policy.age_mismatches(views.lines(s, d).join(views.flat_claims(s, d).select("claim_key", tx.age_on(tx.to_day(F.col("date_of_birth")), F.lit(rq.DAY).cast("date")).alias("age")), "claim_key"), _sql(s, d, _AGES)).select("claim_key", "line_number", "procedure_code", "age", "low", "high"),
+    cte(f"select claim_key, line_number, l.procedure_code, age, low, high from v_lines l join (select claim_key, {rq._AGE} as age from v_claim) using (claim_key) join ({_AGES}) e on e.procedure_code = l.procedure_code where age < low or age > high", "v_lines", "v_claim"))
 add("N4", lambda s, d: (lambda t: t.join(t.where("l_quantity > 25").select("procedure_code", "place_of_service").distinct(), ["procedure_code", "place_of_service"], "left_anti").groupBy("procedure_code").agg(F.count("*").alias("n")))(views.lines(s, d)), cte("select procedure_code, count(*) as n from v_lines x where not exists (select 1 from v_lines y where y.l_quantity > 25 and y.procedure_code = x.procedure_code and y.place_of_service = x.place_of_service) group by 1", "v_lines"))
 add("N5", lambda s, d: views.flat_claims(s, d).join(views.registry(s, d).where("deactivation_date is not null").select("npi"), "npi", "left_semi").select("claim_key"), cte("select claim_key from v_claim where npi in (select npi from v_registry where deactivation_date is not null)", *_vs))
 add("N6", lambda s, d: _sql(s, d, "select o_custkey, claim_key, size(collect_set(npi) over (partition by o_custkey order by order_day range between interval 90 days preceding and current row)) as n from v_claim").where("n >= 1").groupBy("o_custkey").agg(F.max("n").cast("bigint").alias("n")), cte("select a.o_custkey, max(n) as n from (select x.o_custkey, x.claim_key, count(distinct y.npi) as n from v_claim x join v_claim y on y.o_custkey = x.o_custkey and y.order_day between x.order_day - 90 and x.order_day group by 1, 2) a where n >= 1 group by 1", *_vs))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import policy
 from ..operators import predicates as p
 from ..operators import rules as R
 from ..sources import batches
@@ -200,6 +201,13 @@ _queue = f"case when {_rej} then 'denied' when ml_status <> 'ok' then case when
 _reasons = f"case when {_rej} then concat({_dsl}, ',DSL:reject') when ml_status <> 'ok' then {_join(f'case when {_con} then {_dsl} end', chr(39) + 'ML:error_fallback' + chr(39))} when {_s} >= 0.35 then {_join(_dsl, _band)} when {_con} then {_dsl} else {_band} end"
 _policy = lambda body: views.sql_with_views(f"with {FACTS}, {truths_sql(_keys)} {body}", "v_claim", "v_lines", "v_dx")
 add("D1", lambda s, d: _decided(s, d).select("claim_key", "status", "queue", F.array_join("reason_codes", ",").alias("reasons")), _policy(f"select claim_key, {_status} as status, {_queue} as queue, {_reasons} as reasons from t"))
+_all_rejects = " or ".join(f"coalesce({k}, false)" for k in R.DEFAULT_RULES if R.RULES[k].actions[0][0] == "REJECT")
+add("D3_all", lambda s, d: reports(s, d).select("claim_key", F.array_join(F.transform("actions", lambda a: a["tag"]), ",").alias("tags"), F.array_join(F.transform("actions", lambda a: a["message"]), "|").alias("messages")), views.sql_with_views(
+    f"with {FACTS}, {truths_sql(R.DEFAULT_RULES)} select claim_key, concat_ws(',', " + ", ".join(f"case when {k} then '{R.RULES[k].actions[0][0]}' end" for k in R.DEFAULT_RULES) + ") as tags, concat_ws('|', " + ", ".join(f"case when {k} then '{R.RULES[k].actions[0][1].replace(chr(39), chr(39) * 2)}' end" for k in R.DEFAULT_RULES) + ") as messages from t", "v_claim", "v_lines", "v_dx"))
+_any_rule = " or ".join(f"coalesce({k}, false)" for k in R.DEFAULT_RULES)
+_over_all = lambda sql: sql.replace(_con, "$any").replace(_rej, f"({_all_rejects})").replace("$any", _any_rule)
+add("D1_all", lambda s, d: policy.decide(policy.from_results(reports(s, d))).select("claim_key", "status", "queue"), views.sql_with_views(
+    f"with {FACTS}, {truths_sql(R.DEFAULT_RULES)} select claim_key, {_over_all(_status)} as status, {_over_all(_queue)} as queue from t", "v_claim", "v_lines", "v_dx"))
 add("D2", lambda s, d: _bands(s, d), views.sql_with_views(f"select claim_key, {_band} as band from v_claim"))
 add("D3", lambda s, d: reports(s, d, _keys).select("claim_key", F.array_join(F.transform("actions", lambda a: a["tag"]), ",").alias("tags")), _policy("select claim_key, concat_ws(',', " + ", ".join(f"case when {k} then '{R.RULES[k].actions[0][0]}' end" for k in _keys) + ") as tags from t"))
 

@@ -7,7 +7,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.operators import ingest
+from claimlens.operators import ingest, policy
 from claimlens.sources import batches
 
 ENTRY = "batch_id string, entry_pos long, kind string, reported boolean, claim string"
@@ -106,3 +106,21 @@ def test_a_million_events_of_one_key_without_a_pause(spark):
     # 1000 of each 60 s may pass, 120 come: all do; of 50 in 60 s, 50 do
     assert ingest.rate_limited(events, ["user"], "ts", "id", 1000, 60).where("not allowed").count() == 0
     assert ingest.rate_limited(events, ["user"], "ts", "id", 50, 60).where("allowed").count() == sum(min(50, n - k) for k in range(0, n, 120))
+
+
+@pytest.mark.parametrize("days", [0, 1, 30])
+def test_rows_within_days(spark, days):
+    rng = random.Random(days)
+    rows = [(n, rng.choice(["a", "b", None]), dt.date(2026, 1, 1) + dt.timedelta(days=rng.choice([0, rng.randrange(300)]))) for n in range(200)] + [(900, "a", None)]
+    table = spark.createDataFrame(rows, "key long, who string, day date")
+    got = sorted(tuple(r) for r in ingest.within_days(table, "key", ["who"], "day", days).collect())
+    want = sorted((a, b, w, (e - d).days) for a, w, d in rows for b, v, e in rows if d and e and w is not None and w == v and 0 <= (e - d).days <= days and ((e - d).days > 0 or a < b))
+    assert got == want
+
+
+def test_edit_tables(spark):
+    lines = spark.createDataFrame([(1, "A", 5), (1, "B", 5), (1, "B", 5), (2, "A", None), (2, "C", 70), (3, "B", 1), (4, None, 3)], "claim_key long, procedure_code string, age int")
+    pairs = spark.createDataFrame([("A", "B"), ("A", "B"), ("C", "A"), ("B", "C")], "one string, other string")
+    assert sorted(tuple(r) for r in policy.unbundled(lines, pairs).collect()) == [(1, "A", "B"), (2, "C", "A")]
+    edits = spark.createDataFrame([("A", 10, 20), ("C", None, 60), ("B", 5, None)], "procedure_code string, low int, high int")
+    assert sorted((r.claim_key, r.procedure_code) for r in policy.age_mismatches(lines, edits).collect()) == [(1, "A"), (2, "C"), (3, "B")]
