@@ -99,8 +99,10 @@ def _paths(messages: DataFrame, branches: int | None) -> DataFrame:
         if jump.where("up is not null").isEmpty():
             break
         above = jump.select(*KEY, F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("steps").alias("steps2"))
-        joined = jump.join(above, [*KEY, "up"], "left")
-        jump = written(spark, joined.select(*KEY, "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), "reply-jumps")
+        # messages that have reached their root stay as they are: only those of longer paths are joined on
+        joined = jump.where("up is not null").join(above, [*KEY, "up"], "left")
+        moved = joined.select(*KEY, "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
+        jump = written(spark, moved.unionByName(jump.where("up is null")), "reply-jumps")
     else:
         raise ValueError("replies form a cycle")
     ranked = jump.join(leaf.withColumnRenamed("leaf", "node"), [*KEY, "node"], "left_semi")
