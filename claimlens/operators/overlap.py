@@ -80,7 +80,8 @@ def cofiring(matched: DataFrame) -> DataFrame:
     ``rules`` are the distinct names of a claim's matched rules, sorted; a claim has at most one
     entry a rule, so pairs are made within its row and only their counts are shuffled.
     """
-    pairs = matched.select(F.explode("rules").alias("a"), "rules").select("a", F.explode("rules").alias("b")).where("a <= b")
+    # outer: a plain explode would first filter claims by the size of their rules, and so judge the rules twice
+    pairs = matched.select(F.explode_outer("rules").alias("a"), "rules").select("a", F.explode_outer("rules").alias("b")).where("a <= b")
     both = pairs.groupBy("a", "b").agg(F.count("*").alias("n_both"))
     # a rule with itself counts its claims: one row a pair of rules is left here
     alone = F.when(F.col("a") == F.col("b"), F.col("n_both"))

@@ -19,7 +19,7 @@ from ..functions import text as tx
 
 
 def _none() -> Column:
-    return F.array().cast("array<string>")
+    return F.expr("cast(array() as array<string>)")
 
 
 @dataclass(frozen=True)
@@ -30,20 +30,70 @@ class Field:
     value: Column
     #: the path in trees, where items are told apart by their quantifier
     name: str = ""
+    #: the value parsed as a "number" or "day", where that is made once for all rules
+    parsed: Callable[[str], Column] | None = None
 
     def number(self) -> Column:
-        return tx.to_number(self.value)
+        return self.parsed("number") if self.parsed else PARSERS["number"](self.value)
 
     def day(self) -> Column:
-        return tx.to_day(self.value)
+        return self.parsed("day") if self.parsed else PARSERS["day"](self.value)
+
+
+PARSERS = {"number": tx.to_number, "day": tx.to_day, "raw": lambda x: x}
+
+
+class Facts:
+    """What rules read of a claim, each parsed once: fields of the claim as columns, those of items within each item.
+
+    Fields note here what is read of them while rules are built; ``columns`` then makes it all,
+    in one projection below the rules.
+    """
+
+    def __init__(self):
+        self.fields: dict[str, Column] = {}
+        self.items: dict[str, tuple[Column, dict[str, tuple[str, str]]]] = {}
+
+    def field(self, path: str, value: Column, kind: str) -> Column:
+        name = f"_{kind}_{path.replace('.', '_')}"
+        if name not in self.fields:
+            self.fields[name] = PARSERS[kind](value)
+        return F.col(name)
+
+    def collection(self, path: str, value: Column) -> Column:
+        self.items.setdefault(f"_items_{path}", (value, {}))
+        return F.col(f"_items_{path}")
+
+    def part(self, path: str, item: Column, name: str, kind: str) -> Column:
+        part = f"{kind}_{name.replace('.', '_')}"
+        self.items[f"_items_{path}"][1].setdefault(part, (name, kind))
+        return item[part]
+
+    def columns(self) -> dict[str, Column]:
+        def made(parts: dict[str, tuple[str, str]]) -> Callable[[Column], Column]:
+            return lambda x: F.struct(*(PARSERS[kind](_inside(x, name)).alias(part) for part, (name, kind) in parts.items()))
+
+        # items of which nothing is read are only counted
+        return self.fields | {name: F.transform(value, made(parts) if parts else (lambda x: F.lit(True))) for name, (value, parts) in self.items.items()}
+
+
+def _inside(value: Column, path: str) -> Column:
+    for part in path.split("."):
+        value = value[part]
+    return value
 
 
 @dataclass(frozen=True)
 class Pred:
     truth: Column
-    reasons: Column
+    #: the reasons, or what makes them when they are asked for
+    why: Column | Callable[[], Column]
     tree: tuple = ("true",)
 
+    @property
+    def reasons(self) -> Column:
+        return self.why() if callable(self.why) else self.why
+
     def __and__(self, other: Pred) -> Pred:
         return _joined("and", self.truth & other.truth, self, other)
 
@@ -51,12 +101,14 @@ class Pred:
         return _joined("or", self.truth | other.truth, self, other)
 
     def __invert__(self) -> Pred:
-        return Pred(~self.truth, self.reasons, ("not", self.tree))
+        return Pred(~self.truth, self.why, ("not", self.tree))
 
 
 def _joined(kind: str, truth: Column, *parts: Pred) -> Pred:
-    reasons = F.array_distinct(F.concat(*(p.reasons for p in parts)))
-    return Pred(truth, F.when(truth.isNull(), reasons).otherwise(_none()), (kind, *(p.tree for p in parts)))
+    def why() -> Column:
+        return F.when(truth.isNull(), F.array_distinct(F.concat(*(p.reasons for p in parts)))).otherwise(_none())
+
+    return Pred(truth, why, (kind, *(p.tree for p in parts)))
 
 
 def _named(a: Field) -> str:
@@ -74,12 +126,15 @@ def _said(kind: str, a: Field, op: str | None = None, b: object = None, high: fl
 
 def _leaf(said: tuple, truth: Column, *problems: tuple[Column, str, str]) -> Pred:
     """problems: (the parsed value, the path, what is wrong where it is NULL though present)."""
-    texts = [F.when(raw.isNull(), F.lit(f"{path} missing")).when(parsed.isNull(), F.lit(f"{path} {wrong}")) for raw, parsed, path, wrong in problems]
-    return Pred(truth, F.when(truth.isNull(), F.array_distinct(F.array_compact(F.array(*texts)))).otherwise(_none()), said)
+    def why() -> Column:
+        texts = [F.when(raw.isNull(), F.lit(f"{path} missing")).when(parsed.isNull(), F.lit(f"{path} {wrong}")) for raw, parsed, path, wrong in problems]
+        return F.when(truth.isNull(), F.array_distinct(F.array_compact(F.array(*texts)))).otherwise(_none())
+
+    return Pred(truth, why, said)
 
 
 def always(value: bool) -> Pred:
-    return Pred(F.lit(value), _none(), ("true" if value else "false",))
+    return Pred(F.lit(value), _none, ("true" if value else "false",))
 
 
 def equal_text(a: Field, b: str | Field) -> Pred:
@@ -128,7 +183,7 @@ def between(a: Field, low: float, high: float) -> Pred:
 
 
 def is_null(a: Field) -> Pred:
-    return Pred(a.value.isNull(), _none(), _said("null", a))
+    return Pred(a.value.isNull(), _none, _said("null", a))
 
 
 def contains(a: Field, part: str) -> Pred:
@@ -275,23 +330,29 @@ class Items:
 
     path: str
     value: Column
+    facts: Facts | None = None
+
+    def part(self, item: Column, name: str) -> Column:
+        return self.facts.part(self.path, item, name, "raw") if self.facts else _inside(item, name)
 
     def field(self, item: Column, name: str) -> Field:
-        value = item
-        for part in name.split("."):
-            value = value[part]
-        return Field(f"{self.path}[].{name}", value, f"{self.path}#{item.__dict__.get('_quantifier', 0)}.{name}")
+        parsed = (lambda kind: self.facts.part(self.path, item, name, kind)) if self.facts else None
+        return Field(f"{self.path}[].{name}", self.part(item, name), f"{self.path}#{item.__dict__.get('_quantifier', 0)}.{name}", parsed)
 
     def at(self, index: int, name: str) -> Field:
-        return Field(f"{self.path}.{index}.{name}", F.get(self.value, F.lit(index))[name])
+        return Field(f"{self.path}.{index}.{name}", self.part(F.get(self.value, F.lit(index)), name))
 
 
 def _over(kind: str, items: Items, truth: Column, body: Callable[[Column], Pred]) -> Pred:
     filled = F.coalesce(F.size(items.value), F.lit(0)) > 0
     truth = F.when(filled, truth)
-    inner = F.array_distinct(F.flatten(F.transform(items.value, lambda x: body(x).reasons)))
-    empty = F.array(F.lit(f"{items.path} missing or empty"))
-    return Pred(truth, F.when(truth.isNull(), F.when(filled, inner).otherwise(empty)).otherwise(_none()), (kind, items.path, _tree_of(body)))
+
+    def why() -> Column:
+        inner = F.array_distinct(F.flatten(F.transform(items.value, lambda x: body(x).reasons)))
+        empty = F.array(F.lit(f"{items.path} missing or empty"))
+        return F.when(truth.isNull(), F.when(filled, inner).otherwise(empty)).otherwise(_none())
+
+    return Pred(truth, why, (kind, items.path, _tree_of(body)))
 
 
 #: How many quantifiers stand around what is being written down as a tree.
@@ -320,7 +381,7 @@ def for_all(items: Items, body: Callable[[Column], Pred]) -> Pred:
 
 def count(items: Items, op: Callable[[Column, Column], Column], n: int) -> Pred:
     """Always definite; a missing collection counts 0."""
-    return Pred(op(F.coalesce(F.size(items.value), F.lit(0)), F.lit(n)), _none(), ("count", _symbol(op), items.path, float(n)))
+    return Pred(op(F.coalesce(F.size(items.value), F.lit(0)), F.lit(n)), _none, ("count", _symbol(op), items.path, float(n)))
 
 
 def has_code(items: Items, name: str, code: str, absent: str) -> Pred:
@@ -330,7 +391,7 @@ def has_code(items: Items, name: str, code: str, absent: str) -> Pred:
 
 def codes_of(items: Items, name: str) -> Column:
     """The codes of a collection's items; NULL where there are no items."""
-    return F.when(F.size(items.value) > 0, F.array_compact(F.transform(items.value, lambda x: x[name])))
+    return F.when(F.size(items.value) > 0, F.array_compact(F.transform(items.value, lambda x: items.part(x, name))))
 
 
 def has_any(code: str, absent: str, *places: Column) -> Pred:
@@ -341,4 +402,4 @@ def has_any(code: str, absent: str, *places: Column) -> Pred:
     there = F.coalesce(*places).isNotNull()
     found = F.array_contains(F.flatten(F.array(*(F.coalesce(x, F.array().cast("array<string>")) for x in places))), code)
     truth = F.when(there, found)
-    return Pred(truth, F.when(truth.isNull(), F.array(F.lit(absent))).otherwise(_none()), ("has_code", None, absent, None, None, code))
+    return Pred(truth, lambda: F.when(truth.isNull(), F.array(F.lit(absent))).otherwise(_none()), ("has_code", None, absent, None, None, code))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -24,22 +25,37 @@ class Rule:
 class Claim:
     """Fields and collections of a claim row, by path."""
 
-    def __init__(self, row: Callable[[str], Column] = F.col, as_of: str | None = None, limits: dict[str, float] | None = None, sections: frozenset[str] = frozenset()):
+    def __init__(self, row: Callable[[str], Column] = F.col, as_of: str | None = None, limits: dict[str, float] | None = None, sections: frozenset[str] = frozenset(), facts: p.Facts | None = None):
         """as_of: the day that counts as today (default: the session's own); limits: other amounts for rules, by name.
 
         sections: which of ``procedure_codes`` and ``procedure_code`` the table of claims has.
+        facts: notes what is read, to be made once below the rules (``compiled``).
         """
-        self.row, self.limits, self.sections = row, limits or {}, sections
+        self.row, self.limits, self.sections, self.facts, self.day = row, limits or {}, sections, facts, as_of
         self.as_of = F.current_date() if as_of is None else F.lit(as_of).cast("date")
-        self.lines = p.Items("service_lines", row("service_lines"))
-        self.codes = p.Items("diagnosis_codes", row("diagnosis_codes"))
+
+    @property
+    def lines(self) -> p.Items:
+        return self.items("service_lines")
+
+    @property
+    def codes(self) -> p.Items:
+        return self.items("diagnosis_codes")
+
+    def noting(self) -> Claim:
+        """The same claim, with facts of its own."""
+        return Claim(self.row, self.day, self.limits, self.sections, p.Facts())
+
+    def items(self, path: str) -> p.Items:
+        value = self.row(path)
+        return p.Items(path, self.facts.collection(path, value) if self.facts else value, self.facts)
 
     def __call__(self, path: str) -> p.Field:
         head, *rest = path.split(".")
         value = self.row(head)
         for part in rest:
             value = value[part]
-        return p.Field(path, value)
+        return p.Field(path, value, parsed=(lambda kind: self.facts.field(path, value, kind)) if self.facts else None)
 
     def limit(self, rule: str, own: float) -> float:
         return self.limits.get(rule, own)
@@ -50,7 +66,7 @@ class Claim:
 
     def has_procedure(self, code: str) -> p.Pred:
         """Whether a procedure is on the claim: in its procedure codes, its lines, or as the claim's own."""
-        places = [p.codes_of(p.Items("procedure_codes", self.row("procedure_codes")), "code")] if "procedure_codes" in self.sections else []
+        places = [p.codes_of(self.items("procedure_codes"), "code")] if "procedure_codes" in self.sections else []
         places.append(p.codes_of(self.lines, "procedure_code"))
         if "procedure_code" in self.sections:
             places.append(F.when(self.row("procedure_code").isNotNull(), F.array(self.row("procedure_code"))))
@@ -121,41 +137,75 @@ RULES: dict[str, Rule] = {
 DEFAULT_RULES = [k for k in RULES if int(k[1:]) <= 20]
 
 
-def _actions(rule: Rule) -> Column:
-    return F.array(*(F.struct(F.lit(t).alias("tag"), F.lit(m).alias("message"), F.lit(s).cast("int").alias("score")) for t, m, s in rule.actions))
+def compiled(claims: DataFrame, rules: list[Rule], claim: Claim | None = None, keep: list[str] | None = None, reasons: bool = False) -> DataFrame:
+    """Rules in two levels: what they read of a claim, parsed once each, and the rules over that.
 
+    keep: columns of claims (default: all). ``_truths`` and, if asked for, ``_reasons`` follow, arrays in the order of the rules.
+    """
+    claim = (claim or Claim()).noting()
+    preds = [r.condition(claim) for r in rules]
+    columns = [F.array(*(x.truth for x in preds)).cast("array<boolean>").alias("_truths")]
+    if reasons:
+        columns.append(F.array(*(x.reasons for x in preds)).cast("array<array<string>>").alias("_reasons"))
+    return claims.withColumns(claim.facts.columns()).select(*(claims.columns if keep is None else keep), *columns)
 
-def result(rule: Rule, truth: Column, reasons: Column) -> Column:
-    """One rule's result as a struct, from its truth and reasons."""
-    missing = F.concat(F.lit("Rule did not match: missing or unusable data ("), F.array_join(reasons, "; "), F.lit(")"))
-    details = F.when(truth, F.lit(f"Rule matched: {rule.description}")).when(truth.isNull(), missing).otherwise("Rule did not match")
-    return F.struct(
-        F.lit(rule.name).alias("rule_name"), F.coalesce(truth, F.lit(False)).alias("matched"), truth.isNull().alias("undecided"),
-        details.alias("details"), reasons.alias("reasons"), F.when(truth, _actions(rule)).otherwise(F.array().cast(ACTION)).alias("actions"),
-    )
+
+def _table(rules: list[Rule]) -> Column:
+    """What is fixed about the rules, as one literal array. Arrays are taken apart by functions that read each once: what a lambda names may be made again for each item."""
+    rows = [{"name": r.name, "description": r.description, "actions": [{"tag": t, "message": m, "score": s} for t, m, s in r.actions]} for r in rules]
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<name:string,description:string,actions:{ACTION}>>")
 
 
 def truths(claims: DataFrame, rules: list[Rule], claim: Claim | None = None) -> DataFrame:
     """One row per claim and rule: claim_key, rule_name, matched, undecided. Reasons and messages are not made."""
-    claim = claim or Claim()
-    held = claims.select("claim_key", *(r.condition(claim).truth.alias(f"_truth{k}") for k, r in enumerate(rules)))
-    rows = F.array(*(F.struct(F.lit(r.name).alias("rule_name"), F.coalesce(F.col(f"_truth{k}"), F.lit(False)).alias("matched"), F.col(f"_truth{k}").isNull().alias("undecided")) for k, r in enumerate(rules)))
-    return held.select("claim_key", F.explode(rows).alias("r")).select("claim_key", "r.*")
+    # outer: a plain explode would first filter claims by the size of this array, and so judge the rules twice
+    rows = F.zip_with("_truths", _table(rules), lambda t, r: F.struct(r["name"].alias("rule_name"), F.coalesce(t, F.lit(False)).alias("matched"), t.isNull().alias("undecided")))
+    return compiled(claims, rules, claim, ["claim_key"]).select("claim_key", F.explode_outer(rows).alias("r")).where("r is not null").select("claim_key", "r.*")
 
 
 def matched(claims: DataFrame, rules: list[Rule], claim: Claim | None = None) -> DataFrame:
     """claim_key and the names of the rules that match it, sorted."""
-    claim = claim or Claim()
-    held = claims.select("claim_key", *(r.condition(claim).truth.alias(f"_truth{k}") for k, r in enumerate(rules)))
-    return held.select("claim_key", F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"_truth{k}"), r.name) for k, r in enumerate(rules))))).alias("rules"))
+    names = F.zip_with("_truths", _table(rules), lambda t, r: F.when(t, r["name"]))
+    return compiled(claims, rules, claim, ["claim_key"]).select("claim_key", F.array_sort(F.array_compact(names)).alias("rules"))
 
 
 def evaluate(claims: DataFrame, rules: list[Rule], claim: Claim | None = None) -> DataFrame:
-    """All rules over all claims, in narrow projections: truths and reasons once each, then results, then the report's counters."""
-    preds = [r.condition(claim or Claim()) for r in rules]
-    held = claims.withColumns({f"_truth{k}": x.truth for k, x in enumerate(preds)} | {f"_reasons{k}": x.reasons for k, x in enumerate(preds)})
-    results = F.array(*(result(r, F.col(f"_truth{k}"), F.col(f"_reasons{k}")) for k, r in enumerate(rules)))
-    return report(held.select(*claims.columns, results.alias("results")))
+    """All rules over all claims, in narrow projections: facts, truths and reasons once each, then results, then the report's counters."""
+    held = compiled(claims, rules, claim, reasons=True)
+
+    def result(one: Column) -> Column:
+        truth, reasons, rule = one["_truths"], one["_reasons"], one["_rules"]
+        missing = F.concat(F.lit("Rule did not match: missing or unusable data ("), F.array_join(reasons, "; "), F.lit(")"))
+        details = F.when(truth, F.concat(F.lit("Rule matched: "), rule["description"])).when(truth.isNull(), missing).otherwise("Rule did not match")
+        return F.struct(
+            rule["name"].alias("rule_name"), F.coalesce(truth, F.lit(False)).alias("matched"), truth.isNull().alias("undecided"),
+            details.alias("details"), reasons.alias("reasons"), F.when(truth, rule["actions"]).otherwise(F.array().cast(ACTION)).alias("actions"),
+        )
+
+    return report(held.select(*claims.columns, F.transform(F.arrays_zip("_truths", "_reasons", _table(rules).alias("_rules")), result).alias("results")))
+
+
+#: What an action adds to the weighted score.
+WEIGHTS = {"REJECT": 3, "FLAG_FRAUD": 2, "REQUIRE_REVIEW": 1}
+
+
+def counters(claims: DataFrame, rules: list[Rule], claim: Claim | None = None) -> DataFrame:
+    """The columns of a report but results and actions, from the rules' truths alone."""
+
+    def each(value: Callable[[Rule], int]) -> Column:
+        fixed = F.expr(f"cast(array({', '.join(str(value(r)) for r in rules)}) as array<int>)")
+        return F.zip_with("_truths", fixed, lambda t, n: F.when(t, n).otherwise(0))
+
+    def risk(rule: Rule) -> int:
+        return max((2 if t in ("REJECT", "FLAG_FRAUD") else 1 if t == "REQUIRE_REVIEW" or (t == "RISK_SCORE" and s is not None and s >= 70) else 0 for t, _, s in rule.actions), default=0)
+
+    level = F.array_max(each(risk))
+    held = compiled(claims, rules, claim)
+    return summed(held.select(
+        *claims.columns, F.size("_truths").alias("total_rules"), F.size(F.filter("_truths", lambda t: t)).alias("matched_rules"), F.size(F.filter("_truths", lambda t: t.isNull())).alias("undecided_rules"),
+        F.when(level == 2, "CriticalRisk").when(level == 1, "HighRisk").otherwise("LowRisk").alias("overall_risk"),
+        F.aggregate(each(lambda r: sum(WEIGHTS.get(t, 0) for t, _, _ in r.actions)), F.lit(0), lambda n, x: n + x).alias("weighted_score"),
+    ))
 
 
 def report(rows: DataFrame) -> DataFrame:
@@ -167,8 +217,13 @@ def report(rows: DataFrame) -> DataFrame:
         "matched_rules": F.size(F.filter("results", lambda r: r["matched"])),
         "undecided_rules": F.size(F.filter("results", lambda r: r["undecided"])),
         "overall_risk": F.when(F.exists("actions", lambda a: a["tag"].isin("REJECT", "FLAG_FRAUD")), "CriticalRisk").when(F.exists("actions", lambda a: (a["tag"] == "REQUIRE_REVIEW") | ((a["tag"] == "RISK_SCORE") & (a["score"] >= 70))), "HighRisk").otherwise("LowRisk"),
-        "weighted_score": F.aggregate("actions", F.lit(0), lambda n, a: n + F.when(a["tag"] == "REJECT", 3).when(a["tag"] == "FLAG_FRAUD", 2).when(a["tag"] == "REQUIRE_REVIEW", 1).otherwise(0)),
+        "weighted_score": F.aggregate("actions", F.lit(0), lambda n, a: n + F.when(a["tag"] == "REJECT", WEIGHTS["REJECT"]).when(a["tag"] == "FLAG_FRAUD", WEIGHTS["FLAG_FRAUD"]).when(a["tag"] == "REQUIRE_REVIEW", WEIGHTS["REQUIRE_REVIEW"]).otherwise(0)),
     })
+    return summed(rows)
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """With the summary sentence of the counters."""
     open_ = F.when(F.col("undecided_rules") > 0, F.concat(F.lit(", "), F.col("undecided_rules").cast("string"), F.lit(" not checked (missing data)"))).otherwise("")
     summary = F.concat(F.lit("Evaluated "), F.col("total_rules").cast("string"), F.lit(" rules, "), F.col("matched_rules").cast("string"), F.lit(" matched"), open_, F.lit(". Overall risk: "), F.col("overall_risk"))
     return rows.withColumn("summary", summary)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import conditions, ingest, overlap, policy, providers
+from ..operators import conditions, ingest, overlap, peers, policy, providers
 from ..operators import rules as R
 from ..sources import batches, files, x12
 from . import claim_files
@@ -321,3 +321,41 @@ add("N10", table("v_lines", lambda t: t.withColumn("day", tx.to_day(F.col("date_
 # X12: interchanges written from the claims, then read back as tables
 x12.register_queries(add, views)
 claim_files.register_queries(add)
+
+
+# peer groups
+_SERVICES = """select l_suppkey as provider, l.claim_key as claim_key, o_custkey as patient, procedure_code as code,
+    case when date_of_service <> 'unknown' then cast(substr(replace(date_of_service, '-', ''), 1, 4) as int) * 12 + cast(substr(replace(date_of_service, '-', ''), 5, 2) as int) end as month,
+    cast(round(l_extendedprice * 100) as bigint) as cents from v_lines l join orders on o_orderkey = l.claim_key"""
+_PROVIDERS = """select s.s_suppkey as provider, p.taxonomy as specialty, n.n_regionkey as region, {} as tenure_days
+    from supplier s join v_provider p on p.s_suppkey = s.s_suppkey left join nation n on n.n_nationkey = s.s_nationkey left join v_registry r on r.npi = p.npi"""
+_PEERS = ["specialty", "region"]
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views.register(spark, sf_dir)
+    return peers.features(spark.sql(_SERVICES), spark.sql(_PROVIDERS.format("datediff(date'2000-01-01', r.enumeration_date)")))
+
+
+def _sketch_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = peers.tall(_features(spark, sf_dir), _PEERS)
+    near = peers.sketched(values, _PEERS).select("provider", "feature", F.col("percentile").alias("near"))
+    off = F.abs(F.col("near") - F.col("percentile")) <= 1 / 100 + 1 / 10_000 + F.when(F.col("peers") > 1, 1 / (F.col("peers") - 1)).otherwise(1)
+    return peers.percentiles(values, _PEERS).join(near, ["provider", "feature"]).select("provider", "feature", off.cast("int").alias("holds"))
+
+
+_features_sql = f"""services as ({_SERVICES}), providers as ({_PROVIDERS.format("date '2000-01-01' - r.enumeration_date")}),
+    pat as (select provider, count(distinct patient) as patients, count(*) as services, sum(cents) as cents, count(distinct code) as codes, count(*) filter (code in ('99205', '99215')) as high from services group by 1),
+    top as (select provider, max(n) as top from (select provider, code, count(*) as n from services where code is not null group by 1, 2) group by 1),
+    mon as (select provider, month, count(distinct claim_key) as n from services where month is not null group by 1, 2),
+    jump as (select a.provider, max(a.n - coalesce(b.n, 0)) as jump from mon a left join mon b on b.provider = a.provider and b.month = a.month - 1
+        where exists (select 1 from mon c where c.provider = a.provider and c.month < a.month) group by 1),
+    features as (select p.provider, specialty, region, cast(patients as double) as patients, services / nullif(patients, 0) as services_per_patient, cast(cents as double) / services / 100 as paid_per_service,
+        cast(jump as double) as monthly_jump, high / services as high_visit_share, cast(codes as double) as codes, top / services as top_code_share, cast(tenure_days as double) as tenure_days
+        from providers p join pat using (provider) left join top using (provider) left join jump using (provider)),
+    tall as (""" + " union all ".join(f"select provider, specialty, region, '{n}' as feature, {n} as value from features where {n} is not null" for n in peers.FEATURES) + ")"
+_rounded = ", ".join(f"round({n}, 6) as {n}" for n in peers.FEATURES)
+add("PB1_features", lambda s, d: _features(s, d).selectExpr("provider", "specialty", "region", *(f"round({n}, 6) as {n}" for n in peers.FEATURES)), views.sql_with_views(f"with {_features_sql} select provider, specialty, region, {_rounded} from features"))
+add("PB1", lambda s, d: peers.percentiles(peers.tall(_features(s, d), _PEERS), _PEERS).select("provider", *_PEERS, "feature", "peers", F.round("percentile", 6).alias("percentile"), F.round("peer_median", 6).alias("peer_median")), views.sql_with_views(
+    f"with {_features_sql} select provider, specialty, region, feature, count(*) over w as peers, round(percent_rank() over (partition by specialty, region, feature order by value), 6) as percentile, round(median(value) over w, 6) as peer_median from tall window w as (partition by specialty, region, feature)"))
+add("PB1_sketch", _sketch_holds, views.sql_with_views(f"with {_features_sql} select provider, feature, 1 as holds from tall"))

@@ -134,15 +134,19 @@ def reports(spark: SparkSession, sf_dir: str, keys: list[str] | None = None) ->
     return R.evaluate(views.claims(spark, sf_dir), [R.RULES[k] for k in keys or R.DEFAULT_RULES], claim())
 
 
+def counted(spark: SparkSession, sf_dir: str, keys: list[str] | None = None) -> DataFrame:
+    return R.counters(views.claims(spark, sf_dir), [R.RULES[k] for k in keys or R.DEFAULT_RULES], claim())
+
+
 _report = f"select claim_key, total_rules, matched_rules, undecided_rules, overall_risk, weighted_score, {SUMMARY} as summary from r"
-add("flagship", lambda s, d: reports(s, d).select(*HEADER), report_sql(R.DEFAULT_RULES, _report))
+add("flagship", lambda s, d: counted(s, d).select(*HEADER), report_sql(R.DEFAULT_RULES, _report))
 add("P19", lambda s, d: reports(s, d).select(*HEADER), report_sql(R.DEFAULT_RULES, _report))
 _long = " union all ".join(f"select claim_key, '{R.RULES[k].name}' as rule_name, cast(coalesce({k}, false) as int) as matched, cast({k} is null as int) as undecided from t" for k in R.DEFAULT_RULES)
 add("P20", lambda s, d: R.truths(views.claims(s, d), [R.RULES[k] for k in R.DEFAULT_RULES], claim()).select("claim_key", "rule_name", F.col("matched").cast("int").alias("matched"), F.col("undecided").cast("int").alias("undecided")), views.sql_with_views(f"with {FACTS}, {truths_sql(R.DEFAULT_RULES)} {_long}", "v_claim", "v_lines", "v_dx"))
-add("A3", lambda s, d: reports(s, d).groupBy("matched_rules", "undecided_rules").agg(F.count("*").alias("n")), report_sql(R.DEFAULT_RULES, "select matched_rules, undecided_rules, count(*) as n from r group by all"))
-add("A4", lambda s, d: reports(s, d).groupBy("overall_risk").agg(F.count("*").alias("n")), report_sql(R.DEFAULT_RULES, "select overall_risk, count(*) as n from r group by all"))
-add("A5", lambda s, d: reports(s, d).select("claim_key", "weighted_score"), report_sql(R.DEFAULT_RULES, "select claim_key, weighted_score from r"))
-add("A6", lambda s, d: reports(s, d).select("claim_key", "summary"), report_sql(R.DEFAULT_RULES, f"select claim_key, {SUMMARY} as summary from r"))
+add("A3", lambda s, d: counted(s, d).groupBy("matched_rules", "undecided_rules").agg(F.count("*").alias("n")), report_sql(R.DEFAULT_RULES, "select matched_rules, undecided_rules, count(*) as n from r group by all"))
+add("A4", lambda s, d: counted(s, d).groupBy("overall_risk").agg(F.count("*").alias("n")), report_sql(R.DEFAULT_RULES, "select overall_risk, count(*) as n from r group by all"))
+add("A5", lambda s, d: counted(s, d).select("claim_key", "weighted_score"), report_sql(R.DEFAULT_RULES, "select claim_key, weighted_score from r"))
+add("A6", lambda s, d: counted(s, d).select("claim_key", "summary"), report_sql(R.DEFAULT_RULES, f"select claim_key, {SUMMARY} as summary from r"))
 _unpivot = f"u as ({_long})"
 _with_long = lambda body: views.sql_with_views(f"with {FACTS}, {truths_sql(R.DEFAULT_RULES)}, {_unpivot} {body}", "v_claim", "v_lines", "v_dx")
 add("A10", lambda s, d: QUERIES["P20"](s, d).groupBy("rule_name").agg(F.min("undecided").alias("never_checked")), _with_long("select rule_name, min(undecided) as never_checked from u group by 1"))
@@ -150,12 +154,12 @@ add("A12", lambda s, d: QUERIES["P20"](s, d).groupBy("rule_name").agg(F.sum("mat
 # without R12, which every order of the given tables breaks, so that no claim would be clean
 _some = ["R3", "R8", "R14", "R16", "R18", "R19"]
 _filter = lambda: F.when((F.col("matched_rules") == 0) & (F.col("undecided_rules") == 0), "Clean").when(F.col("matched_rules") == 0, "NotAssessed").otherwise(F.col("overall_risk"))
-add("P22", lambda s, d: reports(s, d, _some).select("claim_key", _filter().alias("found_by")), report_sql(_some, "select claim_key, case when matched_rules = 0 and undecided_rules = 0 then 'Clean' when matched_rules = 0 then 'NotAssessed' else overall_risk end as found_by from r"))
-add("P23", lambda s, d: reports(s, d).where(F.col("overall_risk").isin("HighRisk", "CriticalRisk")).select("claim_key", "overall_risk"), report_sql(R.DEFAULT_RULES, "select claim_key, overall_risk from r where overall_risk in ('HighRisk', 'CriticalRisk')"))
+add("P22", lambda s, d: counted(s, d, _some).select("claim_key", _filter().alias("found_by")), report_sql(_some, "select claim_key, case when matched_rules = 0 and undecided_rules = 0 then 'Clean' when matched_rules = 0 then 'NotAssessed' else overall_risk end as found_by from r"))
+add("P23", lambda s, d: counted(s, d).where(F.col("overall_risk").isin("HighRisk", "CriticalRisk")).select("claim_key", "overall_risk"), report_sql(R.DEFAULT_RULES, "select claim_key, overall_risk from r where overall_risk in ('HighRisk', 'CriticalRisk')"))
 _flag = lambda: F.col("overall_risk").isin("HighRisk", "CriticalRisk")
-add("A1", lambda s, d: reports(s, d).groupBy("batch_id").agg(F.count("*").alias("n_total"), F.count_if(_flag()).alias("n_flagged"), F.count_if(~_flag()).alias("n_clean")), report_sql(R.DEFAULT_RULES, "select batch_id, count(*) as n_total, count(*) filter (overall_risk in ('HighRisk', 'CriticalRisk')) as n_flagged, count(*) filter (overall_risk not in ('HighRisk', 'CriticalRisk')) as n_clean from r group by 1"))
+add("A1", lambda s, d: counted(s, d).groupBy("batch_id").agg(F.count("*").alias("n_total"), F.count_if(_flag()).alias("n_flagged"), F.count_if(~_flag()).alias("n_clean")), report_sql(R.DEFAULT_RULES, "select batch_id, count(*) as n_total, count(*) filter (overall_risk in ('HighRisk', 'CriticalRisk')) as n_flagged, count(*) filter (overall_risk not in ('HighRisk', 'CriticalRisk')) as n_clean from r group by 1"))
 _rank = lambda: F.when(F.col("overall_risk") == "CriticalRisk", 0).when(F.col("overall_risk") == "HighRisk", 1).when(F.col("overall_risk") == "MediumRisk", 2).otherwise(3)
-add("O1", lambda s, d: reports(s, d).select(_rank().alias("severity"), "claim_key").orderBy("severity", "claim_key").limit(500), report_sql(R.DEFAULT_RULES, "select case overall_risk when 'CriticalRisk' then 0 when 'HighRisk' then 1 when 'MediumRisk' then 2 else 3 end as severity, claim_key from r order by 1, 2 limit 500"))
+add("O1", lambda s, d: counted(s, d).select(_rank().alias("severity"), "claim_key").orderBy("severity", "claim_key").limit(500), report_sql(R.DEFAULT_RULES, "select case overall_risk when 'CriticalRisk' then 0 when 'HighRisk' then 1 when 'MediumRisk' then 2 else 3 end as severity, claim_key from r order by 1, 2 limit 500"))
 
 
 def _written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +172,7 @@ def _written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _if_ok = lambda x: f"case when batch_id <> 7 then {x} end"
 add("SNK6", _written_back, report_sql(R.DEFAULT_RULES, f"select claim_key, cast(batch_id as string) as batch_id, case when batch_id = 7 then 'not_assessed' else 'evaluated' end as status, {_if_ok('overall_risk')} as overall_risk, {_if_ok('weighted_score')} as weighted_score, {_if_ok(SUMMARY)} as summary, case when batch_id = 7 then 'the rule engine returned no report for this claim' end as error_message, '2000-01-01 00:00:00' as processed_at, case when batch_id = 7 then 0 else total_rules end as n_results from r"))
-add("ST5", lambda s, d: reports(s, d).groupBy("batch_id", "overall_risk").agg(F.count("*").alias("n"), F.sum("weighted_score").alias("score")), report_sql(R.DEFAULT_RULES, "select batch_id, overall_risk, count(*) as n, cast(sum(weighted_score) as bigint) as score from r group by 1, 2"))
+add("ST5", lambda s, d: counted(s, d).groupBy("batch_id", "overall_risk").agg(F.count("*").alias("n"), F.sum("weighted_score").alias("score")), report_sql(R.DEFAULT_RULES, "select batch_id, overall_risk, count(*) as n, cast(sum(weighted_score) as bigint) as score from r group by 1, 2"))
 add("PRJ4", lambda s, d: reports(s, d).select("claim_key", F.coalesce("overall_risk", F.lit("N/A")).alias("risk"), F.coalesce(F.get("actions", F.lit(0))["tag"], F.lit("none")).alias("first_action")),
     report_sql(R.DEFAULT_RULES, "select claim_key, overall_risk as risk, case " + " ".join(f"when coalesce({k}, false) then '{R.RULES[k].actions[0][0]}'" for k in R.DEFAULT_RULES) + " else 'none' end as first_action from r"))
 
