@@ -68,6 +68,17 @@ def myers(pattern: list[int], text: list[int], most: int) -> tuple[int, int]:
     return best
 
 
+def runs(starts: list[int], gap: int) -> Iterator[tuple[int, int]]:
+    """The first and last of each run of sorted starts that lie no further apart than gap: they share one window."""
+    k = 0
+    while k < len(starts):
+        first = starts[k]
+        while k + 1 < len(starts) and starts[k + 1] <= starts[k] + gap:
+            k += 1
+        yield first, starts[k]
+        k += 1
+
+
 class Items:
     """A block of test items, with a table of piece hashes."""
 
@@ -126,23 +137,14 @@ class Items:
             pattern = self.words[item]
             m, most = len(pattern), budget(len(pattern))
             first, last = int(words.first[doc]), int(words.first[doc + 1])
-            best, reach = (most + 1, 0, 0), -1
-            for s in sorted(set(starts)):
-                if s <= reach:
-                    continue
-                # starts that lie close share one window
-                far = s
-                for t in sorted(set(starts)):
-                    if far < t <= far + m:
-                        far = t
-                reach = far
+            best = (most + 1, 0, 0)
+            for s, far in runs(sorted(set(starts)), m):
                 a, b = max(first, s - most), min(last, far + m + most)
                 window = hashes[a:b].tolist()
                 distance, end = myers(pattern, window, most)
                 if distance < best[0]:
-                    back, length = myers(pattern[::-1], window[:end][::-1], most)
+                    _, length = myers(pattern[::-1], window[:end][::-1], most)
                     best = (distance, a + end - length - first, a + end - 1 - first)
-                    assert back == distance
             if best[0] <= most:
                 yield doc, item, best[0], most, best[1], best[2]
 

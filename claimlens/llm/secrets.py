@@ -23,7 +23,9 @@ empty table gives none; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import pickle
 import re
 from collections.abc import Iterator
@@ -280,17 +282,28 @@ def fit(docs: DataFrame, most: int = TRAIN_ROWS) -> Field:
     return field
 
 
+def reaches(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """The starts of spans in order, and how far the spans up to each reach."""
+    spans = sorted(spans)
+    return [a for a, _, _ in spans], list(itertools.accumulate((b for _, _, b in spans), max))
+
+
 def all_spans(text: pa.Array, field: Field) -> Iterator[tuple[list, list]]:
     """For each text of a block: the base spans, and all spans, in order."""
     texts = text.to_pylist()
     base = [base_spans(t) for t in texts]
     tokens = Tokens(text)
     words, extra = tokens.words, [[] for _ in texts]
+    at, place, starts, ends = -1, None, [], []
     for i, j in field.decode(tokens):
         k = int(tokens.of[i])
-        raw = words.data[words.off[k] : words.off[k + 1]].tobytes()
-        a, b = (len(raw[: x - words.off[k]].decode()) for x in (words.start[i], words.end[j - 1]))
-        if all(b <= x or y <= a for x, _, y in base[k]):
+        if k != at:  # a text's spans follow one another
+            at, (starts, ends) = k, reaches(base[k])
+            # how many characters start before each byte
+            place = np.concatenate([np.zeros(1, np.int32), np.cumsum((words.data[words.off[k] : words.off[k + 1]] & 0xC0) != 0x80, dtype=np.int32)])
+        a, b = (int(place[x - words.off[k]]) for x in (words.start[i], words.end[j - 1]))
+        before = bisect.bisect_left(starts, b)
+        if not before or ends[before - 1] <= a:
             extra[k].append((a, 3, b))
     for own, more in zip(base, extra, strict=True):
         yield own, sorted(own + more)
