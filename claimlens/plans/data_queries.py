@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import conditions, ingest, overlap, peers, policy, providers
 from ..operators import rules as R
-from ..sources import batches, files, x12
-from . import claim_files
+from ..sources import batches, files
+from . import claim_files, x12_files
 from . import rule_queries as rq
 from . import views
 from .views import sql_with_views as cte
@@ -319,7 +319,7 @@ add("N9", table("v_lines", lambda t: t.withColumn("day", tx.to_day(F.col("date_o
 add("N10", table("v_lines", lambda t: t.withColumn("day", tx.to_day(F.col("date_of_service"))).where(F.datediff(F.lit("2002-01-01").cast("date"), "day") > 1500).groupBy("claim_key").agg(F.count("*").alias("n"))), cte(f"select claim_key, count(*) as n from v_lines where date '2002-01-01' - {_sd} > 1500 group by 1", "v_lines"))
 
 # X12: interchanges written from the claims, then read back as tables
-x12.register_queries(add, views)
+x12_files.register_queries(add)
 claim_files.register_queries(add)
 
 

@@ -6,7 +6,7 @@ row has its number in the file, its id and its elements (element 0 is the id).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -34,14 +34,19 @@ def delimited(files: DataFrame) -> DataFrame:
     return rows.select("file_id", "text", sep.alias("element"), F.substring("text", 105, 1).alias("sub"), F.substring("text", 106, 1).alias("term"), wrong.alias("wrong"))
 
 
+def _parsed(files: DataFrame) -> DataFrame:
+    """Segments of readable files; of each other file one row without a number, with what is wrong."""
+    rows = delimited(files)
+    quoted = lambda c: F.concat(F.lit("\\Q"), F.col(c), F.lit("\\E"))
+    cut = F.filter(F.transform(F.split("text", quoted("term")), lambda s: F.trim(s)), lambda s: F.regexp_replace(s, r"\s", "") != "")
+    each = rows.select("file_id", "element", "sub", "wrong", F.posexplode_outer(F.when(F.col("wrong").isNull(), cut)).alias("at", "raw"))
+    each = each.select("file_id", (F.col("at") + 1).alias("seg_no"), F.split(F.regexp_replace("raw", r"\A\s+", ""), quoted("element")).alias("elements"), "sub", "wrong")
+    return each.select("file_id", "seg_no", F.get("elements", F.lit(0)).alias("seg_id"), "elements", "sub", "wrong")
+
+
 def segments(files: DataFrame) -> DataFrame:
     """file_id, seg_no (from 1), seg_id, elements, sub, of readable files."""
-    rows = delimited(files).where("wrong is null")
-    quoted = lambda c: F.concat(F.lit("\\Q"), F.col(c), F.lit("\\E"))
-    parts = rows.select("file_id", "element", "sub", F.filter(F.transform(F.split("text", quoted("term")), lambda s: F.trim(s)), lambda s: F.regexp_replace(s, r"\s", "") != "").alias("parts"))
-    each = parts.select("file_id", "element", "sub", F.posexplode("parts").alias("at", "raw"))
-    each = each.select("file_id", (F.col("at") + 1).alias("seg_no"), F.split(F.regexp_replace("raw", r"\A\s+", ""), quoted("element")).alias("elements"), "sub")
-    return each.select("file_id", "seg_no", F.get("elements", F.lit(0)).alias("seg_id"), "elements", "sub")
+    return _parsed(files).where("seg_no is not null").drop("wrong")
 
 
 def _running(*keys: str) -> Window:
@@ -49,7 +54,7 @@ def _running(*keys: str) -> Window:
 
 
 def numbered(segs: DataFrame) -> DataFrame:
-    """Running ids: transaction set, open loops by level, claim, and line within the claim."""
+    """Running ids: transaction set, open loops by level, claim, and line within the claim; the open interchange, group and party."""
     w = _running("file_id")
     is_ = lambda s: F.col("seg_id") == s
     level = F.when(is_("HL"), F.coalesce(element(3), F.lit("")))
@@ -60,7 +65,9 @@ def numbered(segs: DataFrame) -> DataFrame:
         "last23": F.last(F.when(~level.isin("20", "22"), F.col("seg_no")), True).over(w),
         "clm": F.last(F.when(is_("CLM"), F.col("seg_no")), True).over(w),
         "stop": F.last(F.when(is_("HL") | is_("SE") | is_("ST"), F.col("seg_no")), True).over(w),
-        "version": F.last(F.when(is_("GS"), element(8)), True).over(w),
+        "isa": F.last(F.when(is_("ISA"), F.col("elements")), True).over(w),
+        "gs": F.last(F.when(is_("GS"), F.col("elements")), True).over(w),
+        "party": F.last(F.when(is_("NM1"), F.coalesce(element(1), F.lit(""))).when(F.col("seg_id").isin("HL", "CLM", "ST"), ""), True).over(w),
     })
     rows = rows.withColumns({"hl22": F.when(F.col("last22") > F.coalesce("hl20", F.lit(0)), F.col("last22")), "claim_no": F.when(F.col("clm") > F.coalesce("stop", F.lit(0)), F.col("clm"))})
     rows = rows.withColumn("hl23", F.when(F.col("last23") > F.greatest(F.coalesce("hl20", F.lit(0)), F.coalesce("hl22", F.lit(0))), F.col("last23")))
@@ -68,9 +75,9 @@ def numbered(segs: DataFrame) -> DataFrame:
     return rows.withColumn("lx_no", F.when(F.col("claim_no").isNotNull() & (line > 0), line)).drop("last22", "last23", "clm", "stop")
 
 
-def envelope_errors(files: DataFrame) -> DataFrame:
-    """file_id, reason: the first envelope error of each file that has one."""
-    segs = segments(files)
+def _checked(files: DataFrame) -> DataFrame:
+    """Segments, each with its own envelope error and the place of that among its file's."""
+    segs = _parsed(files)
     w = _running("file_id")
     count = lambda s: F.sum(F.when(F.col("seg_id") == s, 1).otherwise(0)).over(w)
     last = lambda s, c: F.last(F.when(F.col("seg_id") == s, c), True).over(w)
@@ -96,8 +103,13 @@ def envelope_errors(files: DataFrame) -> DataFrame:
     )
     # an end without IEA comes before every other error
     order = F.when((F.col("seg_no") == F.col("end")) & ~is_("IEA"), 0).otherwise(F.col("seg_no"))
-    found = rows.withColumn("error", error).where("error is not null").groupBy("file_id").agg(F.min_by("error", order).alias("reason"))
-    return delimited(files).where("wrong is not null").select("file_id", F.col("wrong").alias("reason")).unionByName(found)
+    rows = rows.withColumn("error", F.coalesce("wrong", error)).withColumn("error_at", F.when(F.col("error").isNotNull(), F.coalesce(order, F.lit(0))))
+    return rows.select(*(c for c in segs.columns if c != "wrong"), "error", "error_at")
+
+
+def envelope_errors(files: DataFrame) -> DataFrame:
+    """file_id, reason: the first envelope error of each file that has one."""
+    return _checked(files).where("error is not null").groupBy("file_id").agg(F.min_by("error", "error_at").alias("reason"))
 
 
 def transaction_type(version: Column, styles: Column) -> Column:
@@ -117,123 +129,119 @@ def _period(kind: Column, value: Column) -> tuple[Column, Column]:
     return F.when(kind == "RD8", first).otherwise(value), F.when((kind == "RD8") & (first != second), second)
 
 
-def service_lines(nums: DataFrame) -> DataFrame:
-    """One row per claim and line: its service segment's elements, dates and tooth."""
-    is_ = lambda s: F.col("seg_id") == s
-    one = lambda c, where: F.min_by(F.when(where, c), F.when(where, F.col("seg_no")))
-    dtp = is_("DTP") & (element(1) == "472")
-    sv = F.col("seg_id").isin("SV1", "SV2", "SV3")
-    grouped = nums.where("lx_no is not null").groupBy("file_id", "ts_no", "claim_no", "lx_no").agg(
-        one(F.struct("seg_id", "elements", "sub"), sv).alias("sv"), one(element(2), dtp).alias("kind"), one(element(3), dtp).alias("value"), one(element(2), is_("TOO")).alias("tooth_number"), one(element(3), is_("TOO")).alias("tooth_surface")
-    )
-    begin, end = _period(F.col("kind"), F.col("value"))
+LINE = (
+    "line_number", "date_of_service", "date_of_service_end", "place_of_service", "procedure_code", "procedure_qualifier", "charge_amount", "units", "unit_type", "diagnosis_pointer", "revenue_code", "tooth_info",
+)
+
+
+def _one(value: Column, where: Column) -> Column:
+    """The value of the first segment of that kind."""
+    return F.min_by(F.when(where, value), F.when(where, F.col("seg_no")))
+
+
+def _is(s: str, qualifier: str | None = None) -> Column:
+    return (F.col("seg_id") == s) if qualifier is None else (F.col("seg_id") == s) & (element(1) == qualifier)
+
+
+def _pieces(value: Column, sub: str) -> Column:
+    return F.split(value, F.concat(F.lit("\\Q"), F.col(sub), F.lit("\\E")))
+
+
+def _line() -> Column:
+    """A service line, over columns sv (its service segment), dtp and too."""
+    begin, end = _period(F.col("dtp.kind"), F.col("dtp.value"))
     style, at = F.col("sv.seg_id"), lambda k: tx.blank_to_null(F.get("sv.elements", F.lit(k)))
     second = style == "SV2"
-    code = F.split(F.when(second, at(2)).otherwise(at(1)), F.concat(F.lit("\\Q"), F.col("sv.sub"), F.lit("\\E")))
-    pick = lambda one_, two, three: F.when(style == "SV1", at(one_)).when(second, at(two)).otherwise(at(three) if three else F.lit(None))
-    return grouped.select(
-        "file_id", "ts_no", "claim_no", F.col("lx_no").cast("int").alias("line_number"), style.alias("style"), begin.alias("date_of_service"), end.alias("date_of_service_end"),
-        F.get(code, F.lit(0)).alias("procedure_qualifier"), F.get(code, F.lit(1)).alias("procedure_code"), pick(2, 3, 2).alias("charge_amount"), pick(3, 4, 0).alias("unit_type"), pick(4, 5, 6).alias("units"),
-        F.when(style == "SV1", at(5)).alias("place_of_service"), F.when(style == "SV1", at(7)).alias("diagnosis_pointer"), F.when(second, at(1)).alias("revenue_code"), "tooth_number", "tooth_surface",
+    code = _pieces(F.when(second, at(2)).otherwise(at(1)), "sv.sub")
+    pick = lambda one, two, three: F.when(style == "SV1", at(one)).when(second, at(two)).otherwise(at(three) if three else F.lit(None))
+    fields = (
+        F.col("lx_no").cast("int"), begin, end, F.when(style == "SV1", at(5)), F.get(code, F.lit(1)), F.get(code, F.lit(0)), pick(2, 3, 2), pick(4, 5, 6), pick(3, 4, 0),
+        F.when(style == "SV1", at(7)), F.when(second, at(1)), F.col("too"),
     )
+    return F.struct(*(c.alias(k) for k, c in zip(LINE, fields, strict=True)))
 
 
-def claims(files: DataFrame) -> DataFrame:
-    """Nested claims of the files without an envelope error, in the contract's shape and normalised."""
-    bad = envelope_errors(files).select("file_id")
-    nums = numbered(segments(files.join(bad, "file_id", "left_anti")))
-    is_ = lambda s: F.col("seg_id") == s
-    nm1 = lambda q: is_("NM1") & (element(1) == q)
-    ts, bill, sub, dep = ("file_id", "ts_no"), ("file_id", "ts_no", "hl20"), ("file_id", "ts_no", "hl20", "hl22"), ("file_id", "ts_no", "hl20", "hl22", "hl23")
-    first = lambda c, where, *keys: F.first(F.when(where, c), True).over(Window.partitionBy(*keys).orderBy("seg_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    own = lambda k: F.col("hl23").isNull() & F.col("hl22").isNotNull() & k
-    context = nums.withColumns({
-        "submitter_name": first(element(3), nm1("41"), *ts), "receiver_name": first(element(3), nm1("40"), *ts), "control": first(element(13), is_("ISA"), "file_id"),
-        "provider_name": first(element(3), nm1("85"), *bill), "npi": first(element(9), nm1("85"), *bill), "taxonomy": first(element(3), is_("PRV") & (element(1) == "BI"), *bill), "tax_id": first(element(2), is_("REF") & (element(1) == "EI"), *bill),
-        "member_id": first(element(9), nm1("IL"), *sub), "payer_id": first(element(9), nm1("PR"), *sub),
-        "subscriber_birth": first(element(2), own(is_("DMG")), *sub), "subscriber_gender": first(element(3), own(is_("DMG")), *sub),
-        "patient_birth": first(element(2), is_("DMG") & F.col("hl23").isNotNull(), *dep), "patient_last": first(element(3), nm1("QC"), *dep), "subscriber_last": first(element(3), nm1("IL"), *sub),
+def _parties(nums: DataFrame) -> DataFrame:
+    """Segments with the parties of their set and of the open loops: the first of a kind in a loop, told before the segment.
+
+    All stand in one window over the file: the greatest loop that names the kind, the first segment in it; it holds
+    where that loop is still the open one.
+    """
+    w, ts = _running("file_id"), F.struct("ts_no")
+    bill, sub, dep = (F.struct("ts_no", F.coalesce(*cs, F.lit(0)).alias("loop")) for cs in (("hl20",), ("hl22", "hl20"), ("hl23", "hl22", "hl20")))
+
+    def first(loop: Column, where: Column, *at: int) -> Column:
+        told = F.max(F.when(where, F.struct(loop.alias("loop"), (-F.col("seg_no")).alias("place"), F.struct(*(element(k).alias(f"e{k}") for k in at)).alias("is")))).over(w)
+        return F.when(told["loop"] == loop, told["is"])
+
+    of = lambda s, party: _is(s) & (F.col("party") == party)
+    own = F.col("hl22").isNotNull() & F.col("hl23").isNull()
+    return nums.withColumns({
+        "submitter": first(ts, _is("NM1", "41"), 3, 9), "contact": first(ts, _is("PER", "IC"), 2, 4), "receiver": first(ts, _is("NM1", "40"), 3, 9),
+        "clinic": first(bill, _is("NM1", "85"), 3, 9), "prv": first(bill, _is("PRV", "BI"), 3), "tax": first(bill, of("REF", "85") & (element(1) == "EI"), 2), "clinic_n3": first(bill, of("N3", "85"), 1), "clinic_n4": first(bill, of("N4", "85"), 1, 2, 3),
+        "sbr": first(sub, _is("SBR") & own, 1, 2, 3), "il": first(sub, _is("NM1", "IL"), 3, 4, 5, 9), "il_n3": first(sub, of("N3", "IL"), 1), "il_n4": first(sub, of("N4", "IL"), 1, 2, 3), "il_dmg": first(sub, of("DMG", "IL"), 2, 3), "pr": first(sub, _is("NM1", "PR"), 3, 9),
+        "qc": first(dep, _is("NM1", "QC"), 3, 4, 5), "qc_dmg": first(dep, of("DMG", "QC"), 2, 3),
     })
-    heads = context.where(is_("CLM"))
-    place = F.split(element(5), F.concat(F.lit("\\Q"), F.col("sub"), F.lit("\\E")))
-    mine = nums.where("claim_no is not null")
-    one = lambda c, where: F.min_by(F.when(where, c), F.when(where, F.col("seg_no")))
-    ref, dtp = is_("REF") & (element(1) == "G1"), lambda q: is_("DTP") & (element(1) == q) & F.col("lx_no").isNull()
-    details = mine.groupBy("file_id", "ts_no", "claim_no").agg(
-        one(element(2), ref).alias("authorization_number"), one(element(2), dtp("434")).alias("st_kind"), one(element(3), dtp("434")).alias("st_value"), one(F.substring(element(3), 1, 8), dtp("435")).alias("admission_date"), one(element(9), nm1("82")).alias("rendering_npi"),
-        F.flatten(F.collect_list(F.when(is_("HI"), F.transform(F.slice("elements", 2, 12), lambda c: F.split(c, F.concat(F.lit("\\Q"), F.col("sub"), F.lit("\\E"))))))).alias("codes"),
-        F.collect_set(F.when(F.col("seg_id").isin("SV1", "SV2", "SV3"), F.col("seg_id"))).alias("styles"),
+
+
+def claims(files: DataFrame) -> DataFrame:
+    """Nested claims of the files without an envelope error, in the contract's shape and normalised.
+
+    A file is a bounded unit: its segments are dealt once, by file, and judged, numbered and
+    gathered where they are.
+    """
+    rows = _checked(files).withColumn("refused", F.max("error").over(Window.partitionBy("file_id"))).where("refused is null").drop("error", "error_at", "refused")
+    nums = _parties(numbered(rows)).where("claim_no is not null")
+    keys, parties = ["file_id", "ts_no", "claim_no"], ("isa", "gs", "sub", "submitter", "contact", "receiver", "clinic", "prv", "tax", "clinic_n3", "clinic_n4", "sbr", "il", "il_n3", "il_n4", "il_dmg", "pr", "qc", "qc_dmg")
+    at = lambda *ks: F.struct(*(element(k).alias(f"e{k}") for k in ks))
+    codes = F.transform(F.slice("elements", 2, 12), lambda c: _pieces(c, "sub"))
+    # what a claim says itself stands in its group without a line
+    parts = nums.groupBy(*keys, "lx_no").agg(
+        F.first(F.when(_is("CLM"), F.struct("elements", *parties)), True).alias("head"), _one(element(2), _is("REF", "G1")).alias("g1"), _one(at(2, 3), _is("DTP", "434")).alias("d434"), _one(element(3), _is("DTP", "435")).alias("d435"),
+        _one(at(3, 4, 5, 9), _is("NM1", "82")).alias("nm82"), _one(element(3), _is("PRV", "PE")).alias("pe"), F.array_sort(F.collect_list(F.when(_is("HI"), F.struct("seg_no", codes.alias("codes"))))).alias("hi"),
+        _one(F.struct("seg_id", "elements", "sub"), F.col("seg_id").isin("SV1", "SV2", "SV3")).alias("sv"), _one(F.struct(element(2).alias("kind"), element(3).alias("value")), _is("DTP", "472")).alias("dtp"),
+        _one(F.struct(element(1).alias("tooth_code_qualifier"), element(2).alias("tooth_number"), element(3).alias("tooth_surface")), _is("TOO")).alias("too"),
     )
-    keys = ["file_id", "ts_no", "claim_no"]
-    lines = service_lines(nums).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_number", "date_of_service", "date_of_service_end", "place_of_service", "procedure_code", "procedure_qualifier", "charge_amount", "units", "unit_type", "diagnosis_pointer", "revenue_code", F.struct("tooth_number", "tooth_surface").alias("tooth_info")))).alias("service_lines"))
-    rows = heads.join(details, keys, "left").join(lines, keys, "left")
+    on_line = F.col("lx_no").isNotNull()
+    said = F.struct("head", "g1", "d434", "d435", "nm82", "pe", F.flatten("hi.codes").alias("codes"))
+    whole = parts.groupBy(*keys).agg(
+        F.first(F.when(~on_line, said), True).alias("c"), F.collect_set(F.when(on_line, F.col("sv.seg_id"))).alias("styles"), F.array_sort(F.collect_list(F.when(on_line, _line()))).alias("lines"),
+    ).select(*keys, "styles", "lines", "c.*").select("*", "head.*").drop("head")
+    place = _pieces(element(5), "sub")
+    begin, end = _period(F.col("d434.e2"), F.col("d434.e3"))
+    kind = transaction_type(F.coalesce(F.get("gs", F.lit(8)), F.lit("")), F.col("styles"))
+    where_ = F.when(kind != "837I", tx.blank_to_null(F.get(place, F.lit(0))))
+    filled = F.transform(F.when(F.size("lines") > 0, F.col("lines")), lambda x: x.withField("place_of_service", F.coalesce(x["place_of_service"], where_)).withField("date_of_service", F.coalesce(x["date_of_service"], begin)))
     code = lambda keep: F.transform(F.filter("codes", keep), lambda c: F.struct(F.get(c, F.lit(1)).alias("code"), F.get(c, F.lit(0)).alias("qualifier")))
-    begin, end = _period(F.col("st_kind"), F.col("st_value"))
-    kind = transaction_type(F.coalesce("version", F.lit("")), F.col("styles"))
-    where_ = F.get(place, F.lit(0))
-    filled = F.transform("service_lines", lambda x: x.withField("place_of_service", F.coalesce(x["place_of_service"], F.when(kind != "837I", where_))).withField("date_of_service", F.coalesce(x["date_of_service"], begin)))
-    return rows.select(
+    named = lambda **fields: F.struct(*((F.col(c) if isinstance(c, str) else c).alias(k) for k, c in fields.items()))
+    isa, gs = (lambda k, c=c: tx.blank_to_null(F.trim(F.get(c, F.lit(k)))) for c in ("isa", "gs"))
+    address = lambda n3, n4: named(street=f"{n3}.e1", city=f"{n4}.e1", state=f"{n4}.e2", zip=f"{n4}.e3")
+    # without a patient's loop the patient is the subscriber
+    patient = lambda k, own="": F.when(F.col("qc").isNotNull(), F.col(f"qc{own}.e{k}")).otherwise(F.col(f"il{own}.e{k}"))
+    amount = tx.number_text(tx.money_prefix(element(2)))
+    return whole.select(
         *keys, element(1).alias("claim_id"), kind.alias("transaction_type"),
-        F.struct(F.when(kind != "837I", where_).alias("place_of_service"), F.when(kind == "837I", where_).alias("facility_type_code"), F.get(place, F.lit(2)).alias("frequency_code"), begin.alias("statement_from_date"), end.alias("statement_to_date"), "admission_date").alias("claim_details"),
-        F.struct(tx.number_text(tx.money_prefix(element(2))).alias("claim_amount")).alias("financial"), F.struct("authorization_number").alias("authorization"),
-        F.struct(F.col("provider_name").alias("name"), "npi", "tax_id", "taxonomy").alias("provider"), F.struct(F.col("rendering_npi").alias("npi")).alias("rendering_provider"),
-        F.struct(F.coalesce("patient_birth", "subscriber_birth").alias("date_of_birth"), F.coalesce("patient_last", "subscriber_last").alias("last"), F.col("subscriber_gender").alias("gender")).alias("patient"),
-        F.struct("member_id").alias("subscriber"), F.struct("payer_id").alias("payer"), F.struct(F.col("submitter_name").alias("name")).alias("submitter"), F.struct(F.col("receiver_name").alias("name")).alias("receiver"), F.struct(F.col("control").alias("control_number")).alias("interchange"),
+        named(place_of_service=where_, facility_type_code=F.when(kind == "837I", tx.blank_to_null(F.get(place, F.lit(0)))), frequency_code=tx.blank_to_null(F.get(place, F.lit(2))), statement_from_date=begin, statement_to_date=end, admission_date=F.substring("d435", 1, 8)).alias("claim_details"),
+        named(claim_amount=amount).alias("financial"), named(total_charges=amount).alias("claim_totals"), named(authorization_number="g1").alias("authorization"),
+        named(name="clinic.e3", npi="clinic.e9", tax_id="tax.e2", taxonomy="prv.e3").alias("provider"),
+        named(name="clinic.e3", npi="clinic.e9", tax_id="tax.e2", taxonomy="prv.e3", address=address("clinic_n3", "clinic_n4")).alias("billing_provider"),
+        named(npi="nm82.e9", taxonomy_code="pe", last_name="nm82.e3", first_name="nm82.e4", middle_name="nm82.e5").alias("rendering_provider"),
+        named(name=named(first=patient(4), middle=patient(5), last=patient(3)), date_of_birth=patient(2, "_dmg"), gender=patient(3, "_dmg")).alias("patient"),
+        named(member_id="il.e9", last_name="il.e3", first_name="il.e4", middle_name="il.e5", date_of_birth="il_dmg.e2", gender="il_dmg.e3", relationship_code="sbr.e2", group_number="sbr.e3", payer_responsibility="sbr.e1", address=address("il_n3", "il_n4")).alias("subscriber"),
+        named(name="pr.e3", payer_id="pr.e9").alias("payer"), named(name="submitter.e3", id="submitter.e9", contact_name="contact.e2", contact_phone="contact.e4").alias("submitter"), named(name="receiver.e3", id="receiver.e9").alias("receiver"),
+        named(control_number=isa(13), sender_id=isa(6), receiver_id=isa(8), date=isa(9), time=isa(10), version=isa(12), usage_indicator=isa(15)).alias("interchange"),
+        named(functional_id_code=gs(1), sender_code=gs(2), receiver_code=gs(3), version=gs(8)).alias("functional_group"),
         code(lambda c: F.get(c, F.lit(0)).isin(*DIAGNOSIS)).alias("diagnosis_codes"), code(lambda c: ~F.get(c, F.lit(0)).isin(*DIAGNOSIS)).alias("other_codes"), filled.alias("service_lines"),
     )
 
 
 def rejected(files: DataFrame) -> DataFrame:
     """file_id, reason: envelope errors, and readable files without a claim."""
-    bad = envelope_errors(files)
-    good = segments(files.join(bad.select("file_id"), "file_id", "left_anti"))
-    none = good.groupBy("file_id").agg(F.count_if(F.col("seg_id") == "CLM").alias("n")).where("n = 0").select("file_id", F.lit("No claims found in the file").alias("reason"))
-    return bad.unionByName(none)
+    found = _checked(files).groupBy("file_id").agg(F.min_by("error", "error_at").alias("reason"), F.count_if(F.col("seg_id") == "CLM").alias("n"))
+    return found.select("file_id", F.coalesce("reason", F.when(F.col("n") == 0, "No claims found in the file")).alias("reason")).where("reason is not null")
 
 
 def claim_names(claims_: DataFrame) -> DataFrame:
     """A name per claim: its file's, with the claim's id where the set has several."""
     n = F.count("*").over(Window.partitionBy("file_id", "ts_no"))
     return claims_.withColumn("name", F.when(n == 1, F.concat("file_id", F.lit(".json"))).otherwise(F.concat("file_id", F.lit("_"), "claim_id", F.lit(".json"))))
-
-
-def interchanges(spark: SparkSession, sf_dir: str, views) -> DataFrame:
-    """X12 files written from the claims, one per customer; some with a wrong count, control number or end."""
-    rows = views.claims(spark, sf_dir)
-    line = F.transform("service_lines", lambda x, k: F.concat(F.lit("~LX*"), (k + 1).cast("string"), F.lit("~SV1*HC:"), x["procedure_code"], F.lit("*"), F.coalesce(x["charge_amount"], F.lit("")), F.lit("*UN*"), F.coalesce(x["units"], F.lit("")), F.lit("*"), x["place_of_service"], F.lit("**1~DTP*472*D8*"), x["date_of_service"]))
-    body = F.concat(F.lit("~CLM*"), "claim_id", F.lit("*"), F.coalesce("financial.claim_amount", F.lit("")), F.lit("***"), F.col("claim_details.place_of_service"), F.lit(":B:1*Y*A*Y*Y"), F.coalesce(F.concat(F.lit("~REF*G1*"), F.col("authorization.authorization_number")), F.lit("")), F.coalesce(F.concat(F.lit("~HI*"), F.array_join(F.transform("diagnosis_codes", lambda c: F.concat(F.lit("ABK:"), c["code"])), "*")), F.lit("")), F.coalesce(F.array_join(line, ""), F.lit("")))
-    files = rows.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_key", body.alias("body")))), lambda x: x["body"]), "").alias("body"), F.max("provider.npi").alias("npi"))
-    head = F.concat(F.lit("ST*837*0001*005010X222A1~BHT*0019*00*T1*20261016*1200*CH~NM1*41*2*SUBMITTER*****46*S1~NM1*40*2*PAYER*****46*P1~HL*1**20*1~PRV*BI*PXC*207X00000X~NM1*85*2*CLINIC*****XX*"), F.coalesce("npi", F.lit("")), F.lit("~HL*2*1*22*0~NM1*IL*1*MEMBER*ALEX****MI*M"), F.col("o_custkey").cast("string"), F.lit("~DMG*D8*19850315*F~NM1*PR*2*PAYER*****PI*P1"), F.col("body"))
-    size = F.length(head) - F.length(F.replace(head, F.lit("~"), F.lit(""))) + 2 + F.when(F.col("o_custkey") % 10 == 3, 1).otherwise(0)
-    tail = F.concat(F.lit("~SE*"), size.cast("string"), F.lit("*0001~GE*1*101~"), F.when(F.col("o_custkey") % 10 == 7, "").when(F.col("o_custkey") % 10 == 5, "IEA*1*000000999~").otherwise("IEA*1*000000101~"))
-    isa = "ISA*00*          *00*          *ZZ*TESTSUBMIT01   *ZZ*STMED01        *261016*1200*^*00501*000000101*0*T*:~GS*HC*TESTSUBMIT01*STMED01*20261016*1200*101*X*005010X222A1~"
-    return files.select(F.col("o_custkey").cast("string").alias("file_id"), F.concat(F.lit(isa), head, tail).alias("text"))
-
-
-def register_queries(add, views) -> None:
-    cte = views.sql_with_views
-    inter = lambda s, d: interchanges(s, d, views)
-    read = lambda s, d: claims(inter(s, d))
-    good = "o_custkey % 10 not in (3, 5, 7)"
-    vs = ("v_claim", "v_lines", "v_dx")
-    sizes = "z as (select c.o_custkey, c.claim_key, cast(c.authorization_number is not null as int) as n_ref, cast(exists (select 1 from v_dx d where d.claim_key = c.claim_key) as int) as n_hi, (select count(*) from v_lines l where l.claim_key = c.claim_key) as n_lines from v_claim c)"
-    per_file = "ISA GS ST BHT HL HL PRV DMG SE GE".split() + ["NM1"] * 5
-    counts = " union all ".join(
-        [f"select '{x}' as seg_id, count(distinct o_custkey) as n from z" for x in per_file] + ["select 'IEA', count(distinct o_custkey) from z where o_custkey % 10 <> 7"]
-        + [f"select '{x}', sum({n}) from z" for x, n in (("CLM", "1"), ("REF", "n_ref"), ("HI", "n_hi"), ("LX", "n_lines"), ("SV1", "n_lines"), ("DTP", "n_lines"))]
-    )
-    reasons = f"with {sizes}, w as (select o_custkey, 12 + sum(1 + n_ref + n_hi + 3 * n_lines) as n from z group by 1) select cast(o_custkey as string) as file_id, case o_custkey % 10 when 3 then concat('SE segment count is ', n + 1, ' but transaction set 0001 has ', n, ' segments') when 5 then 'Interchange control number mismatch' else 'Incomplete transmission: the last segment is not IEA' end as reason from w where o_custkey % 10 in (3, 5, 7)"
-    add("SRC2", lambda s, d: segments(inter(s, d)).groupBy("seg_id").agg(F.count("*").alias("n")), cte(f"with {sizes} select seg_id, cast(sum(n) as bigint) as n from ({counts}) group by 1 having sum(n) > 0", *vs))
-    add("X1", lambda s, d: envelope_errors(inter(s, d)).select("file_id", "reason"), cte(reasons, *vs))
-    add("X2", lambda s, d: numbered(segments(inter(s, d))).groupBy("file_id").agg(F.max("ts_no").alias("n_sets")), cte("select distinct cast(o_custkey as string) as file_id, cast(1 as bigint) as n_sets from v_claim", *vs))
-    add("X3", lambda s, d: read(s, d).select("file_id", "claim_id", "subscriber.member_id"), cte(f"select cast(o_custkey as string) as file_id, claim_id, concat('M', o_custkey) as member_id from v_claim where {good}", *vs))
-    add("X4", lambda s, d: claim_names(read(s, d)).select("name"), cte(f"select case when count(*) over (partition by o_custkey) = 1 then concat(o_custkey, '.json') else concat(o_custkey, '_', claim_id, '.json') end as name from v_claim where {good}", *vs))
-    add("X5", lambda s, d: read(s, d).groupBy("transaction_type").agg(F.count("*").alias("n")), cte(f"select '837P' as transaction_type, count(*) as n from v_claim where {good}", *vs))
-    add("X6", lambda s, d: read(s, d).select("claim_id", F.col("submitter.name").alias("submitter"), "interchange.control_number", F.col("provider.taxonomy").alias("taxonomy")), cte(f"select claim_id, 'SUBMITTER' as submitter, '000000101' as control_number, '207X00000X' as taxonomy from v_claim where {good}", *vs))
-    add("X7", lambda s, d: read(s, d).select("claim_id", "patient.date_of_birth", "payer.payer_id"), cte(f"select claim_id, '19850315' as date_of_birth, 'P1' as payer_id from v_claim where {good}", *vs))
-    add("X8", lambda s, d: read(s, d).select("claim_id", "claim_details.statement_from_date", "claim_details.admission_date"), cte(f"select claim_id, cast(null as string) as statement_from_date, cast(null as string) as admission_date from v_claim where {good}", *vs))
-    add("X9", lambda s, d: read(s, d).select("claim_id", F.explode("diagnosis_codes.code").alias("code")), cte(f"select claim_id, code from v_claim join v_dx using (claim_key) where {good}", *vs))
-    add("X10", lambda s, d: read(s, d).select("claim_id", "claim_details.place_of_service", "claim_details.frequency_code"), cte(f"select claim_id, place_of_service, '1' as frequency_code from v_claim where {good}", *vs))
-    add("X11", lambda s, d: read(s, d).select("claim_id", F.explode("service_lines").alias("x")).select("claim_id", "x.procedure_code", "x.charge_amount", "x.date_of_service"), cte(f"select claim_id, l.procedure_code, l.charge_amount, l.date_of_service from v_claim join v_lines l using (claim_key) where {good}", *vs))
-    add("X12", lambda s, d: read(s, d).select("claim_id", "financial.claim_amount", "authorization.authorization_number"), cte(f"select claim_id, case when claim_amount <> 'abc' then rtrim(rtrim(claim_amount, '0'), '.') end as claim_amount, authorization_number from v_claim where {good}", *vs))
-    add("X13", lambda s, d: rejected(inter(s, d)).groupBy("reason").agg(F.count("*").alias("n")), cte(reasons.replace(" select cast(o_custkey as string) as file_id,", ", y as (select cast(o_custkey as string) as file_id,") + ") select reason, count(*) as n from y group by 1", *vs))

@@ -194,3 +194,30 @@ def test_scores_contract_and_cofiring(spark):
     assert {r.path: r.hint for r in lost} == {"payer.payer_name": "payer.name", "patient.age": "none"}
     fired = spark.createDataFrame([(1, ["A", "B"]), (2, ["A"]), (3, ["A", "B", "C"]), (4, [])], "claim_key int, rules array<string>")
     assert {(r.a, r.b): (r.n_both, r.n_a, r.n_b) for r in overlap.cofiring(fired).collect()} == {("A", "B"): (2, 3, 2), ("A", "C"): (1, 3, 1), ("B", "C"): (1, 2, 1)}
+
+
+def test_x12_parties_and_types(spark):
+    def text(version, body):
+        segs = ["ST*837*0001*" + version, *body]
+        return ISA + f"GS*HC*A*B*20261016*1200*101*X*{version}~" + "~".join(segs) + f"~SE*{len(segs) + 1}*0001~GE*1*101~IEA*1*000000101~"
+
+    head = ["NM1*41*2*SUB*****46*S1", "PER*IC*DESK*TE*555", "HL*1**20*1", "NM1*85*2*CLINIC*****XX*1", "N3*1 MAIN ST", "N4*TOWN*IL*62701", "REF*EI*99", "NM1*87*2*OTHER", "N3*2 SIDE ST"]
+    member = ["HL*2*1*22*1", "SBR*P**G1", "NM1*IL*1*LAST*FIRST*MID***MI*M1", "N3*3 ELM ST", "N4*CITY*TX*75001", "DMG*D8*19700101*F", "NM1*PR*2*PAYER*****PI*P1"]
+    child = ["HL*3*2*23*0", "NM1*QC*1*CHILD*KIM", "DMG*D8*20010203*M", "CLM*C1*10***13:A:7", "DTP*434*RD8*20260101-20260103", "DTP*435*DT*202601011200", "NM1*82*1*DOC*ANN****XX*7", "PRV*PE*PXC*T1", "NM1*PR*2*SECOND*****PI*P2", "LX*1", "SV2*0300*HC:99*10*UN*2"]
+    second = ["HL*4*1*22*0", "NM1*IL*1*TWO*B****MI*M2", "CLM*C2*5***11:A:1", "LX*1", "SV2*0301*HC:98*5*UN*1"]
+    dental = ["HL*1**20*1", "NM1*85*2*TEETH*****XX*2", "HL*2*1*22*0", "NM1*IL*1*D*E****MI*M3", "CLM*C3*7***11:B:1", "LX*1", "SV3*AD:D1*7****3", "TOO*JP*12*L"]
+    rows = spark.createDataFrame([("i", text("005010X223A2", head + member + child + second)), ("d", text("5010", dental))], "file_id string, text string")
+    got = {r.claim_id: r for r in x12.claims(rows).collect()}
+    c1, c2, c3 = got["C1"], got["C2"], got["C3"]
+    assert (c1.transaction_type, c2.transaction_type, c3.transaction_type) == ("837I", "837I", "837D")
+    assert tuple(c1.billing_provider.address) == ("1 MAIN ST", "TOWN", "IL", "62701") and c1.billing_provider.tax_id == "99"
+    assert (c1.submitter.contact_name, c1.submitter.contact_phone) == ("DESK", "555") and c3.submitter.contact_name is None
+    assert (c1.patient.name.first, c1.patient.date_of_birth, c1.patient.gender) == ("KIM", "20010203", "M")
+    assert (c1.subscriber.middle_name, c1.subscriber.date_of_birth, c1.subscriber.group_number, c1.subscriber.relationship_code, c1.subscriber.address.city) == ("MID", "19700101", "G1", None, "CITY")
+    # nothing of the first member stays for the second; another payer inside a claim isn't the payer
+    assert (c2.subscriber.member_id, c2.subscriber.group_number, c2.subscriber.address.city, c2.payer.payer_id, c2.patient.name.first) == ("M2", None, None, None, "B") and c1.payer.payer_id == "P1"
+    assert (c1.rendering_provider.npi, c1.rendering_provider.taxonomy_code, c2.rendering_provider.npi) == ("7", "T1", None)
+    assert tuple(c1.claim_details) == (None, "13", "7", "20260101", "20260103", "20260101")
+    line = c1.service_lines[0]
+    assert (line.date_of_service, line.place_of_service, line.revenue_code, line.units) == ("20260101", None, "0300", "2")
+    assert tuple(c3.service_lines[0].tooth_info) == ("JP", "12", "L") and (c3.service_lines[0].units, c3.service_lines[0].place_of_service) == ("3", "11")
