@@ -44,7 +44,7 @@ add("SRC4", table("events", lambda t: t.select("event_id", files.file_kind(F.exp
     f"select event_id, case lower(regexp_extract({_named}, '\\.([^./]+)$', 1)) when 'json' then 'json' when 'x12' then 'x12' when 'edi' then 'x12' else 'ignored' end as kind from events")
 _MONTHS = "array('January', 'March', 'August', 'December', 'Smarch')"
 _links = "select page_id, concat('/x/NPPES_Data_Dissemination_', element_at({m}, cast(1 + page_id % 5 as int)), '_', cast(2020 + page_id * 7 % 5 as string), case when page_id % 3 = 0 then '_V2' else '' end, '.zip') as link, cast(page_id % 10 as int) as site from pages"
-add("SRC6", lambda s, d: files.latest_monthly_file(_sql(s, d, _links.format(m=_MONTHS)), "site"),
+add("SRC6", lambda s, d: files.latest_monthly_file(files.hrefs(_sql(s, d, f"select site, concat(html, '<a href=\"', link, '\">file</a>') as html from ({_links.format(m=_MONTHS)}) join pages using (page_id)"), "html", "site"), "site"),
     f"select site, arg_max(link, (2020 + page_id * 7 % 5, [1, 3, 8, 12, 0][cast(1 + page_id % 5 as int)], page_id % 3 = 0)) as link from ({_links.format(m=_MONTHS.replace('array(', '[').replace(')', ']')).replace('element_at(', 'list_extract(')}) join pages using (page_id) where page_id % 5 <> 4 group by 1")
 _rules = "select p_partkey, p_name as name, p_partkey % 3 <> 0 as active, case when p_partkey % 7 = 0 then '  ' else concat(' RULE r', cast(p_partkey as string), chr(10), 'WHEN TRUE ') end as rule_text from part"
 add("SRC8", lambda s, d: files.active_rules(_sql(s, d, _rules)).select("p_partkey", "name", F.trim("rule_text").alias("rule_text")), f"select p_partkey, name, trim(rule_text, ' ') as rule_text from ({_rules}) where active and trim(rule_text, ' ') <> ''")
@@ -104,7 +104,7 @@ add("T1", lambda s, d: _sql(s, d, ENTRIES).where(_NEW).select(*_keys).intersect(
 add("T2", lambda s, d: _sql(s, d, ENTRIES).where(_NEW).select(*_keys).subtract(_sql(s, d, ENTRIES).where(_OLD).select(*_keys)), _old_new + "select batch_id, sha256, fingerprint from n except select batch_id, sha256, fingerprint from o")
 add("T3", lambda s, d: _sql(s, d, "select doc_id as id, lang as kind from documents").unionByName(_sql(s, d, "select event_id as id, event_type as kind from events"), allowMissingColumns=True).groupBy("kind").agg(F.count("*").alias("n")), "select kind, count(*) as n from (select doc_id as id, lang as kind from documents union all select event_id, event_type from events) group by 1")
 add("A9", lambda s, d: _sql(s, d, ENTRIES).groupBy("batch_id").agg(F.count_distinct("sha256").alias("n_files"), F.count_distinct("fingerprint").alias("n_claims")), f"select batch_id, count(distinct sha256) as n_files, count(distinct fingerprint) as n_claims from ({_ENTRIES_D}) group by 1")
-add("PRJ8", lambda s, d: _sql(s, d, ENTRIES).groupBy("batch_id").agg(F.array_sort(F.collect_set("sha256")).alias("x")).select("batch_id", files.notice(F.col("x")).alias("notice")),
+add("PRJ8", lambda s, d: files.notices(_sql(s, d, ENTRIES), "batch_id", "sha256"),
     f"select batch_id, concat(array_to_string(list_slice(list_sort(list(distinct sha256)), 1, 3), ' | '), case when count(distinct sha256) > 3 then concat(' (and ', count(distinct sha256) - 3, ' more)') else '' end) as notice from ({_ENTRIES_D}) group by 1")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .json_claims import contract_paths
@@ -55,10 +55,9 @@ def file_kind(name: Column) -> Column:
     return F.when(extension == "json", "json").when(extension.isin("x12", "edi"), "x12").otherwise("ignored")
 
 
-def newest_link(pages: DataFrame, html: str, pattern: str, key: str) -> DataFrame:
-    """The greatest link of each page that the pattern finds, and how many it finds."""
-    links = pages.select(key, F.explode(F.regexp_extract_all(html, F.lit(pattern), 1)).alias("link"))
-    return links.groupBy(key).agg(F.max("link").alias("newest"), F.count("*").alias("n_links"))
+def hrefs(pages: DataFrame, html: str, *keys: str) -> DataFrame:
+    """The keys and every link of each page, as it stands in its href."""
+    return pages.select(*keys, F.explode(F.regexp_extract_all(html, F.lit(r"""(?i)\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))).alias("link"))
 
 
 def latest_monthly_file(links: DataFrame, *keys: str) -> DataFrame:
@@ -74,10 +73,15 @@ def active_rules(rules: DataFrame) -> DataFrame:
     return rules.where(F.col("active") & (F.trim("rule_text") != "")).orderBy("name")
 
 
-def notice(items: Column, shown: int = 3) -> Column:
-    """The first items, and how many more there are."""
-    more = F.size(items) - shown
-    return F.concat(F.array_join(F.slice(items, 1, shown), " | "), F.when(more > 0, F.concat(F.lit(" (and "), more.cast("string"), F.lit(" more)"))).otherwise(""))
+def notices(rows: DataFrame, key: str, item: str, shown: int = 3) -> DataFrame:
+    """key, notice: a key's first distinct items, and how many more there are. Only what is shown is gathered."""
+    items = rows.select(key, item).where(F.col(item).isNotNull()).distinct()
+    counts = items.groupBy(key).agg(F.count("*").alias("_n"))
+    ranked = items.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(item))).where(F.col("_at") <= shown)
+    first = ranked.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_first"))
+    more = F.col("_n") - shown
+    said = F.concat(F.array_join("_first", " | "), F.when(more > 0, F.concat(F.lit(" (and "), more.cast("string"), F.lit(" more)"))).otherwise(""))
+    return counts.join(first.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).select(key, said.alias("notice"))
 
 
 def contract_issues(references: DataFrame) -> DataFrame:

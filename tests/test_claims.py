@@ -221,3 +221,11 @@ def test_x12_parties_and_types(spark):
     line = c1.service_lines[0]
     assert (line.date_of_service, line.place_of_service, line.revenue_code, line.units) == ("20260101", None, "0300", "2")
     assert tuple(c3.service_lines[0].tooth_info) == ("JP", "12", "L") and (c3.service_lines[0].units, c3.service_lines[0].place_of_service) == ("3", "11")
+
+
+def test_links_and_notices(spark):
+    pages = spark.createDataFrame([(1, '<a href="/a.zip">x</a> <A HREF = \'/b.zip\'>'), (2, "no link"), (3, None), (4, "")], "site int, html string")
+    assert sorted(tuple(r) for r in files.hrefs(pages, "html", "site").collect()) == [(1, "/a.zip"), (1, "/b.zip")]
+    rows = spark.createDataFrame([("b", x) for x in "edcbaa"] + [(None, "z"), ("c", None), ("d", "y"), ("d", "x")], "k string, item string")
+    assert {r.k: r.notice for r in files.notices(rows, "k", "item").collect()} == {"b": "a | b | c (and 2 more)", None: "z", "d": "x | y"}
+    assert files.notices(rows.limit(0), "k", "item").count() == 0
