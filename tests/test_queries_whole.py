@@ -12,3 +12,9 @@ def test_rule_files_of_the_catalogue(spark):
     assert catalog.QUERIES["PRJ6"](spark, SF).where("inner_name <> 'none'").count() == parts.where("p_partkey % 7 <> 0").count() < n
     texts = {r.p_name: r["count"] for r in parts.where("p_partkey % 3 <> 0").groupBy("p_name").count().collect()}
     assert {r.name: r.n_texts for r in catalog.QUERIES["J8"](spark, SF).collect()} == {r.p_name: texts.get(r.p_name, 0) for r in parts.select("p_name").distinct().collect()}
+
+
+def test_x12_files_are_read_once_and_in_one_order(spark):
+    plan = lambda name: catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sum("Generate posexplode" in x for x in plan("X9")) == 1
+    assert sum("Sort [" in x and "seg_no" in x for x in plan("X10")) == 1
