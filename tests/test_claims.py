@@ -229,3 +229,10 @@ def test_links_and_notices(spark):
     rows = spark.createDataFrame([("b", x) for x in "edcbaa"] + [(None, "z"), ("c", None), ("d", "y"), ("d", "x")], "k string, item string")
     assert {r.k: r.notice for r in files.notices(rows, "k", "item").collect()} == {"b": "a | b | c (and 2 more)", None: "z", "d": "x | y"}
     assert files.notices(rows.limit(0), "k", "item").count() == 0
+
+
+def test_x12_codes_of_several_segments(spark):
+    body = "CLM*A*10***11:B:1~HI*ABK:A1*BE:V1~REF*G1*P~HI*ABF:A2~LX*1~SV1*HC:99213*10*UN*1~HI*ABK:LINE~LX*2~SV1*HC:99214*5*UN*2~CLM*B*5***11:B:1~LX*1~SV1*HC:1*5*UN*1"
+    got = {r.claim_id: r for r in x12.claims(spark.createDataFrame([("f", x12_text(body.split("~")))], "file_id string, text string")).collect()}
+    assert [c.code for c in got["A"].diagnosis_codes] == ["A1", "A2"] and [c.code for c in got["A"].other_codes] == ["V1"] and got["B"].diagnosis_codes == []
+    assert [(x.line_number, x.procedure_code) for x in got["A"].service_lines] == [(1, "99213"), (2, "99214")] and got["A"].authorization.authorization_number == "P"

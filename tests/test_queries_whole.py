@@ -1,6 +1,8 @@
 """Registered queries on the smallest given tables: they run, and do their whole job."""
 
 from claimlens import catalog
+from claimlens.plans import views
+from claimlens.sources import x12
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +28,20 @@ def test_reports_without_results_make_no_reasons(spark):
         assert "_reasons" not in plan(name)
     # rules are judged where their truths are made, not in a filter below
     assert not [x for x in plan("P23").splitlines() if "Filter" in x and "_truths" in x or "Filter" in x and "_number_" in x]
+
+
+def test_claims_are_dealt_by_their_number_whatever_the_session_says(spark, monkeypatch):
+    monkeypatch.setattr(views, "TASK_CLAIMS", 100)
+    n = -(-spark.read.parquet(f"{SF}/orders.parquet").count() // 100)
+    for name in ("X1", "X10", "SRC7"):
+        dealt = [x for x in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+        assert dealt and all(f", {n}), REPARTITION_BY_NUM" in x for x in dealt)
+
+
+def test_parties_that_nobody_reads_are_not_told(spark):
+    claims = x12.claims(spark.createDataFrame([("a", "ISA")], "file_id string, text string"))
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "DMG" in plan(claims.select("patient.gender")) and "DMG" not in plan(claims.select("claim_id", "claim_details"))
+    # where a claim's segments are ordered, its parties stand on its own segment alone
+    below = plan(claims.select("patient.gender")).split("Sort [file_id", 1)[1].splitlines()[1]
+    assert "CASE WHEN (seg_id" in below and "= CLM) THEN" in below
