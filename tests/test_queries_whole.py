@@ -45,3 +45,8 @@ def test_parties_that_nobody_reads_are_not_told(spark):
     # where a claim's segments are ordered, its parties stand on its own segment alone
     below = plan(claims.select("patient.gender")).split("Sort [file_id", 1)[1].splitlines()[1]
     assert "CASE WHEN (seg_id" in below and "= CLM) THEN" in below
+
+
+def test_lists_of_json_claims_are_read_once(spark):
+    plan = catalog.QUERIES["SRC7"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.claim.service_lines") == 1 and "schema_of_variant" not in plan
