@@ -38,6 +38,16 @@ def test_claims_are_dealt_by_their_number_whatever_the_session_says(spark, monke
         assert dealt and all(f", {n}), REPARTITION_BY_NUM" in x for x in dealt)
 
 
+def test_claims_go_to_their_files_once_and_without_what_their_keys_tell(spark, monkeypatch):
+    monkeypatch.setattr(views, "TASK_CLAIMS", 100)
+    for name in ("X3", "X4", "X5", "X6", "X7", "X8", "X12"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+        dealt = [i for i, x in enumerate(plan) if "Exchange hashpartitioning(" in x and "o_custkey" in x]
+        assert len(dealt) == 1 and not [x for x in plan[: dealt[0]] if "Exchange hashpartitioning(file_id" in x]
+        sent = plan[dealt[0] + 1]
+        assert "Project [" in sent and " AS text#" in sent and not [c for c in ("file_id", "kind", "st", "member_id") if f"{c}#" in sent.replace("list#", "")]
+
+
 def test_parties_that_nobody_reads_are_not_told(spark):
     claims = x12.claims(spark.createDataFrame([("a", "ISA")], "file_id string, text string"))
     plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
